@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sentencepiece_codec
+from . import exact_dedup, minhash_dedup, quality, sentencepiece_codec, toxicity
 
 QUERIES = {
+    "op2_quality": quality.op2_quality,
+    "op5_minhash_dedup": minhash_dedup.op5_minhash_dedup,
     "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL = {
+    "op5_minhash_dedup": minhash_dedup.OP5_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }
