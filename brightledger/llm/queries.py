@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, minhash_dedup, quality, sentencepiece_codec, toxicity
+from . import exact_dedup, minhash_dedup, quality, sentencepiece_codec, temperature_mix, toxicity
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
+    "op4_temperature_mix": temperature_mix.op4_temperature_mix,
     "op5_minhash_dedup": minhash_dedup.op5_minhash_dedup,
     "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
@@ -14,6 +15,7 @@ QUERIES = {
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL = {
+    "op4_temperature_mix": temperature_mix.OP4_SQL,
     "op5_minhash_dedup": minhash_dedup.OP5_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }
