@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, minhash_dedup, quality, sentencepiece_codec, temperature_mix, toxicity
+from . import exact_dedup, language_id, licence_scan, minhash_dedup, permutation_index, quality, sentencepiece_codec, temperature_mix, tool_calls, toxicity
 
 QUERIES = {
+    "op1_permutation_index": permutation_index.op1_permutation_index,
     "op2_quality": quality.op2_quality,
+    "op3_tool_calls": tool_calls.op3_tool_calls,
     "op4_temperature_mix": temperature_mix.op4_temperature_mix,
     "op5_minhash_dedup": minhash_dedup.op5_minhash_dedup,
+    "op6_language_id": language_id.op6_language_id,
+    "op7_licence_scan": licence_scan.op7_licence_scan,
     "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
@@ -15,7 +19,9 @@ QUERIES = {
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLE_SQL = {
+    "op3_tool_calls": tool_calls.OP3_SQL,
     "op4_temperature_mix": temperature_mix.OP4_SQL,
     "op5_minhash_dedup": minhash_dedup.OP5_SQL,
+    "op7_licence_scan": licence_scan.OP7_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }

@@ -95,6 +95,7 @@ def temperature_weights(
     whole = budget or math.ceil(largest * z / (largest / total) ** a)
     part = F.round(F.col("weight") * F.lit(float(whole)), 0).cast("long")
     weighed = sizes.withColumn("weight", F.round(power / F.lit(z), 9))
+    part = F.least(part, F.floor(F.col("n") * F.lit(most_passes)))
     return weighed.withColumn("part", part if budget else F.greatest("n", part)), a, whole
 
 
@@ -177,7 +178,7 @@ bis(step, lo, hi) AS (
     FROM bis, sh WHERE step < {HALVINGS} GROUP BY step, lo, hi)),
 ex AS (SELECT round(hi, 6) AS a FROM bis WHERE step = {HALVINGS}),
 wt AS (SELECT s, n, docs, pow(p, a) / sum(pow(p, a)) OVER () AS w, ceil(top * sum(pow(p, a)) OVER () / pow(top / total, a)) AS whole FROM sh, ex),
-pt AS (SELECT s, n, docs, whole, greatest(n, round(round(w, 9) * whole)::BIGINT) AS part FROM wt),
+pt AS (SELECT s, n, docs, whole, greatest(n, least(round(round(w, 9) * whole), floor(n * {MOST_PASSES}))::BIGINT) AS part FROM wt),
 laid AS (SELECT doc_id, d.s, tokens, n, part, whole, epoch, md5(concat_ws('|', '{SEED}', epoch::VARCHAR, coalesce(doc_id::VARCHAR, ''))) AS key
   FROM d JOIN pt ON d.s = pt.s, LATERAL (SELECT unnest(range(0, ceil(part / n)::BIGINT)) AS epoch)),
 put AS (SELECT *, epoch * n + coalesce(sum(tokens) OVER (PARTITION BY s, epoch ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM laid),
