@@ -10,10 +10,11 @@ first t - m + 1 pairs of each (t: pairs of the document that any other one has).
 Documents with t < m are skipped. Candidates are then confirmed on the full sets.
 
 Only classes of equal shingle sets are joined, and only what ties components
-together is compared: first each posting list's members with its smallest one,
-then, in the lists that still span several components, the pairs across these.
+together is compared: first each posting list's members with its heaviest one, next
+those that this leaves apart with the heaviest of them, then, in the lists that
+still span several components, the pairs across these.
 Such a list is cut into blocks, and pairs of blocks are compared in tasks of
-their own, so that a long list is spread and emits only colliding pairs.
+their own, so that a long list is spread and emits only similar pairs.
 """
 
 from __future__ import annotations
@@ -34,8 +35,10 @@ from .components import connected_components
 #: At a similarity of exactly 0.8 collisions are binomial with mean 51.2 and
 #: deviation 3.2, so that 36 or more are missed about once in 200,000 pairs.
 K, MATCHES = 64, 36
-#: Documents in one block of a posting list.
-BLOCK = 512
+#: Rounds in which a posting list's members are compared with one of them only.
+STARS = 2
+#: Shingles of the documents in one block of a posting list.
+BLOCK = 400_000
 #: Shingles whose signature values are held in memory at a time.
 SLICE = 4096
 #: Ids, of 8 bytes each, that are sent to every executor at most.
@@ -112,26 +115,53 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(each, "doc_id long, n_shingles long, digest string, sig array<int>")
 
 
-def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """node (the doc_id) and its shingle hashes."""
+def shingle_sets(docs: DataFrame, size: int, bits: int = 64) -> DataFrame:
+    """node (the doc_id) and its sorted distinct shingle hashes, or the last 32 bits of them."""
+    whole = bits == 64
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, size).view(np.int64) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+            sets = [shingle_set(t, size) for t in batch.column("text").to_pylist()]
+            sets = [s.view(np.int64) if whole else np.unique(s.astype(np.uint32).view(np.int32)) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64() if whole else pa.int32()))], names=["node", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(each, "node long, shingles array<bigint>")
+    return rows.mapInArrow(each, f"node long, shingles array<{'bigint' if whole else 'int'}>")
 
 
 def prefix_posts(classes: DataFrame) -> DataFrame:
-    """node, token: the rarest pairs of each document, as many as the match threshold needs."""
+    """node, token, weight: the rarest pairs of each document, as many as the match threshold needs.
+
+    weight: how many documents have the document's pairs, all added up. It is largest
+    for the document that a group's others were copied from.
+    """
     tokens = classes.select("node", F.posexplode("sig").alias("at", "value")).select(
         "node", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value").cast("long") + F.lit(2**31)).alias("token")
     )
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     own = tokens.join(shared, "token").groupBy("node").agg(F.collect_list(F.struct("n", "token")).alias("own")).where(F.size("own") >= MATCHES)
-    return own.select("node", F.explode(F.slice(F.array_sort("own"), F.lit(1), F.size("own") - (MATCHES - 1))).alias("post")).select("node", "post.token")
+    weight = F.aggregate("own", F.lit(0).cast("long"), lambda n, x: n + x["n"])
+    prefix = F.slice(F.array_sort("own"), F.lit(1), F.size("own") - (MATCHES - 1))
+    return own.select("node", weight.alias("weight"), F.explode(prefix).alias("post")).select("node", "post.token", "weight")
+
+
+def stars(members: DataFrame) -> DataFrame:
+    """Pairs of each posting list's heaviest member with the list's other ones of other components."""
+    centre = members.groupBy("token").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"), "component")).alias("c"))
+    centre = centre.select("token", (-F.col("c.minus")).alias("centre"), F.col("c.component").alias("own"))
+    pairs = members.join(centre, "token").where("component <> own")
+    return pairs.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
+
+
+def outside(members: DataFrame) -> DataFrame:
+    """Members of each posting list that aren't in the component of its heaviest one."""
+    centre = members.groupBy("token").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"), "component")).alias("c"))
+    return members.join(centre.select("token", F.col("c.component").alias("own")), "token").where("component <> own").drop("own")
+
+
+def placed(posts: DataFrame, component: DataFrame) -> DataFrame:
+    """Posts with the component of their document, which is itself where it has no link."""
+    return posts.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def collisions(a: str, b: str):
@@ -167,26 +197,34 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
     return both.where(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
-def across(posts: DataFrame, classes: DataFrame, component: DataFrame, percent: int) -> DataFrame:
-    """Colliding pairs of one posting list whose ends are in different components.
+def across(members: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Similar pairs of one posting list whose ends are in different components.
 
-    A list is dealt into blocks of about BLOCK documents by a hash of the node, and
-    every pair of blocks is a group of its own.
+    A list is dealt into blocks of about BLOCK shingles by a hash of the node, and
+    every pair of blocks is a group of its own. A pair that meets in several lists is
+    compared in the one with the smallest token. Documents that nothing links to a
+    large component must be held against all of it, so pairs are compared on their
+    sets where they meet and not given out before. Sets of 32-bit hashes serve for
+    that: they can only raise the similarity, and what is given is confirmed later.
     """
-    placed = posts.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("token", "n")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    members = placed.join(open_, "token").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    open_ = members.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
+    listed = saved(members.join(open_, "token").select("token", "node", "component").join(classes.select("node", "n_shingles"), "node"))
+    sizes = listed.groupBy("token").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks"))
+    wanted = listed.select(F.col("node").alias("doc_id")).distinct()
+    sets = shingle_sets(having(docs.select("doc_id", "text"), wanted), size, 32).dropDuplicates(["node"])
+    own = listed.groupBy("node").agg(F.collect_list("token").alias("prefix"))
+    facts = saved(own.join(classes.select("node", "sig"), "node").join(sets, "node"))
     dealt = (
-        members.join(classes.select("node", "n_shingles", "sig"), "node")
+        listed.join(sizes, "token").join(facts, "node")
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "n_shingles", "sig")
-    )
+        .select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "n_shingles", "sig", "prefix", "shingles")
+    )
 
     def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
+        token, i, j = key
         sides = [rows[rows.block == i], rows[rows.block == j]]
-        node, comp, n = ([s[c].to_numpy() for s in sides] for c in ("node", "component", "n_shingles"))
+        node, comp, n, prefix, sets = ([s[c].to_numpy() for s in sides] for c in ("node", "component", "n_shingles", "prefix", "shingles"))
         sig = [np.array(s.sig.tolist(), np.int32).reshape(len(s), K) for s in sides]
         found: list[tuple[int, int]] = []
         for x in range(len(node[0])):
@@ -195,11 +233,17 @@ def across(posts: DataFrame, classes: DataFrame, component: DataFrame, percent:
                 able &= node[1] > node[0][x]
             at = np.flatnonzero(able)
             at = at[(sig[1][at] == sig[0][x]).sum(axis=1) >= MATCHES]
-            found += [(node[0][x], y) for y in node[1][at]]
+            mine, shingles = set(prefix[0][x]), sets[0][x]
+            for y in at:
+                if min(mine.intersection(prefix[1][y])) == token:
+                    place = np.minimum(np.searchsorted(shingles, sets[1][y]), len(shingles) - 1)
+                    common = int((shingles[place] == sets[1][y]).sum()) + n[0][x] - len(shingles)  # hashes that fell together count as common
+                    if 100 * common >= percent * (n[0][x] + n[1][y] - common):
+                        found.append((node[0][x], node[1][y]))
         pairs = np.array(found, np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
 
-    return dealt.groupBy("token", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return dealt.groupBy("token", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -224,13 +268,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         able.join(firsts, ["doc_id", "digest"], "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "sig").dropDuplicates(["node"])
     )
     posts = saved(prefix_posts(classes))
-    hubs = posts.groupBy("token").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("token", "a")
-    stars = posts.join(hubs, "token").where("node > a").select("a", F.col("node").alias("b")).distinct()
-    first = saved(confirmed(stars, classes, docs, size, percent))
-    part = saved(connected_components(first))
-    rest = confirmed(across(posts, classes, part, percent), classes, docs, size, percent)
-    named = part.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    whole = connected_components(first.unionByName(rest).unionByName(named))
+    links, part = None, None
+    for step in range(STARS + 1):
+        members = posts.withColumn("component", F.col("node")) if part is None else placed(posts, part)
+        for _ in range(step if step < STARS else 0):
+            members = outside(members)
+        pairs = stars(members) if step < STARS else across(members, classes, docs, size, percent)
+        new = saved(confirmed(pairs, classes, docs, size, percent))
+        links = new if links is None else links.unionByName(new)
+        part = saved(connected_components(links))
+    whole = part
     found = every.join(classes_of, "digest", "left").join(whole, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).otherwise(F.col("doc_id"))
     return found.select(
