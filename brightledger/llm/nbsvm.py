@@ -22,8 +22,10 @@ from .common import fold, small_batches
 BITS = 20
 #: Documents of each label that a model is fitted on at most, the first by hash of the id.
 FIT_DOCS = 2000
+#: Weight of all documents' losses against the norm of the weights.
+LOSS = 4.0
 #: A feature is used where its log-count ratio is so many standard errors from 0.
-LEAST_ERRORS = 2.0
+LEAST_ERRORS = 1.5
 Featuriser = Callable[[str], "set[int]"]
 #: Makes a featuriser; given a set of feature numbers, one that returns only these.
 MakeFeaturiser = Callable[["set[int] | None"], Featuriser]
@@ -51,9 +53,13 @@ def log_count_ratios(rows: list[np.ndarray], label: np.ndarray, smoothing: float
     return np.where(np.abs(ratio) >= LEAST_ERRORS * error, ratio, 0.0)
 
 
-def dual_descent(rows: list[np.ndarray], values: np.ndarray, label: np.ndarray, cost: float, epochs: int, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Hinge-loss weights of features scaled by ``values``, one dual coordinate (a document) at a time."""
+def dual_descent(rows: list[np.ndarray], values: np.ndarray, label: np.ndarray, loss: float, epochs: int, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Hinge-loss weights of features scaled by ``values``, one dual coordinate (a document) at a time.
+
+    ``loss`` is the weight of all documents' losses against the weights' norm; either label has half of it.
+    """
     rows = [r[values[r] != 0] for r in rows]
+    cost = loss / 2 / np.where(label == 1, label.sum(), (1 - label).sum())
     sign = np.where(label == 1, 1.0, -1.0)
     dual, w, bias = np.zeros(len(rows)), np.zeros(len(values)), 0.0
     square = np.array([float((values[r] ** 2).sum()) + 1.0 for r in rows])
@@ -63,14 +69,14 @@ def dual_descent(rows: list[np.ndarray], values: np.ndarray, label: np.ndarray,
         for i in rng.permutation(len(rows)):
             x = values[rows[i]]
             slope = sign[i] * (float(w[rows[i]] @ x) + bias) - 1.0
-            to = min(max(dual[i] - slope / square[i], 0.0), cost)
+            to = min(max(dual[i] - slope / square[i], 0.0), cost[i])
             step = (to - dual[i]) * sign[i]
             if step:
                 w[rows[i]] += step * x
                 bias += step
                 moved = max(moved, abs(step))
                 dual[i] = to
-        if moved < 1e-4 * cost:
+        if moved < 1e-4 * cost.min():
             break
     return w, bias
 
@@ -92,7 +98,7 @@ def logistic(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return max(a, 1e-3), b
 
 
-def fit(rows: list[np.ndarray], label: np.ndarray, cost: float = 0.001, epochs: int = 20) -> Model:
+def fit(rows: list[np.ndarray], label: np.ndarray, loss: float = LOSS, epochs: int = 20) -> Model:
     """Fit on documents as arrays of distinct feature numbers; with one label only, every score is its smoothed share."""
     if len(set(label.tolist())) < 2:
         share = (label.sum() + 1) / (len(label) + 2)
@@ -105,10 +111,10 @@ def fit(rows: list[np.ndarray], label: np.ndarray, cost: float = 0.001, epochs:
             continue
         some = [rows[i] for i in inside]
         r = log_count_ratios(some, label[inside])
-        w, bias = dual_descent(some, r, label[inside], cost, epochs)
+        w, bias = dual_descent(some, r, label[inside], loss, epochs)
         margin[outside] = [float((w * r)[rows[i]].sum()) + bias for i in outside]
     r = log_count_ratios(rows, label)
-    w, bias = dual_descent(rows, r, label, cost, epochs)
+    w, bias = dual_descent(rows, r, label, loss, epochs)
     used = np.flatnonzero(w * r)
     return Model(dict(zip(used.tolist(), (w * r)[used].tolist(), strict=True)), bias, *logistic(margin, label))
 
