@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import periods as P
 from ..functions import text as T
-from ..operators import checks, matrix, metrics, modules, tables
+from ..operators import checks, matrix, merging, metrics, modules, tables
 from ..sources.readers import table
 from ..streaming import events as streams
 from . import facts
@@ -466,6 +466,27 @@ def module_values(spark, d):
     return modules.in_unit(modules.module_values(modules.currency_variant(modules.parsed_modules(f.select(payload.alias("payload"))))), "万元")
 
 
+# Merging and packing -----------------------------------------------------------
+
+
+@query("""SELECT l_orderkey, string_agg(l_partkey, ',' ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR)) AS items, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS issues,
+ min(l_linenumber) AS start_line, max(l_linenumber) AS end_line, count(*) AS fragments FROM lineitem GROUP BY 1""")
+def fragment_merge(spark, d):
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array(F.col("l_partkey").cast("string")).alias("items"), F.array("l_returnflag").alias("issues"), F.col("l_linenumber").alias("start_line"), F.col("l_linenumber").alias("end_line"))
+    out = merging.merged_fragments(lines, ["l_orderkey"], "l_linenumber")
+    return out.select("l_orderkey", F.array_join("items", ",").alias("items"), F.array_join(F.array_sort("issues"), ",").alias("issues"), "start_line", "end_line", "fragments")
+
+
+@query("""WITH RECURSIVE l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+ n AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, length(unnest(ls)) AS s FROM l),
+ r AS (SELECT doc_id, i, s AS held, 1 AS batch FROM n WHERE i = 1 UNION ALL
+  SELECT n.doc_id, n.i, CASE WHEN held + s > 1500 THEN s ELSE held + s END, CASE WHEN held + s > 1500 THEN batch + 1 ELSE batch END FROM r JOIN n ON n.doc_id = r.doc_id AND n.i = r.i + 1)
+ SELECT doc_id, string_agg(last, ',' ORDER BY batch) AS ends FROM (SELECT doc_id, batch, max(i) AS last FROM r GROUP BY 1, 2) GROUP BY 1""")
+def line_batches(spark, d):
+    sizes = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), F.length)
+    return table(spark, d, "documents").select("doc_id", F.array_join(merging.batch_ends(sizes, 1500), ",").alias("ends"))
+
+
 # Streams -------------------------------------------------------------------------
 
 
