@@ -14,20 +14,33 @@ from .nbsvm import BITS, Featuriser, Model, classified, fit_labelled
 FOLDS, HELD_OUT = 5, 0
 GOOD_FROM = 0.3
 KNOWN_TOKENS = 100_000
+#: Characters of a shape that stands in one piece, and of a token kept in the table of shapes, at most.
+LONG = 40
+#: A piece of a longer shape: letters and digits with the marks behind them. The pieces of a shape make up the whole of it.
+PIECE = re.compile(r"[Aa9]{1,8}[^Aa9]{0,8}|[^Aa9]{1,8}")
+#: White space that isn't a space or a line end.
+OTHER_SPACE = re.compile(r"[^\S\n ]")
 
 
 class Shapes(dict):
-    """Shape of a token: letters by case, digits, other characters as they are, runs shortened to one, two or more."""
+    """Shape of a whole token: letters by case, digits, other characters as they are, runs shortened to one, two or more."""
 
     runs = re.compile(r"(.)\1*", re.DOTALL)
 
     def __missing__(self, token: str) -> str:
         if len(self) > KNOWN_TOKENS:
             self.clear()
-        kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in token[:40])
-        self[token] = found = self.runs.sub(lambda m: m[1] if m[1] in "Aa9" or len(m[0]) == 1 else m[1] * 2, kinds)
+        kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c for c in token)
+        found = self.runs.sub(lambda m: m[1] if m[1] in "Aa9" or len(m[0]) == 1 else m[1] * 2, kinds)
+        if len(token) <= LONG:
+            self[token] = found
         return found
 
+    def pieces(self, token: str) -> list[str]:
+        """The shape in pieces, so that tokens without an end (text without spaces, code, base64) have shapes in common."""
+        whole = self[token]
+        return [whole] if len(whole) <= LONG else PIECE.findall(whole)
+
 
 class Grams(dict):
     """Feature number of an n-gram."""
@@ -42,13 +55,18 @@ class Grams(dict):
 def token_grams(wanted: set[int] | None = None) -> Featuriser:
     """Distinct n-grams of one to three token shapes; a token equal to the one before counts as a shape of its own.
 
-    Line ends are tokens, so that lines that are alike in shape are seen as well.
+    Line ends are tokens, so that lines that are alike in shape are seen as well,
+    and so is all white space but the plain space. Every character is read: a shape
+    longer than ``LONG`` counts as several shapes in a row.
     """
     shapes, grams = Shapes(), Grams()
 
     def features(text: str) -> set[int]:
-        tokens = text.replace("\n", " \n ").split(" ")
-        seen = [shapes[t] if t != before else "=" for t, before in zip(tokens, ["", *tokens], strict=False)]
+        tokens = OTHER_SPACE.sub(r" \g<0> ", text.replace("\n", " \n ")).split(" ")
+        if max(map(len, tokens)) <= LONG:
+            seen = [shapes[t] if t != before else "=" for t, before in zip(tokens, ["", *tokens], strict=False)]
+        else:
+            seen = [s for t, before in zip(tokens, ["", *tokens], strict=False) for s in (shapes.pieces(t) if t != before else ["="])]
         found = {(s,) for s in set(seen)} | set(zip(seen, seen[1:], strict=False)) | set(zip(seen, seen[1:], seen[2:], strict=False))
         numbers = set(map(grams.__getitem__, found))
         return numbers if wanted is None else numbers & wanted

@@ -204,3 +204,21 @@ def test_planted_toxic_documents_are_caught(spark):
     found = {r["doc_id"]: r for r in toxicity.toxicity(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
     held = [(toxic, found[i]["predicted"]) for i, _, toxic in labels if found[i]["held_out"]]
     assert sum(p for t, p in held if t) >= 0.95 * sum(t for t, _ in held) and sum(p for t, p in held if not t) <= 0.02 * len(held)
+
+
+def test_quality_reads_texts_without_spaces_to_their_end(spark):
+    features = quality.token_grams()
+    for start in ("漢字，かな。" * 20, "aB3+" * 30, "x" * 50):
+        assert features(start + "!!") != features(start) and features(start + ";a;") != features(start + "a;;")
+        assert quality.Shapes().pieces(start) and "".join(quality.Shapes().pieces(start)) == quality.Shapes()[start]
+    assert features("one\ttwo\u3000three") >= features("one\ttwo") and (hash_of := quality.Grams()[("a",)]) in features("a" * 30 + "1\tword\t2") and hash_of not in features("1\t2")
+    rng = random.Random(5)
+    rows, labels = [], []
+    for i in range(400):
+        good = i % 2
+        line = "".join(rng.choice("天地玄黃宇宙洪荒") * rng.randint(1, 9) + rng.choice("，、") for _ in range(40))
+        rows.append((i, line + ("" if good else "%%%") + line[: rng.randint(1, 99)]))
+        labels.append((i, good, 0))
+    found = {r["doc_id"]: r for r in quality.quality(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    held = [good == found[i]["predicted"] for i, good, _ in labels if found[i]["held_out"]]
+    assert len(held) > 40 and np.mean(held) >= 0.9
