@@ -10,8 +10,8 @@ from .common import saved, table
 #: Tool -> field -> (kind, required). Kinds are those of JSON values.
 Schemas = dict[str, dict[str, tuple[str, bool]]]
 KINDS = {"string": "STRING", "integer": "BIGINT", "number": "(BIGINT|DOUBLE|DECIMAL.*)", "boolean": "BOOLEAN", "object": "OBJECT.*", "array": "ARRAY.*"}
-#: Longest chain of calls that depend on one another; what is deeper counts as unordered.
-DEEPEST = 100
+#: Levels in one table of those found; more are written together, so that plans stay short.
+LEVELS_APART = 50
 
 
 def schema_errors(name: Column, arguments: Column, schemas: Schemas) -> Column:
@@ -33,8 +33,8 @@ def levels(calls: DataFrame) -> DataFrame:
     """call_id, level: 0 for a call without known dependencies, else one more than its deepest one.
 
     One level is found a round, by a join of what is still open with the ids that
-    were just placed. Calls of a cycle, and behind one, get no row. A dependency
-    that names no call is passed over.
+    were just placed, until a round places nothing. Calls of a cycle, and behind one,
+    get no row. A dependency that names no call is passed over.
     """
     ids = calls.select("call_id")
     edges = saved(
@@ -43,7 +43,7 @@ def levels(calls: DataFrame) -> DataFrame:
     )
     placed = saved(ids.join(edges.select("call_id").distinct(), "call_id", "left_anti").withColumn("level", F.lit(0)))
     whole, level = placed, 0
-    while level < DEEPEST and not edges.isEmpty():
+    while not edges.isEmpty():
         level += 1
         left = edges.join(placed.select(F.col("call_id").alias("on")), "on", "left_anti")
         done = edges.select("call_id").distinct().join(left.select("call_id").distinct(), "call_id", "left_anti")
@@ -52,6 +52,8 @@ def levels(calls: DataFrame) -> DataFrame:
             break
         edges = saved(left)
         whole = whole.unionByName(placed)
+        if level % LEVELS_APART == 0:
+            whole = saved(whole)
     return whole
 
 

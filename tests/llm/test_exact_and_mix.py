@@ -102,6 +102,12 @@ def test_tool_calls(spark):
     assert tool_calls.link_tool_calls(calls.limit(0), results.limit(0), schemas).count() == 0
 
 
+def test_levels_of_a_long_chain(spark):
+    chain = [("c", str(i), [str(i - 1)] if i else []) for i in range(130)] + [("c", "p", ["q", "129"]), ("c", "q", ["p"])]
+    calls = spark.createDataFrame(chain, "conv_id string, call_id string, depends_on array<string>").coalesce(1)
+    assert {r["call_id"]: r["level"] for r in tool_calls.levels(calls).collect()} == {str(i): i for i in range(130)}
+
+
 def test_licences(spark):
     mit = licence_scan.KNOWN["MIT"][0]
     rows = [(1, f"Copyright (c) 2020 A. Person\n\n{mit.upper()}", None), (2, "text\n  released under the MIT licence!\nmore", None), (3, mit + " or not", None), (4, None, None), (5, "", None)]
