@@ -108,6 +108,28 @@ def test_levels_of_a_long_chain(spark):
     assert {r["call_id"]: r["level"] for r in tool_calls.levels(calls).collect()} == {str(i): i for i in range(130)}
 
 
+def test_call_ids_belong_to_their_conversation(spark):
+    calls = spark.createDataFrame(
+        [("a", 1, "1", "add", "{}", []), ("b", 3, "1", "add", '{"b":1}', ["0"]), ("b", 1, "0", "add", "{}", []), ("a", 5, "1", "add", '{"z":1}', ["1"]), (None, 1, "1", "add", "{}", [])],
+        "conv_id string, turn int, call_id string, name string, arguments string, depends_on array<string>",
+    )
+    results = spark.createDataFrame([("b", 4, "1", "of b"), ("b", 6, "1", "again"), (None, 2, "1", "of none")], "conv_id string, turn int, call_id string, content string")
+    rows = tool_calls.link_tool_calls(calls, results, {"add": {}}).collect()
+    assert sorted(((r["conv_id"] or "", r["call_id"], r["turn"], r["state"], r["level"], r["result_turn"]) for r in rows), key=str) == sorted([
+        ("a", "1", 1, "unanswered", 0, None), ("a", "1", 5, "repeated", None, None), ("b", "0", 1, "unanswered", 0, None), ("b", "1", 3, "linked", 1, 4), ("b", "1", 6, "repeated", None, 6), ("", "1", 1, "linked", 0, 2),
+    ], key=str)
+    assert {'"z":1', '"result":"again"'} <= {x for r in rows for x in ('"z":1', '"result":"again"') if x in r["record"] and r["state"] == "repeated"}
+
+
+def test_every_turn_of_a_dialogue_has_a_row(spark):
+    turns = [("c", 0, "system", "s"), ("c", 1, "user", "u"), ("c", 1, "user", "v"), ("c", 2, "assistant", "x"), ("c", 3, "tool", "t"), ("c", 4, "assistant", "y"), ("c", 5, None, "n")]
+    messages = spark.createDataFrame(turns, "conv_id string, turn int, role string, text string")
+    rows = tool_calls.link_tool_calls(*tool_calls.dialogue_calls(messages), tool_calls.DIALOGUE).collect()
+    assert sorted((r["turn"], r["state"], r["errors"], r["result_turn"] or 0) for r in rows) == [
+        (0, "unanswered", "", 0), (1, "linked", "", 2), (1, "repeated", "", 0), (3, "linked", "unknown_tool", 4), (5, "unanswered", "unknown_tool", 0)
+    ]
+
+
 def test_licences(spark):
     mit = licence_scan.KNOWN["MIT"][0]
     rows = [(1, f"Copyright (c) 2020 A. Person\n\n{mit.upper()}", None), (2, "text\n  released under the MIT licence!\nmore", None), (3, mit + " or not", None), (4, None, None), (5, "", None)]
