@@ -460,9 +460,9 @@ def text_chunk_overlap(spark, d):
 
 @query()
 def module_values(spark, d):
-    f = facts.wide(spark, d).where("scope = 'parent'").groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("start", "revenue", "cost"))).alias("x"))
+    f = facts.wide(spark, d).groupBy("entity", "scope", "document_id").agg(F.array_sort(F.collect_list(F.struct("start", "revenue", "cost"))).alias("x"))
     row = lambda key: F.struct(F.lit(key).alias("key"), F.lit(key).alias("name"), F.lit("元").alias("unit"), F.lit(0).alias("level"), F.transform("x", lambda v: v[key].cast("string")).alias("values"))
-    payload = F.to_json(F.struct(F.col("entity").alias("module_key"), F.lit("notes").alias("category"), F.lit("O").alias("currency"), F.lit("1").alias("rate"), F.transform("x", lambda v: v["start"].cast("string")).alias("periods"), F.array(row("revenue"), row("cost")).alias("rows")))
+    payload = F.to_json(F.struct(F.concat_ws("/", "entity", "scope", "document_id").alias("module_key"), F.lit("notes").alias("category"), F.lit("O").alias("currency"), F.lit("1").alias("rate"), F.transform("x", lambda v: v["start"].cast("string")).alias("periods"), F.array(row("revenue"), row("cost")).alias("rows")))
     return modules.in_unit(modules.module_values(modules.currency_variant(modules.parsed_modules(f.select(payload.alias("payload"))))), "万元")
 
 

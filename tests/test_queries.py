@@ -23,3 +23,13 @@ def test_entry_has_rows(spark):
 
     assert __spark_entry__.entry(spark).columns == ["entity", "scope", "document_id", "period", "value", "reason"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_module_values_cover_every_scope(spark, sf):
+    from brightledger.plans import facts
+
+    found = QUERIES["module_values"](spark, sf).where("value IS NOT NULL").select("module_key", "row_key", "period_raw", "value").collect()
+    wide = facts.wide(spark, sf).collect()
+    key = lambda r: "/".join([r["entity"], r["scope"], r["document_id"]])
+    assert sorted((r["module_key"], r["row_key"], r["period_raw"], r["value"]) for r in found) == sorted((key(r), c, str(r["start"]), str(r[c])) for r in wide for c in ("revenue", "cost"))
+    assert {k.split("/")[1] for k, *_ in found} == {"consolidated", "parent", "unknown"}
