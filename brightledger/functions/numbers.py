@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .periods import bound
 from .text import compact_quote
 
 DECIMAL = "decimal(28,8)"
+#: Type of converted amounts: 8 places of the source and 8 more of a smaller unit.
+CONVERTED = "decimal(38,17)"
 #: Money unit -> amount in yuan. Fixed values.
 UNIT_SCALES = {"元": 1, "千元": 1_000, "万元": 10_000, "百万元": 1_000_000, "亿元": 100_000_000, "十亿元": 1_000_000_000}
 #: Units that are never scaled.
@@ -55,17 +60,19 @@ def decimal_places(text: Column) -> Column:
 
 def source_increment(text: Column) -> Column:
     """The smallest step that the disclosed precision can tell: 10 to the minus places."""
-    places = decimal_places(text)
-    step = F.lit(None).cast("decimal(18,8)")
-    for n in range(8, -1, -1):
-        step = F.when(places == n, F.lit(f"1e-{n}").cast("decimal(18,8)")).otherwise(step)
-    return step
+    return bound(decimal_places(text), lambda places: F.coalesce(*[F.when(places == n, F.lit(f"1e-{n}").cast("decimal(18,8)")) for n in range(9)]))
 
 
 def convert_unit(value: Column, source: Column, target: Column) -> Column:
-    """A money amount in another money unit; amounts of other units as they are."""
-    scaled = (value.cast(DECIMAL) * unit_scale(source)).cast("double") / unit_scale(target).cast("double")
-    return F.when(unit_scale(source).isNull() | unit_scale(target).isNull(), value.cast("double")).otherwise(scaled + F.lit(0.0))
+    """A money amount in another money unit, an exact decimal; amounts of other units as they are."""
+    powers = {name: len(str(scale)) - 1 for name, scale in UNIT_SCALES.items()}
+    power = lambda unit: F.try_element_at(F.create_map(*[F.lit(x) for pair in powers.items() for x in pair]), unit)
+    shift, given = power(source) - power(target), value.cast("decimal(27,8)")
+    moved = given
+    for n in range(1, max(powers.values()) + 1):  # literals of their own precision keep each product exact
+        up, down = F.lit(Decimal(10**n)), F.lit(Decimal(1).scaleb(-n))
+        moved = F.when(shift == n, (given * up).cast(CONVERTED)).when(shift == -n, (given * down).cast(CONVERTED)).otherwise(moved.cast(CONVERTED))
+    return moved.cast(CONVERTED)
 
 
 def half_up(value: Column, places: int) -> Column:
@@ -90,3 +97,29 @@ def guarded_ratio(numerator: Column, denominator: Column) -> tuple[Column, Colum
     """(value, reason): null with a reason where the denominator is zero or negative."""
     reason = F.when(denominator == 0, "分母为零").when(denominator < 0, "分母为负，不适用常规比率解释")
     return F.when(denominator > 0, numerator.cast("double") / denominator.cast("double")), reason
+
+
+def exponent_increment(text: Column) -> Column:
+    """The step of a loosely readable number's last digit, as plain decimal text: 0.01 of 1.50, 100 of 1.5e3."""
+    bare = F.regexp_replace(F.translate(F.trim(text), "，（）", ",()"), r"^-|[\s,()]", "")
+    exponent = F.coalesce(F.regexp_extract(bare, "[eE]([+-]?[0-9]{1,3})$", 1).try_cast("int"), F.lit(0))
+    places = F.length(F.regexp_extract(bare, r"\.([0-9]*)", 1)) - exponent
+    step = F.when(places > 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), places - 1), F.lit("1"))).otherwise(F.concat(F.lit("1"), F.repeat(F.lit("0"), -places)))
+    return F.when(loose_number(text).isNotNull(), step)
+
+
+def quantized(value: Column, places: int = 6) -> Column:
+    """An exact decimal rounded half up, as exported indicators are."""
+    return F.round(value.cast("decimal(38,18)"), places).cast(f"decimal(38,{places})")
+
+
+def percent_display(value: Column, reason: Column) -> Column:
+    """A ratio as a percentage of two places (half to even), or a dash with the reason why there is none."""
+    shown = F.concat(F.bround(value.cast("decimal(38,18)") * 100, 2).cast("decimal(38,2)").cast("string"), F.lit("%"))
+    return F.coalesce(shown, F.concat(F.lit("—（"), F.coalesce(reason, F.lit("")), F.lit("）")))
+
+
+def same_number(left: Column, right: Column) -> Column:
+    """Whether two texts are the same decimal number; false where one is missing or no number."""
+    number = lambda x: F.trim(x.cast("string")).try_cast("decimal(38,12)")
+    return F.coalesce(number(left) == number(right), F.lit(False))

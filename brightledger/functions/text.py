@@ -72,6 +72,27 @@ def age_label(text: Column) -> Column:
     return F.when(bare.isin("1年以内", "1年以下", "一年以内"), "1年内").otherwise(span)
 
 
+#: Words in a label of a non-recurring item -> its name; the first that occurs counts. Fixed values.
+NONRECURRING = {
+    "非流动": "非流动资产处置损益", "政府补助": "政府补助", "资金占用费": "资金占用费", "公允价值变动": "投资收益", "减值准备转回": "已计提减值准备的转回", "债务重组": "债务重组损益",
+    "其他营业外": "其他营业外收入和支出", "所得税影响": "所得税影响数", "少数股东权益影响": "少数股东损益影响数", "其他符合": "其他",
+}
+
+
+def nonrecurring_label(label: Column) -> Column:
+    return F.coalesce(*[F.when(label.contains(word), name) for word, name in NONRECURRING.items()], label)
+
+
+def header_join(parts: Column, separator: str = "|") -> Column:
+    """A column's header over several rows: its distinct fragments without white space, in order. Null parts are passed over."""
+    return F.array_join(F.array_distinct(F.transform(parts, compact)), separator)
+
+
+def contains_folded(text: Column, query: str) -> Column:
+    """Whether a text holds the query, whatever the case."""
+    return F.coalesce(F.lower(text).contains(query.lower()), F.lit(False))
+
+
 def section_number(text: Column) -> Column:
     """Chinese numerals from 1 to 99 as an integer; null otherwise."""
     digits = {c: str(i + 1) for i, c in enumerate("一二三四五六七八九")}

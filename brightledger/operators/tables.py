@@ -43,6 +43,11 @@ def two_phase_sum(df: DataFrame, keys: list[str], source: str, value: str) -> Da
     return distinct_or_conflict(df.groupBy(*keys, source).agg(F.sum(value).alias("_sum")), keys, "_sum")
 
 
+def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys with more than one row, and how many; null is a key like any other."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in an order that leaves no ties."""
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

@@ -1,10 +1,7 @@
-"""Registered queries and the SQL that they are held against."""
+"""Queries over the tables: facts, metrics, aggregates, matrices, ordered operators, joins, scalars, streams."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,22 +13,11 @@ from ..sources.readers import table
 from ..streaming import events as streams
 from . import facts
 from .facts import with_facts
+from .registry import ORACLE_SQL, QUERIES, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 DOUBLE = "double"
 
 
-def query(sql: str | None = None):
-    def register(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 def iso(name: str):
     return F.col(name).cast("string")
 
@@ -378,7 +364,7 @@ def number_parse_strict(spark, d):
 @query("""SELECT c_custkey, CAST(c_acctbal AS DECIMAL(18,2)) / 10000.0 AS wan, CASE WHEN round(c_acctbal, 1) = 0 THEN '0.0' ELSE format('{:,.1f}', CAST(round(CAST(c_acctbal AS DECIMAL(18,2)), 1) AS DOUBLE)) END AS shown FROM customer""")
 def format_half_up(spark, d):
     balance = F.col("c_acctbal").cast(facts.MONEY)
-    return table(spark, d, "customer").select("c_custkey", N.convert_unit(balance, F.lit("元"), F.lit("万元")).alias("wan"), N.half_up(balance, 1).alias("shown"))
+    return table(spark, d, "customer").select("c_custkey", N.convert_unit(balance, F.lit("元"), F.lit("万元")).cast(DOUBLE).alias("wan"), N.half_up(balance, 1).alias("shown"))
 
 
 _LABELS = ["一、营业收入", "其中：利息费用", "减：营业成本（亏损以“-”号填列）", " 货币 资金 ", "1.应收账款", "(二)净利润(净亏损以负号填列)", "加：其他收益", "未知 科目"]
