@@ -19,32 +19,34 @@ their own, so that a long list is spread and emits only similar pairs.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches, table
+from .common import hot_keys, saved, small_batches, spread_join, table
 from .components import connected_components
 
-#: Signature coordinates, and the collisions that make two documents candidates.
-#: At a similarity of exactly 0.8 collisions are binomial with mean 51.2 and
-#: deviation 3.2, so that 36 or more are missed about once in 200,000 pairs.
-K, MATCHES = 64, 36
+#: Signature coordinates.
+K = 64
+#: Share of the pairs exactly at the threshold that may collide too seldom to become candidates.
+MISSED = 1 / 200_000
 #: Rounds in which a posting list's members are compared with one of them only.
 STARS = 2
-#: Shingles of the documents in one block of a posting list.
-BLOCK = 400_000
+#: Shingles, and documents, in one block of a posting list.
+BLOCK, BLOCK_ROWS = 400_000, 1000
 #: Shingles whose signature values are held in memory at a time.
 SLICE = 4096
 #: Ids, of 8 bytes each, that are sent to every executor at most.
 BROADCAST_IDS = 250_000
 SEED = 20240229
-KNOWN_WORDS = 500_000
+#: Words whose hashes a worker remembers (some 3 MB).
+KNOWN_WORDS = 20_000
 
 _rng = np.random.default_rng(SEED)
 MULTIPLY = _rng.integers(1, 2**63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -65,6 +67,21 @@ class WordHashes(dict):
 _words = WordHashes()
 
 
+def matches(percent: int) -> int:
+    """The collisions that make two documents candidates: all but MISSED of the pairs at the threshold have as many.
+
+    At a similarity s the collisions are binomial: K draws of chance s. At 80 percent: 36 of 64.
+    """
+    if not 0 < percent <= 100:
+        raise ValueError(f"percent must be from 1 to 100, not {percent}")
+    s, below = percent / 100, 0.0
+    for m in range(K):
+        below += math.comb(K, m) * s**m * (1 - s) ** (K - m)
+        if below > MISSED:
+            return max(m, 1)
+    return K
+
+
 def scrambled(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit values (a finaliser of two multiplications)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -129,8 +146,8 @@ def shingle_sets(docs: DataFrame, size: int, bits: int = 64) -> DataFrame:
     return rows.mapInArrow(each, f"node long, shingles array<{'bigint' if whole else 'int'}>")
 
 
-def prefix_posts(classes: DataFrame) -> DataFrame:
-    """node, token, weight: the rarest pairs of each document, as many as the match threshold needs.
+def prefix_posts(classes: DataFrame, least: int) -> DataFrame:
+    """node, token, weight: the rarest pairs of each document, as many as the match threshold ``least`` needs.
 
     weight: how many documents have the document's pairs, all added up. It is largest
     for the document that a group's others were copied from.
@@ -138,25 +155,29 @@ def prefix_posts(classes: DataFrame) -> DataFrame:
     tokens = classes.select("node", F.posexplode("sig").alias("at", "value")).select(
         "node", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value").cast("long") + F.lit(2**31)).alias("token")
     )
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    own = tokens.join(shared, "token").groupBy("node").agg(F.collect_list(F.struct("n", "token")).alias("own")).where(F.size("own") >= MATCHES)
+    shared = saved(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    own = spread_join(tokens, shared, "token", hot_keys(shared, "token"), "node")
+    own = own.groupBy("node").agg(F.collect_list(F.struct("n", "token")).alias("own")).where(F.size("own") >= least)  # at most K
     weight = F.aggregate("own", F.lit(0).cast("long"), lambda n, x: n + x["n"])
-    prefix = F.slice(F.array_sort("own"), F.lit(1), F.size("own") - (MATCHES - 1))
+    prefix = F.slice(F.array_sort("own"), F.lit(1), F.size("own") - (least - 1))
     return own.select("node", weight.alias("weight"), F.explode(prefix).alias("post")).select("node", "post.token", "weight")
 
 
-def stars(members: DataFrame) -> DataFrame:
-    """Pairs of each posting list's heaviest member with the list's other ones of other components."""
+def centred(members: DataFrame, long: DataFrame) -> DataFrame:
+    """``members`` with their list's heaviest document (centre) and its component (own)."""
     centre = members.groupBy("token").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"), "component")).alias("c"))
-    centre = centre.select("token", (-F.col("c.minus")).alias("centre"), F.col("c.component").alias("own"))
-    pairs = members.join(centre, "token").where("component <> own")
+    return spread_join(members, centre.select("token", (-F.col("c.minus")).alias("centre"), F.col("c.component").alias("own")), "token", long, "node")
+
+
+def stars(members: DataFrame, long: DataFrame) -> DataFrame:
+    """Pairs of each posting list's heaviest member with the list's other ones of other components."""
+    pairs = centred(members, long).where("component <> own")
     return pairs.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
 
 
-def outside(members: DataFrame) -> DataFrame:
+def outside(members: DataFrame, long: DataFrame) -> DataFrame:
     """Members of each posting list that aren't in the component of its heaviest one."""
-    centre = members.groupBy("token").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"), "component")).alias("c"))
-    return members.join(centre.select("token", F.col("c.component").alias("own")), "token").where("component <> own").drop("own")
+    return centred(members, long).where("component <> own").drop("centre", "own")
 
 
 def placed(posts: DataFrame, component: DataFrame) -> DataFrame:
@@ -175,7 +196,7 @@ def having(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, least: int) -> DataFrame:
     """The pairs (a, b) that collide often enough and whose full sets are similar enough."""
     facts = classes.select("node", "n_shingles", "sig")
     left = facts.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
@@ -183,7 +204,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
     near = (
         pairs.join(left, "a").join(right, "b")
         .where(F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
-        .where(collisions("sa", "sb") >= MATCHES)
+        .where(collisions("sa", "sb") >= least)
         .select("a", "b", "na", "nb")
     )
     near = saved(near)
@@ -197,53 +218,70 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
     return both.where(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
-def across(members: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def agreeing(a: np.ndarray, b: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the rows of two sets of signatures (K, rows) that agree on ``least`` coordinates or more."""
+    count = np.zeros((a.shape[1], b.shape[1]), np.uint8)
+    low = a.astype(np.uint8), b.astype(np.uint8)  # the low bytes: where these differ often enough, so do the coordinates
+    for k in range(K):
+        count += low[0][k][:, None] == low[1][k][None]
+    x, y = np.nonzero(count >= least)
+    enough = np.empty(len(x), bool)
+    for i in range(0, len(x), SLICE):
+        s = slice(i, i + SLICE)
+        enough[s] = (a[:, x[s]] == b[:, y[s]]).sum(axis=0) >= least
+    return x[enough], y[enough]
+
+
+def across(members: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, least: int, long: DataFrame) -> DataFrame:
     """Similar pairs of one posting list whose ends are in different components.
 
-    A list is dealt into blocks of about BLOCK shingles by a hash of the node, and
-    every pair of blocks is a group of its own. A pair that meets in several lists is
+    Of such a pair at least one document isn't in the component of the list's heaviest
+    one, so these are held against the whole list. Both sides are dealt into blocks,
+    bounded in shingles and rows, by a hash of the node, and every pair of blocks is a
+    group of its own. A pair that meets in several lists is
     compared in the one with the smallest token. Documents that nothing links to a
     large component must be held against all of it, so pairs are compared on their
     sets where they meet and not given out before. Sets of 32-bit hashes serve for
     that: they can only raise the similarity, and what is given is confirmed later.
     """
-    open_ = members.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    listed = saved(members.join(open_, "token").select("token", "node", "component").join(classes.select("node", "n_shingles"), "node"))
-    sizes = listed.groupBy("token").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks"))
+    listed = centred(members, long).withColumn("outer", F.col("component") != F.col("own")).drop("centre", "own", "weight")
+    listed = saved(listed.join(classes.select("node", "n_shingles"), "node"))
+    blocks = lambda n, rows: F.ceil(F.greatest(F.sum(n) / BLOCK, F.sum(rows) / BLOCK_ROWS)).cast("int")
+    outer, one = F.col("outer").cast("long"), F.lit(1)
+    sizes = listed.groupBy("token").agg(blocks(outer * F.col("n_shingles"), outer).alias("few"), blocks(F.col("n_shingles"), one).alias("many")).where("few > 0")
+    listed = spread_join(listed, saved(sizes), "token", long, "node")
     wanted = listed.select(F.col("node").alias("doc_id")).distinct()
     sets = shingle_sets(having(docs.select("doc_id", "text"), wanted), size, 32).dropDuplicates(["node"])
     own = listed.groupBy("node").agg(F.collect_list("token").alias("prefix"))
     facts = saved(own.join(classes.select("node", "sig"), "node").join(sets, "node"))
-    dealt = (
-        listed.join(sizes, "token").join(facts, "node")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "n_shingles", "sig", "prefix", "shingles")
+    own_block = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every_block = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sides = (
+        listed.where("outer").select("token", "node", "component", "outer", "n_shingles", own_block("few").alias("i"), every_block("many").alias("j"), F.lit(True).alias("first"))
+        .unionByName(listed.select("token", "node", "component", "outer", "n_shingles", every_block("few").alias("i"), own_block("many").alias("j"), F.lit(False).alias("first")))
     )
-
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        token, i, j = key
-        sides = [rows[rows.block == i], rows[rows.block == j]]
-        node, comp, n, prefix, sets = ([s[c].to_numpy() for s in sides] for c in ("node", "component", "n_shingles", "prefix", "shingles"))
-        sig = [np.array(s.sig.tolist(), np.int32).reshape(len(s), K) for s in sides]
+    dealt = sides.join(facts, "node")
+
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        token = key[0].as_py()
+        rows = rows.combine_chunks()
+        sides = [rows.filter(rows["first"]), rows.filter(pc.invert(rows["first"]))]
+        node, comp, n, outer = ([s[c].to_numpy() for s in sides] for c in ("node", "component", "n_shingles", "outer"))
+        sig = [np.array(s["sig"].combine_chunks().flatten()).reshape(len(s), K).T for s in sides]
+        x, y = agreeing(*sig, least)
+        able = (comp[0][x] != comp[1][y]) & (100 * np.minimum(n[0][x], n[1][y]) >= percent * np.maximum(n[0][x], n[1][y]))
+        able &= ~outer[1][y] | (node[0][x] < node[1][y])
         found: list[tuple[int, int]] = []
-        for x in range(len(node[0])):
-            able = (comp[1] != comp[0][x]) & (100 * np.minimum(n[1], n[0][x]) >= percent * np.maximum(n[1], n[0][x]))
-            if i == j:
-                able &= node[1] > node[0][x]
-            at = np.flatnonzero(able)
-            at = at[(sig[1][at] == sig[0][x]).sum(axis=1) >= MATCHES]
-            mine, shingles = set(prefix[0][x]), sets[0][x]
-            for y in at:
-                if min(mine.intersection(prefix[1][y])) == token:
-                    place = np.minimum(np.searchsorted(shingles, sets[1][y]), len(shingles) - 1)
-                    common = int((shingles[place] == sets[1][y]).sum()) + n[0][x] - len(shingles)  # hashes that fell together count as common
-                    if 100 * common >= percent * (n[0][x] + n[1][y] - common):
-                        found.append((node[0][x], node[1][y]))
+        for i, j in zip(x[able].tolist(), y[able].tolist(), strict=True):
+            if min(set(sides[0]["prefix"][i].as_py()).intersection(sides[1]["prefix"][j].as_py())) == token:
+                a, b = (s["shingles"][k].values.to_numpy() for s, k in zip(sides, (i, j), strict=True))
+                common = len(np.intersect1d(a, b, assume_unique=True)) + n[0][i] - len(a)  # hashes that fell together count as common
+                if 100 * common >= percent * (n[0][i] + n[1][j] - common):
+                    found.append((node[0][i], node[1][j]))
         pairs = np.array(found, np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
+        return pa.table({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
 
-    return dealt.groupBy("token", "i", "j").applyInPandas(compare, "a long, b long")
+    return dealt.groupBy("token", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -267,14 +305,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     classes = saved(
         able.join(firsts, ["doc_id", "digest"], "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "sig").dropDuplicates(["node"])
     )
-    posts = saved(prefix_posts(classes))
+    least = matches(percent)
+    posts = saved(prefix_posts(classes, least))
+    long = saved(hot_keys(saved(posts.groupBy("token").agg(F.count(F.lit(1)).alias("n"))), "token"))
     links, part = None, None
     for step in range(STARS + 1):
         members = posts.withColumn("component", F.col("node")) if part is None else placed(posts, part)
         for _ in range(step if step < STARS else 0):
-            members = outside(members)
-        pairs = stars(members) if step < STARS else across(members, classes, docs, size, percent)
-        new = saved(confirmed(pairs, classes, docs, size, percent))
+            members = outside(members, long)
+        pairs = stars(members, long) if step < STARS else across(members, classes, docs, size, percent, least, long)
+        new = saved(confirmed(pairs, classes, docs, size, percent, least))
         links = new if links is None else links.unionByName(new)
         part = saved(connected_components(links))
     whole = part
@@ -286,8 +326,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group of near duplicates, with all its columns; rows without an id stay."""
-    gone = near_duplicates(docs, size, percent).where("NOT kept").select("doc_id").distinct()
+    """One document of each group of near duplicates, the one with the smallest id, with all its columns.
+
+    Null and empty texts are no duplicates of anything and stay, and so do rows
+    without an id. Rows that share an id stay or go together: they stay where any of
+    them is to be kept. An empty table gives an empty result; columns of any name
+    beside doc_id and text are carried along untouched.
+    """
+    found = near_duplicates(docs, size, percent).where("doc_id IS NOT NULL")
+    gone = found.groupBy("doc_id").agg(F.max("kept").alias("stays")).where("NOT stays").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti")
 
 
