@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import free_name, hot_keys, saved, spread_join, table
 
 HashOf = Callable[[Column], Column]
 
@@ -41,21 +41,23 @@ def exact_dedup(docs: DataFrame, hash_of: HashOf = content_hash) -> DataFrame:
     of ``docs`` are ignored, so their names can't clash. An empty table gives an
     empty result.
 
-    The second scan carries only (doc_id, hash) through its shuffle. Where two
+    The second scan carries only (doc_id, hash) through its shuffle, and deals the
+    rows of a group with a large part of all rows to several tasks. Where two
     different texts share one hash, which the saved groups show, the rows of that
     hash alone are matched by their bytes as well.
     """
     rows = keyed(docs, hash_of)
     groups = saved(copy_groups(rows).select("_h", F.sha2("_t", 256).alias("text_sha256"), "keep_id", "group_size"))
+    hot = hot_keys(groups.groupBy("_h").agg(F.sum("group_size").alias("n")), "_h")
     clash = groups.groupBy("_h").count().where("count > 1").select("_h")
     out = ["doc_id", "keep_id", "group_size", "text_sha256"]
     if clash.isEmpty():
-        found = rows.select("doc_id", "_h").join(groups, "_h").select(*out)
+        found = spread_join(rows.select("doc_id", "_h"), groups, "_h", hot, "doc_id").select(*out)
     else:
         single = groups.join(clash, "_h", "left_anti")
         inside = rows.join(clash, "_h", "left_semi")
         apart = copy_groups(inside).withColumn("text_sha256", F.sha2("_t", 256))
-        found = rows.select("doc_id", "_h").join(single, "_h").select(*out)
+        found = spread_join(rows.select("doc_id", "_h"), single, "_h", hot, "doc_id").select(*out)
         found = found.unionByName(inside.join(apart, ["_h", "_t"]).select(*out))
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
@@ -63,16 +65,17 @@ def exact_dedup(docs: DataFrame, hash_of: HashOf = content_hash) -> DataFrame:
 def drop_copies(docs: DataFrame, hash_of: HashOf = content_hash) -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, one for each distinct text.
 
-    All columns stay. Where rows repeat with one id and one text, one of them
-    stays. Of the rows without an id, one stays for each text that no row with an
-    id has.
+    All columns stay, whatever their names. Null text counts as empty. Where rows
+    repeat with one id and one text, one of them stays. Of the rows without an id,
+    one stays for each text that no row with an id has. An empty table gives an empty
+    result.
     """
-    groups = saved(copy_groups(keyed(docs, hash_of)).select(F.sha2("_t", 256).alias("_sha"), "keep_id"))
-    ids = groups.where("keep_id IS NOT NULL").select(F.col("keep_id").alias("doc_id")).distinct()
-    rows = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    nameless = docs.where("doc_id IS NULL").dropDuplicates(["text"])
-    nameless = nameless.join(groups.where("keep_id IS NULL"), F.sha2(F.coalesce(nameless["text"], F.lit("")), 256) == F.col("_sha"), "left_semi")
-    return rows.unionByName(nameless)
+    groups = copy_groups(keyed(docs, hash_of)).select(F.sha2("_t", 256).alias("_sha"), F.col("keep_id"))
+    groups = saved(groups)
+    sha = free_name(docs, "_sha")
+    rows = docs.withColumn(sha, F.sha2(F.coalesce("text", F.lit("")), 256))
+    same = rows["doc_id"].eqNullSafe(groups["keep_id"]) & (rows[sha] == groups["_sha"])
+    return rows.join(groups, same, "left_semi").dropDuplicates(["doc_id", sha]).drop(sha)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

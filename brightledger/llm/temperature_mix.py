@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import free_name, saved, table
 
 #: Halvings of the exponent's interval, and how many of them one pass over the sources decides.
 HALVINGS, AT_A_TIME = 40, 4
@@ -114,7 +114,7 @@ def temperature_mix(
     is met. A source's stream ends with the document that reaches its part of the
     budget. A null source counts as the empty name, a null or empty text as one
     token. Repeated rows are laid out one by one, in any order among themselves;
-    ids may be null. Other columns are ignored. An empty table gives no rows.
+    ids may be null, and rows without one are ordered by a hash of their text. Other columns are ignored. An empty table gives no rows.
 
     A running sum over a source would put the largest source into one task. The
     order is therefore cut into buckets of about BUCKET_DOCS documents by the
@@ -127,11 +127,11 @@ def temperature_mix(
     digits = F.least(F.lit(12), F.greatest(F.lit(0), F.ceil(F.log(F.col("docs") / BUCKET_DOCS) / math.log(16)))).cast("int")
     passes = F.ceil(F.col("part") / F.col("n")).cast("int")
     laid = (
-        docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_s"), count.cast("long").alias("tokens"))
+        docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_s"), count.cast("long").alias("tokens"), F.when(F.col("doc_id").isNull(), F.md5("text")).alias("own_hash"))
         .join(weights.select("_s", "n", "part", digits.alias("digits"), passes.alias("passes")), "_s")
         .where("passes > 0")
         .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
-        .withColumn("key", order_key(F.lit(seed), F.col("epoch"), F.col("doc_id")))
+        .withColumn("key", order_key(F.lit(seed), F.col("epoch"), F.coalesce(F.col("doc_id").cast("string"), F.col("own_hash"))))
         .withColumn("bucket", F.substring("key", F.lit(1), F.col("digits")))
     )
     bucket = ["_s", "epoch", "bucket"]
@@ -152,10 +152,20 @@ def temperature_mix(
 
 
 def mixed_documents(docs: DataFrame, **limits: float) -> DataFrame:
-    """The rows of ``docs``, with all their columns, each as often as the mixture meets it: at least once."""
-    met = temperature_mix(docs, **limits).groupBy("doc_id").agg(F.countDistinct("epoch").cast("int").alias("_met"))
-    rows = docs.join(met, "doc_id", "left").withColumn("_met", F.explode(F.sequence(F.lit(1), F.coalesce("_met", F.lit(1)))))
-    return rows.select(*docs.columns)
+    """The rows of ``docs``, each as often as the mixture meets it, but at least once, laid out in the mixture's order.
+
+    All columns stay, whatever their names. Rows are sorted by block and slot in
+    ranges of whole blocks, so that each file written holds blocks in their order. A
+    row without an id is met once, in a block by a hash of its text; rows that share
+    an id are each met as often as the id is. An empty table gives an empty result.
+    """
+    met = saved(temperature_mix(docs, **limits).where("doc_id IS NOT NULL").groupBy("doc_id", "epoch").agg(F.min(F.struct("block", "slot")).alias("at")))
+    last = met.agg(F.max("at.block")).first()[0] or 0
+    at, epoch = free_name(docs, "_at"), free_name(docs, "_epoch")
+    met = met.select("doc_id", F.col("epoch").alias(epoch), F.col("at").alias(at))
+    alone = F.struct(F.pmod(F.xxhash64("text"), F.lit(last + 1)).alias("block"), F.lit(0).alias("slot"))
+    rows = docs.join(met, "doc_id", "left").withColumn(at, F.coalesce(at, alone))
+    return rows.repartitionByRange(F.col(f"{at}.block")).sortWithinPartitions(f"{at}.block", f"{at}.slot").select(*docs.columns)
 
 
 def op4_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

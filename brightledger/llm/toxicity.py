@@ -6,14 +6,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import fold, free_name, table
 from .nbsvm import BITS, Featuriser, Model, classified, fit_labelled, scored
 
 SIZES = (3, 4, 5)
 FOLDS, HELD_OUT = 3, 1
 TOXIC_FROM = 0.7
 KNOWN_WORDS, KNOWN_GRAMS = 100_000, 300_000
-COLUMN = "_toxicity_score"
 
 
 class Numbers(dict):
@@ -65,14 +64,21 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     of the rows that aren't held out, at most ``nbsvm.FIT_DOCS`` of each label; a
     null id is never held out and never learned from. Null and empty texts have no
     n-grams and get the score of the bias. Without labels every score is 0.5.
+    Texts of any length are read whole; repeated rows get equal values; other columns
+    are ignored, so their names can't clash; an empty table gives an empty result. A
+    score on the threshold counts as toxic.
     """
     return classified(docs, toxicity_model(docs, labels), char_grams, FOLDS, HELD_OUT, TOXIC_FROM)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that aren't predicted toxic, with all their columns."""
-    model = toxicity_model(docs, labels)
-    return scored(docs.withColumn("text", F.col("text").cast("string")), model, char_grams, COLUMN).where(F.col(COLUMN) < TOXIC_FROM).drop(COLUMN)
+    """The rows of ``docs`` that aren't predicted toxic, with all their columns, whatever their names.
+
+    Null and empty texts get the score of the bias, like any other text without
+    n-grams; repeated rows are judged alike, and an empty table gives an empty result.
+    """
+    model, score = toxicity_model(docs, labels), free_name(docs, "_toxicity_score")
+    return scored(docs.withColumn("text", F.col("text").cast("string")), model, char_grams, score).where(F.col(score) < TOXIC_FROM).drop(score)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
