@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import fold, small_batches
 
@@ -46,7 +47,9 @@ class Model:
 
 def log_count_ratios(rows: list[np.ndarray], label: np.ndarray, smoothing: float = 1.0) -> np.ndarray:
     """log((p / |p|) / (q / |q|)) of each feature; 0 where it is within LEAST_ERRORS standard errors of 0."""
-    counts = [np.bincount(np.concatenate([r for r, y in zip(rows, label, strict=True) if y == v] or [np.empty(0, np.int64)]), minlength=1 << BITS) for v in (1, 0)]
+    counts = np.zeros((2, 1 << BITS), np.int32)
+    for r, y in zip(rows, label, strict=True):
+        counts[1 - y][r] += 1  # a row's features are distinct
     seen = int((counts[0] + counts[1] > 0).sum())
     p, q = ((c + smoothing) / (c.sum() + smoothing * seen) for c in counts)
     ratio, error = np.log(p / q), np.sqrt(sum(1 / (c + smoothing) for c in counts))
@@ -143,11 +146,8 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, label: str, held_out: Colum
     ids = able.where("_y = 1").distinct().orderBy(*order).limit(fit_docs).union(able.where("_y = 0").distinct().orderBy(*order).limit(fit_docs))
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")  # at most 2 * fit_docs ids
     got = feature_rows(sample, ["doc_id", "_y"], featuriser).orderBy(F.xxhash64("doc_id"), "doc_id", "_y").toArrow()
-    flat, ends = got["features"].combine_chunks(), got["_y"].to_numpy()
-    if got.num_rows == 0:
-        return fit([], np.empty(0, np.int64))
-    values, cuts = flat.values.to_numpy().astype(np.int64), flat.offsets.to_numpy()
-    return fit([values[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)], ends.astype(np.int64), **how)
+    rows = [x.values.to_numpy() for x in got["features"]]  # 32-bit numbers, as they came: at most 2 * fit_docs rows of 2**BITS
+    return fit(rows, got["_y"].to_numpy().astype(np.int64), **how)
 
 
 def scored(docs: DataFrame, model: Model, featuriser: MakeFeaturiser, name: str = "score") -> DataFrame:
@@ -161,8 +161,7 @@ def scored(docs: DataFrame, model: Model, featuriser: MakeFeaturiser, name: str
             found = [own.score(features(t or "")) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, name])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(each, f"{schema}, `{name}` double")
+    return docs.mapInArrow(each, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def classified(docs: DataFrame, model: Model, featuriser: MakeFeaturiser, folds: int, out: int, at_least: float) -> DataFrame:
