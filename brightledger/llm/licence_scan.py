@@ -22,8 +22,9 @@ SPELLINGS = [
     ("merchantibility", "merchantability"),
 ]
 #: Lines that name a holder: they differ between copies of one licence.
-COPYRIGHT = r"(?im)^[^a-z0-9\n]*(?:copyright|\(c\)|©)[^\n]*(?:[0-9]{4}|<year>|\[yyyy\]|all rights reserved)[^\n]*$"
-NOT_WORDS = "[^a-z0-9]+"
+COPYRIGHT = r"(?im)^[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©)[^\n]*(?:[0-9]{4}|<year>|\[yyyy\]|all rights reserved)[^\n]*$"
+#: Punctuation, white space and signs of any script: all but letters, their marks and numbers.
+NOT_WORDS = r"[^\p{L}\p{M}\p{N}]+"
 
 
 def spaced(words: str) -> str:
