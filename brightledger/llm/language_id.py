@@ -2,15 +2,15 @@
 
 Two recurrent passes read a text's bytes, one in either direction; from both states
 every position gets a probability of each language, and a document's probabilities
-are the mean over its positions. Texts are cut into windows, all of which are read,
-so that thousands of positions advance with each matrix product. Gates are piecewise
+are the mean over its positions. Texts are cut into windows, all of which are read
+and each of which begins and ends some bytes beyond those it labels, so that thousands
+of positions advance with each matrix product and every byte is seen among its neighbours. Gates are piecewise
 linear, which spares an exponential for each unit and byte. The network is trained
 in numpy by backpropagation through time.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,13 +23,17 @@ from pyspark.sql import functions as F
 from .common import fold, small_batches, table
 
 FOLDS, HELD_OUT = 4, 2
-UNITS = 8
-#: Bytes of a window when a text is read, and windows that advance together.
-READ, TOGETHER = 128, 2048
-#: Fitted sample: documents of each language, the first by hash of the id, and characters of each from a hashed place.
-FIT_DOCS, FIT_CHARS, FIT_WINDOW = 300, 240, 60
-EPOCHS, BATCH, RATE, SEED = 11, 128, 0.01, 5
-LETTER = re.compile(r"[^\W\d_]")
+UNITS = 12
+#: Bytes labelled in a window when a text is read, bytes read before and after them, and windows that advance together.
+READ, CONTEXT, TOGETHER = 128, 16, 2048
+#: Fitted sample: documents of each language, the first by hash of the id; whole texts, in windows of so many bytes.
+FIT_DOCS, FIT_WINDOW = 150, 60
+#: Steps of training, each on a batch of windows, and windows in a batch.
+STEPS, BATCH, RATE, SEED = 450, 128, 0.01, 5
+
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 @dataclass
@@ -120,31 +124,38 @@ def gradients(net: Network, codes: np.ndarray, real: np.ndarray, label: np.ndarr
     return loss, [d_inputs, d_recur, d_out, d_bias]
 
 
+def windows_of(texts: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of FIT_WINDOW bytes of (label, whole text) pairs: labels, bytes and which of these are real; the last one of a text may be short."""
+    cut = [(y, raw[i : i + FIT_WINDOW]) for y, raw in texts for i in range(0, len(raw), FIT_WINDOW)]
+    codes, real = np.zeros((FIT_WINDOW, len(cut)), np.uint8), np.zeros((FIT_WINDOW, len(cut)), np.float32)
+    for i, (_, raw) in enumerate(cut):
+        codes[: len(raw), i], real[: len(raw), i] = np.frombuffer(raw, np.uint8), 1
+    return np.array([y for y, _ in cut], np.int64), codes, real
+
+
 def train(texts: list[tuple[str, bytes]]) -> Network:
-    """A network for the languages of (language, bytes) pairs, by Adam on windows of FIT_WINDOW bytes."""
+    """A network for the languages of (language, bytes) pairs, by Adam on windows of the whole texts.
+
+    Each step draws a language and then a window evenly, so that neither a language
+    nor a long text outweighs the others.
+    """
     net = untrained(sorted({lang for lang, _ in texts}))
-    cut = [(net.languages.index(lang), raw[i : i + FIT_WINDOW]) for lang, raw in texts for i in range(0, max(1, len(raw) - FIT_WINDOW + 1), FIT_WINDOW) if raw]
-    if len(net.languages) < 2 or not cut:
+    label, codes, real = windows_of([(net.languages.index(lang), raw) for lang, raw in texts])
+    own = [np.flatnonzero(label == y) for y in range(len(net.languages))]
+    if len(net.languages) < 2 or not all(map(len, own)):
         return net
-    label = np.array([y for y, _ in cut])
-    codes = np.zeros((FIT_WINDOW, len(cut)), np.uint8)
-    real = np.zeros((FIT_WINDOW, len(cut)), np.float32)
-    for i, (_, raw) in enumerate(cut):
-        codes[: len(raw), i], real[: len(raw), i] = np.frombuffer(raw, np.uint8), 1
-    rng, step = np.random.default_rng(SEED), 0
+    rng = np.random.default_rng(SEED)
     mean, square = ([np.zeros_like(p) for p in net.parameters()] for _ in range(2))
-    for epoch in range(EPOCHS):
-        order = rng.permutation(len(cut))
-        for i in range(0, len(cut), BATCH):
-            at, step = order[i : i + BATCH], step + 1
-            _, found = gradients(net, codes[:, at], real[:, at], label[at])
-            size = np.sqrt(sum(float((g**2).sum()) for g in found))
-            rate = RATE * (1 - epoch / EPOCHS)
-            for p, g, m, s in zip(net.parameters(), found, mean, square, strict=True):
-                g = g * min(1.0, 1.0 / (size + 1e-9))
-                m += 0.1 * (g - m)
-                s += 0.01 * (g * g - s)
-                p -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+    for step in range(1, STEPS + 1):
+        at = np.array([own[y][int(u * len(own[y]))] for y, u in zip(rng.integers(0, len(own), BATCH), rng.random(BATCH), strict=True)])
+        _, found = gradients(net, codes[:, at], real[:, at], label[at])
+        size = np.sqrt(sum(float((g**2).sum()) for g in found))
+        rate = RATE * (1 - (step - 1) / STEPS)
+        for p, g, m, s in zip(net.parameters(), found, mean, square, strict=True):
+            g = g * min(1.0, 1.0 / (size + 1e-9))
+            m += 0.1 * (g - m)
+            s += 0.01 * (g * g - s)
+            p -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
     return net
 
 
@@ -155,17 +166,17 @@ def document_probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
     windows = -(-sizes // READ)
     owner = np.repeat(np.arange(len(texts)), windows)
     number = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    start = np.repeat(np.cumsum(sizes) - sizes, windows) + number * READ
-    length = np.minimum(READ, np.repeat(sizes, windows) - number * READ)
+    begin = np.repeat(np.cumsum(sizes) - sizes, windows)
+    size, offset = np.repeat(sizes, windows), number * READ
     total = np.zeros((len(texts), len(net.languages)))
+    steps = np.arange(-CONTEXT, READ + CONTEXT)[:, None]
     for i in range(0, len(owner), TOGETHER):
         s = slice(i, i + TOGETHER)
-        steps = np.arange(READ)[:, None]
-        real = (steps < length[s]).astype(np.float32)
-        codes = raw[np.minimum(start[s] + steps, len(raw) - 1)]
-        p = probabilities(net, run(net, codes, real))
-        if not real.all():
-            p *= real[:, None, :]
+        place = offset[s] + steps
+        real = ((place >= 0) & (place < size[s])).astype(np.float32)
+        codes = raw[np.clip(begin[s] + place, 0, len(raw) - 1)]
+        p = probabilities(net, run(net, codes, real)[CONTEXT : CONTEXT + READ])
+        p *= real[CONTEXT : CONTEXT + READ, None, :]
         np.add.at(total, owner[s], p.sum(axis=0).T)
     return total / np.maximum(sizes, 1)[:, None]
 
@@ -174,15 +185,15 @@ def fit_languages(docs: DataFrame) -> Network:
     """Train on a bounded sample of documents with a language that aren't held out.
 
     For each language FIT_DOCS documents at most, the first by a hash of their id,
-    and FIT_CHARS characters of each, from a place that the hash chooses.
+    and of these the whole texts.
     """
     hashed = F.xxhash64("doc_id")
-    place = F.pmod(hashed, F.greatest(F.length("text") - FIT_CHARS, F.lit(1))).cast("int") + 1
     able = docs.where((fold(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0))
-    first = W.partitionBy("lang").orderBy(hashed, "doc_id", "part")
-    rows = able.select("doc_id", F.col("lang").cast("string").alias("lang"), F.substring("text", place, F.lit(FIT_CHARS)).alias("part"))
-    rows = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= FIT_DOCS).orderBy("lang", "n").toArrow()
-    return train([(lang, part.encode("utf-8")) for lang, part in zip(rows["lang"].to_pylist(), rows["part"].to_pylist(), strict=True)])
+    ids = able.select("doc_id", F.col("lang").cast("string").alias("lang")).distinct()
+    ids = ids.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy(hashed, "doc_id"))).where(F.col("n") <= FIT_DOCS)
+    texts = able.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), ["doc_id", "lang"])  # FIT_DOCS ids a language
+    rows = texts.groupBy("lang", "n").agg(F.min("text").alias("text")).orderBy("lang", "n").toArrow()
+    return train([(lang, text.encode("utf-8")) for lang, text in zip(rows["lang"].to_pylist(), rows["text"].to_pylist(), strict=True)])
 
 
 def language_id(docs: DataFrame) -> DataFrame:
@@ -193,7 +204,9 @@ def language_id(docs: DataFrame) -> DataFrame:
     non-null lang of documents that aren't held out; a null id is never held out and
     never learned from. A text that is null or has no letter is ``und`` with score
     0, and so is every text where nothing could be learned. Ties go to the language
-    that is first in alphabetical order. Other columns are ignored.
+    that is first in alphabetical order. Texts of any length are read whole, a
+    window at a time; repeated rows get equal values, other columns are ignored, and
+    an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(fit_languages(docs))  # some 50 kB, more by 17 numbers a language
@@ -202,7 +215,7 @@ def language_id(docs: DataFrame) -> DataFrame:
         net = sent.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            able = [bool(net.languages) and t is not None and LETTER.search(t) is not None for t in texts]
+            able = [bool(net.languages) and t is not None and has_letter(t) for t in texts]
             p = document_probabilities(net, [t.encode("utf-8") if a else b"" for t, a in zip(texts, able, strict=True)])
             best = p.argmax(axis=1) if net.languages else np.zeros(len(texts), int)
             lang = [net.languages[b] if a else "und" for a, b in zip(able, best, strict=True)]

@@ -86,6 +86,9 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ``labels.quality`` of the rows that aren't held out, at most
     ``nbsvm.FIT_DOCS`` of each label; a null id is never held out and never
     learned from. A null text counts as empty. Without labels every score is 0.5.
+    Texts of any length are read whole; repeated rows get equal values; other columns
+    are ignored, so their names can't clash; an empty table gives an empty result. A
+    score on the threshold counts as good.
     """
     return classified(docs, quality_model(docs, labels), token_grams, FOLDS, HELD_OUT, GOOD_FROM)
 

@@ -133,7 +133,8 @@ def sentencepiece_digests(docs: DataFrame, model_path: str | None = None) -> Dat
     Returns doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas) and
     decoded_sha256 (of the decoded text), a row for each row of ``docs``. A null
     text counts as empty: no ids, digests of the empty string. Nothing else is
-    read, so other columns can't clash; repeated rows are repeated. ``model_path``
+    read, so other columns can't clash; repeated rows are repeated; texts of any
+    length are encoded whole; an empty table gives an empty result. ``model_path``
     must be readable on every machine; by default each takes its installed file.
     """
     small_batches(docs.sparkSession)
