@@ -3,6 +3,9 @@
 Counted as part of ``brightledger.llm``. Each stage takes (spark, docs, sf_dir) and
 returns a DataFrame, which is written as Parquet and read again as the next one's
 docs. All but the last return the columns of documents.
+
+Every stage takes null ids and texts, empty and very long texts, repeated rows, empty
+tables and further columns, as the docstring of the function that it calls says.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; those of small sources are repeated as the weights ask."""
+    """Every document stays, in the mixture's order; those of small sources are repeated as the weights ask."""
     return mixed_documents(docs)
 
 
