@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import DECIMAL, unit_scale
@@ -33,23 +35,25 @@ def statement_checks(items: DataFrame, statement: list[str], checks: dict[str, d
     status, difference, tolerance and missing_concepts, a row for each statement and
     check of its type. An input is usable where it is the only candidate, verified,
     mapped and has a value and a precision; equal repeats aren't usable. The
-    tolerance is half of the inputs' smallest steps in yuan. Nothing is changed.
+    tolerance is half of the inputs' smallest steps in yuan. Nothing is changed. All
+    checks of a statement come from one pass over its items.
     """
-    rows = [(t, code, c, k) for t, of in checks.items() for code, terms in of.items() for c, k in terms.items()]
-    terms = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(code).alias("code"), F.lit(c).alias("c"), F.lit(k).alias("k")) for t, code, c, k in rows])
+    concepts = sorted({c for of in checks.values() for terms in of.values() for c in terms})
     usable = (F.col("status") == "source_verified") & (F.col("mapping_state") == "mapped") & F.col("value").isNotNull() & F.col("source_increment").isNotNull() & unit_scale(F.col("raw_unit")).isNotNull()
-    per = items.groupBy(*statement, "statement_type", "concept").agg(
-        F.count(F.lit(1)).alias("n"), F.bool_and(F.coalesce(usable, F.lit(False))).alias("usable"), F.max(F.col("value").cast(DECIMAL)).alias("value"),
-        F.max((F.col("source_increment").cast("decimal(18,8)") * unit_scale(F.col("raw_unit"))).cast(DECIMAL)).alias("step"),
-    )
-    asked = items.select(*statement, "statement_type").distinct().withColumn("x", F.explode(F.filter(terms, lambda x: x["t"] == F.col("statement_type"))))
-    asked = asked.select(*statement, "statement_type", F.col("x.code").alias("code"), F.col("x.c").alias("concept"), F.col("x.k").alias("k"))
-    found = asked.join(per, [*statement, "statement_type", "concept"], "left")
-    good = (F.col("n") == 1) & F.col("usable")
-    done = found.groupBy(*statement, "statement_type", "code").agg(
-        F.array_sort(F.collect_list(F.when(F.col("n").isNull(), F.col("concept")))).alias("missing_concepts"), F.bool_and(F.coalesce(good, F.lit(False))).alias("all_good"),
-        F.sum(F.col("value") * F.col("k")).cast(DECIMAL).alias("difference"), F.sum(F.col("step") / F.lit(2)).cast(DECIMAL).alias("tolerance"),
-    )
+    ready = items.withColumn("_usable", F.coalesce(usable, F.lit(False))).withColumn("_step", (F.col("source_increment").cast("decimal(18,8)") * unit_scale(F.col("raw_unit"))).cast(DECIMAL))
+    own = lambda c, x: F.when(F.col("concept") == c, x)
+    facts = [x for i, c in enumerate(concepts) for x in (F.count(own(c, F.lit(1))).alias(f"n{i}"), F.bool_and(own(c, F.col("_usable"))).alias(f"u{i}"), F.max(own(c, F.col("value").cast(DECIMAL))).alias(f"v{i}"), F.max(own(c, F.col("_step"))).alias(f"s{i}"))]
+    wide = ready.groupBy(*statement, "statement_type").agg(*facts)
+
+    def outcome(code: str, terms: dict[str, int]) -> Column:
+        at = {c: concepts.index(c) for c in terms}
+        good = reduce(lambda x, y: x & y, [(F.col(f"n{i}") == 1) & F.coalesce(f"u{i}", F.lit(False)) for i in at.values()])
+        missing = F.array_sort(F.array_compact(F.array(*[F.when(F.col(f"n{i}") == 0, F.lit(c)) for c, i in at.items()])))
+        difference, tolerance = (reduce(lambda x, y: x + y, xs) for xs in ([F.col(f"v{at[c]}") * k for c, k in terms.items()], [F.col(f"s{i}") / F.lit(2) for i in at.values()]))
+        return F.struct(F.lit(code).alias("code"), missing.alias("missing_concepts"), good.alias("all_good"), difference.cast(DECIMAL).alias("difference"), tolerance.cast(DECIMAL).alias("tolerance"))
+
+    by_type = F.coalesce(*[F.when(F.col("statement_type") == t, F.array(*[outcome(code, terms) for code, terms in of.items()])) for t, of in checks.items()])
+    done = wide.select(*statement, "statement_type", F.explode(by_type).alias("x")).select(*statement, "statement_type", "x.*")
     status = (
         F.when(F.size("missing_concepts") > 0, "not_checked_missing_disclosure").when(~F.col("all_good"), "not_checked_unverified_source")
         .when(F.abs("difference") <= F.col("tolerance"), "passed").otherwise("conflict")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import DECIMAL
-from ..functions.periods import day_before, days_30_360, quarter_end_before, year_before
+from ..functions.periods import bound, day_before, days_30_360, quarter_end_before, year_before
 from .metric_catalogue import BS, CATALOGUE, CATEGORIES, VERSION, Metric
 
 GROUP = ["entity", "scope", "currency", "document_key"]
@@ -116,6 +116,21 @@ def _fill(text: str, names: dict[str, str]) -> str:
     return text
 
 
+def by_number(columns: list[Column], at_once: int = 12) -> Column:
+    """The column with the number m. Found in two steps, so that few numbers are compared.
+
+    All formulas together are too large for one generated method: they are evaluated
+    inside a function of an array of one element, which needs none.
+    """
+    m, out = F.col("m"), None
+    for start in range(0, len(columns), at_once):
+        own = None
+        for i, column in enumerate(columns[start : start + at_once], start):
+            own = (F if own is None else own).when(m == i, column)
+        out = (F if out is None else out).when(m < start + at_once, own)
+    return bound(F.lit(0), lambda _: out)
+
+
 def metric_cells(facts: DataFrame, codes: list[str] | None = None) -> DataFrame:
     """Every metric of every reporting column of every group.
 
@@ -134,11 +149,8 @@ def metric_cells(facts: DataFrame, codes: list[str] | None = None) -> DataFrame:
         *GROUP, "start", "end", "kind", "m", first["reason"].alias("missing"), F.transform("in", lambda x: x["value"]).alias("args"),
         days_30_360(F.col("start"), F.col("end")).alias("days"), F.filter("in", lambda x: x["k"] <= until).alias("used"),
     )
-    value, guard = F.lit(None).cast("decimal(38,10)"), F.lit(None).cast("string")
-    values, guards = F.when(F.lit(False), value), F.when(F.lit(False), guard)
-    for i, metric in enumerate(metrics):
-        own, why = evaluated(metric)
-        values, guards = values.when(F.col("m") == i, own), guards.when(F.col("m") == i, why)
+    outcomes = [evaluated(metric) for metric in metrics]
+    values, guards = by_number([v for v, _ in outcomes]), by_number([g for _, g in outcomes])
     reason = F.coalesce(F.col("missing"), F.when(F.col("missing").isNull(), guards))
     done = ready.withColumn("reason", reason).withColumn("value", F.when(F.col("reason").isNull(), values))
     fact = lambda name: F.element_at(F.array(*[F.lit(getattr(m, name)) for m in metrics]), F.col("m") + 1)

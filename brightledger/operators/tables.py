@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.numbers import same_number
+
 
 def distinct_or_conflict(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The one distinct value of each key, or null with a conflict: a candidate is never chosen."""
@@ -58,17 +62,16 @@ def carry_forward(df: DataFrame, keys: list[str], order: list[str], value: Colum
     return F.last(value, ignorenulls=True).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
 
 
-def run_number(keys: list[str], order: list[str], value: str) -> Column:
-    """Number of the run of equal neighbours that a row is in, from 1."""
+def begins_run(keys: list[str], order: list[str], value: str) -> Column:
+    """1 where a row differs from its neighbour before, or has none, else 0."""
     by = W.partitionBy(*keys).orderBy(*order)
-    changed = F.when(F.lag(value).over(by).eqNullSafe(F.col(value)) & (F.row_number().over(by) > 1), 0).otherwise(1)
-    return changed
+    return F.when(F.lag(value).over(by).eqNullSafe(F.col(value)) & (F.row_number().over(by) > 1), 0).otherwise(1)
 
 
 def run_groups(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
     """Consecutive equal rows of each key: its first and last order value and size."""
     first = order[0]
-    marked = df.withColumn("_new", run_number(keys, order, value))
+    marked = df.withColumn("_new", begins_run(keys, order, value))
     marked = marked.withColumn("run", F.sum("_new").over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
     return marked.groupBy(*keys, "run", value).agg(F.min(first).alias("first"), F.max(first).alias("last"), F.count(F.lit(1)).alias("n"))
 
@@ -79,6 +82,21 @@ def occurrence_join(left: DataFrame, right: DataFrame, label: list[str], left_or
     return number(left, left_order).join(number(right, right_order), [*label, "occurrence"], how)
 
 
+def admitted(requests: DataFrame, key: list[str], ts: str, seconds: int, most: int, order: str) -> DataFrame:
+    """Requests with place (among those of their key in the ``seconds`` before, itself included), admitted where that is at most ``most``, and wait.
+
+    wait: seconds until the oldest request of a full window leaves it; 0 for one that is
+    admitted. Requests of the same time are told apart by ``order``.
+    """
+    at = F.unix_micros(ts)
+    numbered = requests.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(at, order)))
+    earlier = F.count(F.lit(1)).over(W.partitionBy(*key).orderBy(at).rangeBetween(W.unboundedPreceding, -seconds * 1_000_000))
+    placed = numbered.withColumn("place", F.col("_n") - earlier)
+    back = F.lag(at, most).over(W.partitionBy(*key).orderBy(at, order))
+    wait = F.when(F.col("place") > most, F.ceil((back + seconds * 1_000_000 - at) / 1_000_000)).otherwise(0)
+    return placed.withColumn("admitted", F.col("place") <= most).withColumn("wait", F.greatest(wait, F.lit(0))).drop("_n")
+
+
 def rolling_count(key: list[str], ts: str, seconds: int) -> Column:
     """Rows of the key in the ``seconds`` up to and including the row's time."""
     by = W.partitionBy(*key).orderBy(F.unix_micros(ts)).rangeBetween(-seconds * 1_000_000, 0)
@@ -120,24 +138,69 @@ def digest_of_group(df: DataFrame, keys: list[str], part: Column, item: Column)
     return df.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(listed, lambda x: F.concat(x["k"], F.lit(":"), x["v"])), "\n"), 256).alias("digest"), F.count(F.lit(1)).alias("n"))
 
 
-def score(expected: DataFrame, actual: DataFrame, anchor: list[str]) -> DataFrame:
-    """Extraction scores on unique source anchors: metric, numerator, denominator, value (null for no denominator).
+#: What a scored cell says, beside its value, and which of it an accuracy is about.
+SCORED = ["company_id", "statement_type", "concept", "period", "scope", "currency", "unit_scale"]
+ACCURACIES = {"period_accuracy": ["period"], "scope_accuracy": ["scope"], "unit_accuracy": ["currency", "unit_scale"]}
+
+
+def score(expected: DataFrame, actual: DataFrame, anchor: list[str], tables: list[str]) -> DataFrame:
+    """Seven scores of extracted cells, matched by their source anchors alone.
 
-    Anchors that are null match each other. Sides: anchor columns, concept, value, state.
+    Both sides have the columns anchor, SCORED and value; ``actual`` has a
+    verification_state as well. ``tables``: the part of the anchor that names a table.
+    Returns metric, numerator, denominator, value (null for no denominator), and of
+    accuracies coverage_numerator and coverage_denominator. Accuracies are shares of
+    all expected cells, covered or not; a verified cell that nobody expected is falsely
+    verified. Anchors that are null match each other; one that repeats is an error.
     """
-    a = actual.select(*(F.col(c).alias(f"a_{c}") for c in anchor), F.col("concept").alias("a_concept"), F.col("value").alias("a_value"), F.col("state").alias("a_state"), F.lit(True).alias("found"))
+    for side, name in ((expected, "expected"), (actual, "actual")):
+        if not duplicates(side, anchor).isEmpty():
+            raise ValueError(f"duplicate {name} anchor")
+    fields = [*SCORED, "value"]
+    e = expected.select(*anchor, *(F.col(c).alias(f"e_{c}") for c in fields), F.lit(True).alias("wanted"))
+    a = actual.select(*(F.col(c).alias(f"a_{c}") for c in [*anchor, *fields]), F.col("verification_state").alias("state"), F.lit(True).alias("found"))
     on = [F.col(c).eqNullSafe(F.col(f"a_{c}")) for c in anchor]
-    both = expected.join(a, on, "left")
-    found = F.coalesce("found", F.lit(False))
-    right_value, right_concept = found & F.col("value").eqNullSafe(F.col("a_value")), found & F.col("concept").eqNullSafe(F.col("a_concept"))
-    checked = F.coalesce(F.col("a_state") == "VERIFIED", F.lit(False))
-    counts = both.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(found).alias("covered"), F.count_if(right_value).alias("value_ok"), F.count_if(right_concept).alias("concept_ok"),
-        F.count_if(checked).alias("verified"), F.count_if(checked & ~(right_value & right_concept)).alias("false_verified"),
-    )
-    names = [("cell_recall", "covered", "n"), ("value_accuracy", "value_ok", "covered"), ("concept_accuracy", "concept_ok", "covered"), ("verified_share", "verified", "covered"), ("false_verified_rate", "false_verified", "verified")]
-    rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(x).alias("numerator"), F.col(y).alias("denominator")) for m, x, y in names])
-    return counts.select(F.explode(rows).alias("r")).select("r.*", F.try_divide(F.col("r.numerator").cast("double"), F.col("r.denominator").cast("double")).alias("value"))
+    both = e.join(a, on, "full")
+    wanted, found = F.coalesce("wanted", F.lit(False)), F.coalesce("found", F.lit(False))
+    same = lambda c: F.col(f"e_{c}").eqNullSafe(F.col(f"a_{c}"))
+    every = lambda parts: reduce(lambda x, y: x & y, parts)
+    told = lambda cs: wanted & found & every([F.col(f"a_{c}").isNotNull() for c in cs])
+    number = same_number(F.col("e_value"), F.col("a_value"))
+    verified = found & (F.coalesce(F.col("state") == "VERIFIED", F.lit(False)))
+    count = lambda c, name: F.count_if(c).alias(name)
+    numeric, concept = wanted & F.col("e_value").isNotNull(), wanted & F.col("e_concept").isNotNull()
+    parts = [
+        count(wanted, "n"), count(concept, "concepts"), count(concept & found & same("concept"), "recalled"), count(numeric, "numbers"), count(numeric & found & F.col("a_value").isNotNull(), "numbers_covered"),
+        count(numeric & found & number & every([same(c) for c in ("period", "scope", "currency", "unit_scale")]), "numbers_right"), count(verified, "verified"),
+        count(verified & ~(wanted & number & every([same(c) for c in SCORED])), "falsely"),
+    ]
+    for name, cs in ACCURACIES.items():
+        parts += [count(told(cs), f"{name}_covered"), count(told(cs) & every([same(c) for c in cs]), f"{name}_right")]
+    seen = lambda side: side.select(*tables, "statement_type").distinct()
+    discovered = seen(expected).withColumn("in", F.lit(1)).unionByName(seen(actual).withColumn("in", F.lit(2))).groupBy(*tables, "statement_type").agg(F.sum("in").alias("in"))
+    discovered = discovered.agg(count(F.col("in") == 3, "tables_found"), count(F.col("in") != 2, "tables"))
+    row = lambda metric, top, low, covered=None: F.struct(F.lit(metric).alias("metric"), F.col(top).alias("numerator"), F.col(low).alias("denominator"), (F.col(covered) if covered else F.lit(None).cast("long")).alias("coverage_numerator"), (F.col(low) if covered else F.lit(None).cast("long")).alias("coverage_denominator"))
+    rows = [row("main_table_discovery", "tables_found", "tables"), *(row(m, f"{m}_right", "n", f"{m}_covered") for m in ACCURACIES), row("core_concept_recall", "recalled", "concepts"), row("numeric_accuracy", "numbers_right", "numbers", "numbers_covered"), row("false_verified_rate", "falsely", "verified")]
+    counts = both.agg(*parts).crossJoin(F.broadcast(discovered))  # one row beside one row
+    return counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*", F.try_divide(F.col("r.numerator").cast("double"), F.col("r.denominator").cast("double")).alias("value"))
+
+
+def manifest_faults(manifest: DataFrame) -> DataFrame:
+    """Faults of a manifest of files (document_id, company_id, split, sha256, origin, category): fault and subject, a row for each.
+
+    Every field is required; split is dev or holdout, origin real or synthetic, sha256
+    lower-case hex; documents and contents are unique, and a company is in one split only.
+    """
+    named = F.coalesce("document_id", F.lit(""))
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    own = F.array_compact(F.array(
+        *[F.when(blank(c), F.lit(f"missing:{c}")) for c in ("document_id", "company_id", "split", "sha256", "origin", "category")], F.when(~blank("split") & ~F.col("split").isin("dev", "holdout"), F.lit("invalid:split")),
+        F.when(~blank("origin") & ~F.col("origin").isin("real", "synthetic"), F.lit("invalid:origin")), F.when(~blank("sha256") & ~F.col("sha256").rlike("^[0-9a-f]{64}$"), F.lit("invalid:sha256")),
+    ))
+    of_rows = manifest.select(F.explode(own).alias("fault"), named.alias("subject"))
+    again = lambda c: duplicates(manifest, [c]).select(F.lit(f"duplicate:{c}").alias("fault"), F.coalesce(c, F.lit("")).alias("subject"))
+    leaked = split_leakage(manifest).select(F.lit("leaked").alias("fault"), F.col("company_id").alias("subject"))
+    return of_rows.unionByName(again("document_id")).unionByName(again("sha256")).unionByName(leaked)
 
 
 def split_leakage(manifest: DataFrame) -> DataFrame:

@@ -38,14 +38,20 @@ def long(spark: SparkSession, sf_dir: str, period: str = "year") -> DataFrame:
     return wide(spark, sf_dir, period).unpivot(["entity", "scope", "document_id", "start", "end"], CONCEPTS, "concept", "value").where("value IS NOT NULL")
 
 
-def statement_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The yearly facts as rows of STATEMENT_FACT: flows of an income statement, and the inventory as a balance."""
-    stock = F.col("concept") == "inventory"
-    return long(spark, sf_dir).where("concept IN ('revenue', 'cost', 'inventory')").select(
-        F.concat_ws("/", "entity", "scope", "document_id", F.col("start").cast("string")).alias("statement_id"),
-        F.concat_ws("/", "entity", "scope", "document_id", F.col("start").cast("string"), "concept").alias("item_id"), F.concat(F.lit("d"), "document_id").alias("document_id"),
+def statement_facts(spark: SparkSession, sf_dir: str, period: str = "year", names: dict[str, str] | None = None) -> DataFrame:
+    """The facts as rows of STATEMENT_FACT: flows of an income statement, and balances.
+
+    ``names``: concept of the facts -> concept of a statement; revenue and cost are
+    flows, all others balances at the period's end.
+    """
+    names = names or {"revenue": "revenue", "cost": "cost", "inventory": "inventory"}
+    stock = ~F.col("concept").isin("revenue", "cost")
+    key = F.concat_ws("/", "entity", "scope", "document_id", F.col("start").cast("string"))
+    renamed = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("concept")]
+    return long(spark, sf_dir, period).where(F.col("concept").isin(list(names))).withColumn("concept", renamed).select(
+        key.alias("statement_id"), F.concat_ws("/", key, "concept").alias("item_id"), F.concat(F.lit("d"), "document_id").alias("document_id"),
         F.when(stock, "balance_sheet").otherwise("income_statement").alias("statement_type"), "entity", "scope", F.lit("CNY").alias("currency"),
-        F.when(~stock, F.col("start")).alias("period_start"), F.col("end").alias("period_end"), F.when(stock, "instant").otherwise("year").alias("period_kind"),
+        F.when(~stock, F.col("start")).alias("period_start"), F.col("end").alias("period_end"), F.when(stock, "instant").otherwise(period).alias("period_kind"),
         F.year("start").cast("string").alias("period_raw"), "concept", F.col("concept").alias("source_name"), F.col("value").cast("string").alias("raw_value"), F.lit("元").alias("raw_unit"),
         F.col("value").cast("decimal(28,8)").alias("value"), F.lit("source_verified").alias("status"), F.lit("extracted").alias("statement_state"),
         F.array().cast("array<string>").alias("issues"), F.lit(True).alias("unit_known"),

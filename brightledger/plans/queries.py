@@ -48,7 +48,7 @@ _UNKNOWN = "CASE WHEN a.scope = 'unknown' THEN '主体、范围、期间或单
 
 
 def _missing(label: str, shown: str, absent: str) -> str:
-    return f"CASE WHEN a.scope = 'unknown' AND NOT ({absent} AND FALSE) THEN '主体、范围、期间或单位口径待确认' WHEN {absent} THEN '缺少输入：{label}（' || {shown} || '）' END"
+    return f"CASE WHEN a.scope = 'unknown' THEN '主体、范围、期间或单位口径待确认' WHEN {absent} THEN '缺少输入：{label}（' || {shown} || '）' END"
 
 
 @query(with_facts(_METRIC.format(value="CAST(revenue - cost AS DOUBLE) / CAST(revenue AS DOUBLE) * 100", reason=_UNKNOWN, source="FROM f a")))
@@ -80,18 +80,47 @@ def metric_days_30_360(spark, d):
     return _metric(spark, d, "inventory_turnover_days")
 
 
+_BEFORE = "FROM f a LEFT JOIN f b ON a.entity = b.entity AND a.scope = b.scope AND a.document_id = b.document_id AND {on}"
+
+
+def _balances(spark, d, code, names, period="year"):
+    cells = metrics.metric_cells(facts.statement_facts(spark, d, period, names), [code]).where(F.col("kind") == period)
+    return cells.select("entity", "scope", F.substring("document_key", 2, 99).alias("document_id"), iso("start").alias("period"), F.round(F.col("value").cast(DOUBLE), 6).alias("value"), "reason")
+
+
+@query(with_facts(_METRIC.format(
+    value="CAST(a.inventory - b.inventory AS DOUBLE) / abs(CAST(b.inventory AS DOUBLE)) * 100", reason=_missing("资产总计", "CAST(CAST(a.\"start\" AS DATE) - 1 AS VARCHAR)", "b.entity IS NULL"),
+    source=_BEFORE.format(on="b.\"start\" = CAST(a.\"start\" - INTERVAL 3 MONTH AS DATE)")), "quarter"))
+def metric_qoq(spark, d):
+    return _balances(spark, d, "total_assets_quarter_growth", {"revenue": "revenue", "inventory": "total_assets"}, "quarter")
+
+
+@query(with_facts(_METRIC.format(
+    value="CAST(a.inventory - b.inventory AS DOUBLE) / abs(CAST(b.inventory AS DOUBLE)) * 100", reason=_missing("资产总计", "(year(a.\"start\") - 1) || '-12-31'", "b.entity IS NULL"),
+    source=_BEFORE.format(on="year(b.\"start\") = year(a.\"start\") - 1"))))
+def metric_opening_growth(spark, d):
+    return _balances(spark, d, "total_assets_opening_growth", {"revenue": "revenue", "inventory": "total_assets"})
+
+
+@query(with_facts(_METRIC.format(
+    value="360 * (CAST(a.inventory + b.inventory AS DOUBLE) / 2 / CAST(a.cost AS DOUBLE) + CAST(a.tax + b.tax AS DOUBLE) / 2 / CAST(a.revenue AS DOUBLE))",
+    reason=_missing("存货", "(year(a.\"start\") - 1) || '-12-31'", "b.entity IS NULL"), source=_BEFORE.format(on="year(b.\"start\") = year(a.\"start\") - 1"))))
+def metric_operating_cycle(spark, d):
+    return _balances(spark, d, "operating_cycle", {"revenue": "revenue", "cost": "cost", "inventory": "inventory", "tax": "accounts_receivable"})
+
+
 @query()
 def metrics_all(spark, d):
     cells = metrics.metric_cells(facts.statement_facts(spark, d))
     return cells.select("entity", "scope", "document_key", iso("start").alias("start"), iso("end").alias("end"), "kind", "code", "category", "unit", F.col("value").cast(DOUBLE).alias("value"), "reason", "status", F.size("inputs").alias("inputs"))
 
 
-@query(with_facts("""SELECT entity, scope, CAST("start" AS VARCHAR) AS period,
- entity || '/' || scope || '/' || document_id || '/' || "start" || '/cost,' || entity || '/' || scope || '/' || document_id || '/' || "start" || '/revenue' AS inputs
- FROM f WHERE scope <> 'unknown'"""))
+@query(with_facts("""SELECT entity, scope, document_id, CAST("start" AS VARCHAR) AS period,
+ CASE WHEN scope <> 'unknown' THEN entity || '/' || scope || '/' || document_id || '/' || "start" || '/cost,' || entity || '/' || scope || '/' || document_id || '/' || "start" || '/revenue' ELSE entity || '/' || scope || '/' || document_id || '/' || "start" || '/cost' END AS inputs
+ FROM f"""))
 def metric_lineage(spark, d):
-    cells = metrics.metric_cells(facts.statement_facts(spark, d), ["cost_rate"]).where("kind = 'year' AND scope <> 'unknown'")
-    return cells.select("entity", "scope", iso("start").alias("period"), F.array_join(F.array_sort(F.transform("inputs", lambda x: x["item_id"])), ",").alias("inputs"))
+    cells = metrics.metric_cells(facts.statement_facts(spark, d), ["cost_rate"]).where("kind = 'year'")
+    return cells.select("entity", "scope", F.substring("document_key", 2, 99).alias("document_id"), iso("start").alias("period"), F.array_join(F.array_sort(F.transform("inputs", lambda x: x["item_id"])), ",").alias("inputs"))
 
 
 _CHECKED = """, o AS (SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)) AS total, (SELECT sum(CAST(l_extendedprice AS DECIMAL(18,2))) FROM lineitem WHERE l_orderkey = o_orderkey) AS lines FROM orders)
@@ -156,14 +185,14 @@ def unique_or_null(spark, d):
 
 # Matrices ----------------------------------------------------------------------
 
-YEARS = list(range(1995, 2002))
-
-
-@query(with_facts("SELECT entity, scope, " + ", ".join(f"CAST(sum(revenue) FILTER (year(\"start\") = {y}) AS DOUBLE) AS y{y}" for y in YEARS) + " FROM f GROUP BY 1, 2"))
+@query(with_facts("""SELECT g.entity, g.scope, y.y, CAST(sum(revenue) AS DOUBLE) AS revenue FROM (SELECT DISTINCT entity, scope FROM f) g CROSS JOIN (SELECT DISTINCT year("start") AS y FROM f) y
+ LEFT JOIN f ON f.entity = g.entity AND f.scope = g.scope AND year(f."start") = y.y GROUP BY 1, 2, 3"""))
 def matrix_pivot(spark, d):
     f = facts.wide(spark, d).select("entity", "scope", F.year("start").alias("y"), "revenue")
-    out = matrix.pivoted(f, ["entity", "scope"], "y", YEARS, F.sum("revenue"))
-    return out.select("entity", "scope", *[F.col(str(y)).cast(DOUBLE).alias(f"y{y}") for y in YEARS])
+    years = [r["y"] for r in table(spark, d, "orders").select(F.year("o_orderdate").alias("y")).distinct().orderBy("y").collect()]  # the columns of the result: one a year
+    out = matrix.pivoted(f, ["entity", "scope"], "y", years, F.sum("revenue"))
+    cells = F.array(*[F.struct(F.lit(y).alias("y"), F.col(str(y)).cast(DOUBLE).alias("revenue")) for y in years])
+    return out.select("entity", "scope", F.explode(cells).alias("c")).select("entity", "scope", "c.*")
 
 
 @query("""SELECT p_partkey, unnest(['p_brand', 'p_name', 'p_type']) AS key, unnest([p_brand, p_name, p_type]) AS value FROM part""")
@@ -171,12 +200,12 @@ def matrix_unpivot(spark, d):
     return matrix.unpivoted(table(spark, d, "part"), ["p_partkey"], ["p_brand", "p_name", "p_type"])
 
 
-@query(with_facts("""SELECT field, max(value) FILTER (y = 1995) AS y1995, max(value) FILTER (y = 1996) AS y1996, max(value) FILTER (y = 1997) AS y1997 FROM (
- SELECT year("start") AS y, unnest(['cost', 'revenue']) AS field, unnest([CAST(sum(cost) AS DOUBLE), CAST(sum(revenue) AS DOUBLE)]) AS value FROM f GROUP BY "start") GROUP BY field"""))
+@query(with_facts("""SELECT field, y, value FROM (SELECT year("start") AS y, unnest(['cost', 'revenue']) AS field, unnest([CAST(sum(cost) AS DOUBLE), CAST(sum(revenue) AS DOUBLE)]) AS value FROM f GROUP BY "start")"""))
 def matrix_transpose(spark, d):
     f = facts.wide(spark, d).groupBy(F.year("start").alias("y")).agg(F.sum("cost").cast(DOUBLE).alias("cost"), F.sum("revenue").cast(DOUBLE).alias("revenue"))
-    out = matrix.transposed(f, "y", ["cost", "revenue"], [1995, 1996, 1997])
-    return out.select("field", *[F.col(str(y)).alias(f"y{y}") for y in (1995, 1996, 1997)])
+    years = [r["y"] for r in f.select("y").distinct().orderBy("y").collect()]  # the columns of the result: one a year
+    out = matrix.transposed(f, "y", ["cost", "revenue"], years)
+    return out.select("field", F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.col(str(y)).alias("value")) for y in years])).alias("x")).select("field", "x.*")
 
 
 @query("""SELECT p_brand, p_size, CASE WHEN p_size % 7 = 0 THEN '-' WHEN p_size % 5 = 0 THEN '0' ELSE '' END AS cell, count(*) AS n FROM part
@@ -194,11 +223,11 @@ def report_filter_multi(spark, d):
     return out.select("entity", "scope", "document_id", iso("end").alias("period"), F.col("revenue").cast(DOUBLE).alias("revenue"))
 
 
-@query(with_facts("""SELECT entity, scope, CAST("start" AS VARCHAR) AS period, CAST(revenue AS DOUBLE) AS revenue FROM (
- SELECT *, year("start") * 4 + quarter("start") AS q, max(year("start") * 4 + quarter("start")) OVER (PARTITION BY entity, scope) AS top FROM f WHERE scope <> 'unknown') WHERE q > top - 12""", "quarter"))
+@query(with_facts("""SELECT entity, scope, document_id, CAST("start" AS VARCHAR) AS period, CAST(revenue AS DOUBLE) AS revenue FROM (
+ SELECT *, year("start") * 4 + quarter("start") AS q, max(year("start") * 4 + quarter("start")) OVER (PARTITION BY entity, scope, document_id) AS top FROM f) WHERE q > top - 12""", "quarter"))
 def rolling_window_years(spark, d):
-    out = matrix.rolling_years(facts.wide(spark, d, "quarter").where("scope <> 'unknown'"), "end", ["entity", "scope"], 3)
-    return out.select("entity", "scope", iso("start").alias("period"), F.col("revenue").cast(DOUBLE).alias("revenue"))
+    out = matrix.rolling_years(facts.wide(spark, d, "quarter"), "end", ["entity", "scope", "document_id"], 3)
+    return out.select("entity", "scope", "document_id", iso("start").alias("period"), F.col("revenue").cast(DOUBLE).alias("revenue"))
 
 
 @query("""WITH c AS (SELECT unnest(['合并期末', '合并期末同比(%)', '母公司期末', '母公司期初环比(%)', '同比']) AS name)
@@ -313,19 +342,60 @@ def union_sources(spark, d):
     return orders.unionByName(owners, allowMissingColumns=True).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("v").cast(DOUBLE).alias("total"), F.count("note").alias("notes"))
 
 
-@query("""WITH e AS (SELECT d.doc_id, lang AS concept, n_chars AS value FROM documents d), a AS (SELECT d.doc_id, CASE WHEN d.doc_id % 9 = 0 THEN 'xx' ELSE lang END AS concept, CASE WHEN d.doc_id % 5 = 0 THEN n_chars + 1 ELSE n_chars END AS value, CASE WHEN toxic = 0 THEN 'VERIFIED' ELSE 'GAP' END AS state FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
- j AS (SELECT e.*, a.doc_id IS NOT NULL AS found, coalesce(a.value = e.value, false) AS v, coalesce(a.concept = e.concept, false) AS c, coalesce(a.state = 'VERIFIED', false) AS k FROM e LEFT JOIN a ON e.doc_id = a.doc_id),
- t AS (SELECT count(*) AS n, count(*) FILTER (found) AS f, count(*) FILTER (v) AS v, count(*) FILTER (c) AS c, count(*) FILTER (k) AS k, count(*) FILTER (k AND NOT (v AND c)) AS fk FROM j)
- SELECT m AS metric, a AS numerator, b AS denominator, CASE WHEN b = 0 THEN NULL ELSE CAST(a AS DOUBLE) / b END AS value FROM (
- SELECT unnest(['cell_recall', 'value_accuracy', 'concept_accuracy', 'verified_share', 'false_verified_rate']) AS m, unnest([f, v, c, k, fk]) AS a, unnest([n, f, f, f, k]) AS b FROM t)""")
+_SIDES = """lines AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus, min(l_shipdate) AS l_shipdate, min(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2),
+ e AS (SELECT l_orderkey AS document_id, CAST(l_linenumber AS VARCHAR) AS table_id, l_linenumber AS source_row, CAST(l_suppkey AS VARCHAR) AS company_id, l_returnflag AS statement_type,
+   CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE 'c' || l_partkey % 50 END AS concept, CAST(year(l_shipdate) AS VARCHAR) AS period, l_linestatus AS scope, 'CNY' AS currency, '1' AS unit_scale,
+   CASE WHEN l_partkey % 8 = 0 THEN NULL ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS value FROM lines WHERE l_partkey % 10 <> 0),
+ a AS (SELECT l_orderkey AS document_id, CAST(l_linenumber AS VARCHAR) AS table_id, l_linenumber AS source_row, CAST(l_suppkey AS VARCHAR) AS company_id, CASE WHEN l_partkey % 17 = 0 THEN 'X' ELSE l_returnflag END AS statement_type,
+   CASE WHEN l_partkey % 11 = 0 THEN 'other' ELSE 'c' || l_partkey % 50 END AS concept, CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE CAST(year(l_shipdate) AS VARCHAR) END AS period, l_linestatus AS scope,
+   CASE WHEN l_partkey % 6 = 0 THEN 'USD' ELSE 'CNY' END AS currency, '1' AS unit_scale, CASE WHEN l_partkey % 19 = 0 THEN 'x' ELSE CAST(l_quantity AS BIGINT) || '.00' END AS value,
+   CASE WHEN l_partkey % 4 = 0 THEN 'GAP' ELSE 'VERIFIED' END AS state FROM lines WHERE l_partkey % 13 <> 0)"""
+
+
+@query("WITH " + _SIDES + """, j AS (SELECT e.document_id IS NOT NULL AS w, a.document_id IS NOT NULL AS f, e.value AS ev, e.concept AS ec, e.period AS ep, e.scope AS es, e.currency AS eu, a.value AS av, a.concept AS ac, a.period AS ap, a.scope AS ascope, a.currency AS au, a.state,
+   coalesce(TRY_CAST(e.value AS DECIMAL(38,12)) = TRY_CAST(a.value AS DECIMAL(38,12)), false) AS num, e.statement_type = a.statement_type AS st, e.company_id = a.company_id AS co
+   FROM e FULL JOIN a ON e.document_id = a.document_id AND e.table_id = a.table_id AND e.source_row = a.source_row),
+ t AS (SELECT count(*) FILTER (w) AS n, count(*) FILTER (w AND f AND ap IS NOT NULL) AS pc, count(*) FILTER (w AND f AND ap = ep) AS pr, count(*) FILTER (w AND f AND ascope IS NOT NULL) AS sc, count(*) FILTER (w AND f AND ascope = es) AS sr,
+   count(*) FILTER (w AND f) AS uc, count(*) FILTER (w AND f AND au = eu) AS ur, count(*) FILTER (w AND ec IS NOT NULL) AS cn, count(*) FILTER (w AND f AND ec = ac) AS cr, count(*) FILTER (w AND ev IS NOT NULL) AS nn,
+   count(*) FILTER (w AND f AND ev IS NOT NULL AND av IS NOT NULL) AS nc, count(*) FILTER (w AND f AND num AND ap IS NOT DISTINCT FROM ep AND es = ascope AND eu = au) AS nr, count(*) FILTER (f AND state = 'VERIFIED') AS vn,
+   count(*) FILTER (f AND state = 'VERIFIED' AND NOT coalesce(w AND num AND st AND co AND ec IS NOT DISTINCT FROM ac AND ep IS NOT DISTINCT FROM ap AND es = ascope AND eu = au, false)) AS vf FROM j),
+ d AS (SELECT (SELECT count(*) FROM (SELECT DISTINCT document_id, table_id, statement_type FROM e)) AS dn, (SELECT count(*) FROM (SELECT document_id, table_id, statement_type FROM e INTERSECT SELECT document_id, table_id, statement_type FROM a)) AS dr)
+ SELECT m AS metric, x AS numerator, y AS denominator, c AS coverage_numerator, CASE WHEN c IS NOT NULL THEN y END AS coverage_denominator, CAST(x AS DOUBLE) / nullif(y, 0) AS value FROM (
+ SELECT unnest(['main_table_discovery', 'period_accuracy', 'scope_accuracy', 'unit_accuracy', 'core_concept_recall', 'numeric_accuracy', 'false_verified_rate']) AS m, unnest([dr, pr, sr, ur, cr, nr, vf]) AS x, unnest([dn, n, n, n, cn, nn, vn]) AS y, unnest([NULL, pc, sc, uc, NULL, nc, NULL]) AS c FROM t, d)""")
 def anchor_score(spark, d):
-    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
-    expected = docs.select("doc_id", F.col("lang").alias("concept"), F.col("n_chars").alias("value"))
-    actual = docs.join(labels, "doc_id").select(
-        "doc_id", F.when(F.col("doc_id") % 9 == 0, "xx").otherwise(F.col("lang")).alias("concept"),
-        F.when(F.col("doc_id") % 5 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("value"), F.when(F.col("toxic") == 0, "VERIFIED").otherwise("GAP").alias("state"),
+    part, year = F.col("l_partkey"), F.year("l_shipdate").cast("string")
+    own = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_shipdate", "l_quantity")])
+    lines = own.select(
+        F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").cast("string").alias("table_id"), F.col("l_linenumber").alias("source_row"), F.col("l_suppkey").cast("string").alias("company_id"), F.col("l_linestatus").alias("scope"),
+        F.lit("1").alias("unit_scale"), "l_returnflag", "l_partkey", "l_shipdate", F.col("l_quantity").cast("long").cast("string").alias("q"),
+    )
+    concept = F.concat(F.lit("c"), (part % 50).cast("string"))
+    expected = lines.where("l_partkey % 10 <> 0").withColumns({"statement_type": F.col("l_returnflag"), "concept": F.when(part % 9 != 0, concept), "period": year, "currency": F.lit("CNY"), "value": F.when(part % 8 != 0, F.col("q"))})
+    actual = lines.where("l_partkey % 13 <> 0").withColumns({
+        "statement_type": F.when(part % 17 == 0, "X").otherwise(F.col("l_returnflag")), "concept": F.when(part % 11 == 0, "other").otherwise(concept), "period": F.when(part % 7 != 0, year), "currency": F.when(part % 6 == 0, "USD").otherwise("CNY"),
+        "value": F.when(part % 19 == 0, "x").otherwise(F.concat("q", F.lit(".00"))), "verification_state": F.when(part % 4 == 0, "GAP").otherwise("VERIFIED"),
+    })
+    return tables.score(expected, actual, ["document_id", "table_id", "source_row"], ["document_id", "table_id"])
+
+
+@query("""WITH m AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, source AS company_id, CASE doc_id % 5 WHEN 0 THEN 'holdout' WHEN 1 THEN 'test' ELSE 'dev' END AS split, CASE WHEN doc_id % 11 = 0 THEN 'x' ELSE sha256(text) END AS sha, CASE WHEN doc_id % 6 = 0 THEN '' ELSE 'real' END AS origin FROM documents)
+ SELECT 'invalid:split' AS fault, document_id AS subject FROM m WHERE split = 'test' UNION ALL SELECT 'missing:origin', document_id FROM m WHERE origin = '' UNION ALL SELECT 'invalid:sha256', document_id FROM m WHERE sha = 'x'
+ UNION ALL SELECT 'missing:sha256', document_id FROM m WHERE sha IS NULL UNION ALL SELECT 'missing:company_id', document_id FROM m WHERE company_id IS NULL
+ UNION ALL SELECT 'duplicate:sha256', coalesce(sha, '') FROM m GROUP BY sha HAVING count(*) > 1 UNION ALL SELECT 'leaked', company_id FROM m GROUP BY company_id HAVING count(DISTINCT split) > 1""")
+def manifest_faults(spark, d):
+    key = F.col("doc_id")
+    manifest = table(spark, d, "documents").select(
+        key.cast("string").alias("document_id"), F.col("source").alias("company_id"), F.when(key % 5 == 0, "holdout").when(key % 5 == 1, "test").otherwise("dev").alias("split"), F.when(key % 11 == 0, "x").otherwise(F.sha2("text", 256)).alias("sha256"),
+        F.when(key % 6 == 0, "").otherwise("real").alias("origin"), F.lit("c").alias("category"),
     )
-    return tables.score(expected, actual, ["doc_id"])
+    return tables.manifest_faults(manifest)
+
+
+@query("""WITH p AS (SELECT event_id, user_id, ts, row_number() OVER w - count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 HOUR PRECEDING) AS place, lag(ts, 3) OVER w AS back FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+ SELECT event_id, CAST(place AS BIGINT) AS place, place <= 3 AS admitted, CAST(CASE WHEN place > 3 THEN greatest(0, ceil((epoch_us(back) + 3600000000 - epoch_us(ts)) / 1000000.0)) ELSE 0 END AS BIGINT) AS wait FROM p""")
+def rate_admission(spark, d):
+    events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return tables.admitted(events, ["user_id"], "ts", 3600, 3, "event_id").select("event_id", F.col("place").cast("long").alias("place"), "admitted", F.col("wait").cast("long").alias("wait"))
 
 
 @query("""SELECT source AS company_id, count(DISTINCT doc_id % 3) AS splits, count(*) AS files FROM documents GROUP BY 1 HAVING count(DISTINCT doc_id % 3) > 1""")
@@ -425,9 +495,9 @@ def json_required_keys(spark, d):
     return table(spark, d, "events").select("event_id", k.cast("long").alias("k"), F.coalesce(k.isNotNull(), F.lit(False)).alias("has_k"), F.when(F.col("props").isNull(), "empty_module").when(k.isNotNull(), "ok").otherwise("structure_changed").alias("state"))
 
 
-@query("""SELECT page_id, CAST(unnest(range(1, len(h) + 1)) AS INTEGER) AS n, unnest(h) AS heading FROM (SELECT page_id, regexp_extract_all(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS h FROM pages)""")
+@query("""SELECT page_id, CAST(unnest(range(1, len(h) + 1)) AS INTEGER) AS n, unnest(h) AS heading FROM (SELECT page_id, regexp_extract_all(html, '(?is)<h[1-6]\\b[^>]*>(.*?)</h[1-6]>', 1) AS h FROM pages)""")
 def html_headings(spark, d):
-    found = F.regexp_extract_all("html", F.lit("(?is)<h1[^>]*>(.*?)</h1>"), F.lit(1))
+    found = F.regexp_extract_all("html", F.lit(r"(?is)<h[1-6]\b[^>]*>(.*?)</h[1-6]>"), F.lit(1))
     return table(spark, d, "pages").select("page_id", F.posexplode(found).alias("n", "heading")).withColumn("n", F.col("n") + 1)
 
 
@@ -495,3 +565,45 @@ def stream_session(spark, d):
 def stream_dedup(spark, d):
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return streams.deduplicated(e.unionByName(e.where("event_id % 3 = 0"))).select("event_id", "user_id")
+
+
+def _live(spark, d):
+    return streams.event_stream(spark, f"{d}/event[s].parquet")  # a pattern, as a stream's path is a folder or a pattern
+
+
+@query("SELECT CAST(date_trunc('day', ts) AS DATE)::VARCHAR AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_live_tumbling(spark, d):
+    folder = streams.scratch(spark)
+    days = streams.tumbling(_live(spark, d), "1 day")
+    streams.write_once(days, f"{folder}/out", f"{folder}/log", "complete")
+    out = spark.read.schema("window_start timestamp, event_type string, n long, batch int").parquet(f"{folder}/out")
+    last = out.agg(F.max("batch")).first()[0]  # each batch of a complete result replaces the one before
+    return out.where(F.col("batch") == last).select(F.to_date("window_start").cast("string").alias("day"), "event_type", "n")
+
+
+@query("SELECT DISTINCT event_id, user_id FROM events")
+def stream_sink_once(spark, d):
+    folder = streams.scratch(spark)
+    streams.write_once(streams.deduplicated(_live(spark, d)).select("event_id", "user_id"), f"{folder}/out", f"{folder}/log")
+    streams.write_once(streams.deduplicated(_live(spark, d)).select("event_id", "user_id"), f"{folder}/out", f"{folder}/log")  # the second run finds nothing new
+    return spark.read.schema("event_id long, user_id long, batch int").parquet(f"{folder}/out").drop("batch")
+
+
+_ACTIONS = {"view": "claim", "click": "heartbeat", "purchase": "complete", "signup": "fail"}
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id AS task_id, event_id, epoch_us(ts) / 1000000.0 AS secs, CASE event_type WHEN 'view' THEN 'claim' WHEN 'click' THEN 'heartbeat' WHEN 'purchase' THEN 'complete' WHEN 'signup' THEN 'fail' ELSE event_type END AS action,
+   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+ r(task_id, n, event_id, state, attempts, lease) AS (SELECT DISTINCT task_id, 0::BIGINT, NULL::BIGINT, 'queued', 0, 0.0::DOUBLE FROM e UNION ALL
+  SELECT e.task_id, e.n, e.event_id, CASE WHEN action = 'claim' AND (state = 'queued' OR (state = 'running' AND secs > lease)) THEN 'running' WHEN state = 'running' AND secs <= lease AND action = 'complete' THEN 'completed'
+    WHEN state = 'running' AND secs <= lease AND action = 'fail' THEN CASE WHEN attempts < 3 THEN 'queued' ELSE 'failed' END ELSE state END,
+   attempts + CASE WHEN action = 'claim' AND (state = 'queued' OR (state = 'running' AND secs > lease)) THEN 1 ELSE 0 END,
+   CASE WHEN (action = 'claim' AND (state = 'queued' OR (state = 'running' AND secs > lease))) OR (action = 'heartbeat' AND state = 'running' AND secs <= lease) THEN secs + 180 ELSE lease END
+  FROM r JOIN e ON e.task_id = r.task_id AND e.n = r.n + 1)
+ SELECT task_id, event_id, state, attempts FROM r WHERE n > 0""")
+def stream_task_states(spark, d):
+    action = F.coalesce(T.lookup(F.col("event_type"), _ACTIONS), F.col("event_type"))
+    live = _live(spark, d).select(F.col("user_id").alias("task_id"), "event_id", "ts", action.alias("action"))
+    folder = streams.scratch(spark)
+    streams.write_once(streams.task_states(live), f"{folder}/out", f"{folder}/log")
+    return spark.read.schema(f"{streams.TASK_OUT}, batch int").parquet(f"{folder}/out").drop("batch")

@@ -10,6 +10,11 @@ STATEMENT_FACT = (
 )
 #: A value typed in by hand, with its evidence.
 MANUAL_FACT = "concept string, value string, entity string, scope string, period date, currency string, unit string, line int, quote string"
+#: A cell of an extraction benchmark, expected or found, with its source anchor.
+BENCHMARK_CELL = (
+    "document_id string, company_id string, table_id string, source_row int, source_column int, statement_type string, scope string, period string, currency string, "
+    "unit_scale string, concept string, source_name string, value string, verification_state string"
+)
 #: A provider's module: periods and rows of values in their order.
 MODULE = (
     "module_key string, category string, currency string, rate string, periods array<string>, "

@@ -6,13 +6,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import converter_for
-from ..schemas import MANUAL_FACT
+from ..schemas import BENCHMARK_CELL, MANUAL_FACT
 
 
 def text_documents(spark: SparkSession, path: str) -> DataFrame:
-    """document_id, text and tool of the files under a path, a row each, without a byte order mark; other kinds are only named."""
+    """document_id, text and tool of the files under a path, a row each, without a byte order mark; of kinds that need a converter the text is null."""
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("document_id"), F.regexp_replace("value", "^﻿", "").alias("text"))
-    return files.withColumn("tool", converter_for(F.col("document_id")))
+    named = files.withColumn("tool", converter_for(F.col("document_id")))
+    return named.withColumn("text", F.when(F.col("tool") == "text", F.col("text")))
+
+
+def benchmark_cells(spark: SparkSession, path: str) -> DataFrame:
+    """Expected or actual cells of a benchmark: a JSON array of records a file; a broken file is kept in ``_corrupt``."""
+    return spark.read.json(path, schema=f"{BENCHMARK_CELL}, _corrupt string", multiLine=True, columnNameOfCorruptRecord="_corrupt")
+
+
+MOST_FACTS = 100
+
+
+def import_faults(facts: DataFrame, revisions: DataFrame) -> DataFrame:
+    """Why a batch of hand-entered facts (of ``proven_facts``) can't be imported: document_id and fault.
+
+    ``revisions``: document_id and the revision on record. Faults: too_many_facts,
+    stale_revision, unproven_fact (some fact isn't on its source line).
+    """
+    batch = facts.groupBy("document_id", "expected_revision").agg(F.count(F.lit(1)).alias("n"), F.bool_and("proven").alias("proven")).join(revisions, "document_id", "left")
+    faults = F.array_compact(F.array(F.when(F.col("n") > MOST_FACTS, F.lit("too_many_facts")), F.when(~F.col("expected_revision").eqNullSafe(F.col("revision")), F.lit("stale_revision")), F.when(~F.col("proven"), F.lit("unproven_fact"))))
+    return batch.select("document_id", F.explode(faults).alias("fault"))
 
 
 def manual_facts(spark: SparkSession, path: str) -> DataFrame:

@@ -166,7 +166,11 @@ def test_cell_states(spark):
 def test_sinks_and_sources(spark, tmp_path):
     df = spark.createDataFrame([("a", "=1"), ("b", None)], "k string, v string")
     writers.write_csv(df, str(tmp_path / "c"))
-    assert {r["v"] for r in spark.read.csv(str(tmp_path / "c"), header=True).collect()} == {"'=1", None}
+    written = b"".join(f.read_bytes() for f in sorted((tmp_path / "c").glob("part-*")) if f.stat().st_size)
+    assert written.count(b"\xef\xbb\xbf\"k\",\"v\"\r\n") >= 1 and b"\"a\",\"'=1\"\r\n" in written and b"\"b\",\"\"\r\n" in written
+    writers.publish(df.limit(1), str(tmp_path / "pub"), "t")
+    writers.publish(df, str(tmp_path / "pub"), "t")
+    assert writers.published(spark, str(tmp_path / "pub"), "t").count() == 2 and '"name":"k"' in writers.schema_json({"t": "k string"})["t"]
     assert writers.append_once(df, str(tmp_path / "p"), "k") == 2 and writers.append_once(df, str(tmp_path / "p"), "k") == 0
     new = spark.createDataFrame([("a", "2")], "k string, v string")
     assert {(r["k"], r["v"]) for r in writers.upserted(df, new, ["k"]).collect()} == {("a", "2"), ("b", None)}
@@ -181,3 +185,43 @@ def test_streams_agree_with_batches(spark, sf):
     assert events.run_to_end(events.deduplicated(live()), "append").count() == batch.select("event_id").distinct().count()
     ended = events.run_to_end(events.tumbling(live()), "complete")
     assert ended.exceptAll(events.tumbling(batch)).count() == 0 and ended.count() == events.tumbling(batch).count()
+
+
+def test_import_faults(spark):
+    docs = spark.createDataFrame([("d", "a\nassets 5")], "document_id string, text string")
+    sha = docs.select(F.sha2("text", 256)).first()[0]
+    facts = spark.createDataFrame([("d", sha, 1, 2, "assets 5"), ("d", sha, 1, 1, "assets 5")], "document_id string, sha256 string, expected_revision int, line int, quote string")
+    proven = readers.proven_facts(facts, docs)
+    assert {(r["line"], r["proven"]) for r in proven.collect()} == {(2, True), (1, False)}
+    revisions = spark.createDataFrame([("d", 2)], "document_id string, revision int")
+    assert {r["fault"] for r in readers.import_faults(proven, revisions).collect()} == {"stale_revision", "unproven_fact"}
+
+
+def test_score_rejects_repeated_anchors_and_counts_all_expected(spark):
+    columns = "document_id string, table_id string, row int, company_id string, statement_type string, concept string, period string, scope string, currency string, unit_scale string, value string, verification_state string"
+    cell = lambda row, period, value, state="VERIFIED": ("d", "t", row, "c", "bs", "cash", period, "parent", "CNY", "1", value, state)
+    expected = spark.createDataFrame([cell(1, "2025", "1"), cell(2, "2025", "2")], columns)
+    actual = spark.createDataFrame([cell(1, "2025", "1.0"), cell(2, "2024", "2"), cell(3, "2025", "9")], columns)
+    found = {r["metric"]: r for r in tables.score(expected, actual, ["document_id", "table_id", "row"], ["document_id", "table_id"]).collect()}
+    assert (found["period_accuracy"]["numerator"], found["period_accuracy"]["denominator"], found["period_accuracy"]["coverage_numerator"]) == (1, 2, 2)
+    assert (found["false_verified_rate"]["numerator"], found["false_verified_rate"]["denominator"]) == (2, 3) and found["numeric_accuracy"]["value"] == 0.5
+    with pytest.raises(ValueError):
+        tables.score(expected, actual.unionByName(actual), ["document_id", "table_id", "row"], ["document_id", "table_id"])
+
+
+def test_conversion_is_exact(spark):
+    row = spark.createDataFrame([("123456789012345678.125",)], "v string").select(
+        numbers.convert_unit(F.col("v").cast("decimal(28,8)"), F.lit("%"), F.lit("万元")).alias("same"), numbers.convert_unit(F.lit("1.23456789").cast("decimal(28,8)"), F.lit("元"), F.lit("十亿元")).alias("small")
+    ).first()
+    assert row["same"] == Decimal("123456789012345678.125") and row["small"] == Decimal("0.00000000123456789")
+
+
+def test_flattening_keeps_every_level(spark):
+    schema = "struct<key:string,name:string>"
+    for _ in range(5):
+        schema = f"struct<key:string,name:string,children:array<{schema}>>"
+    node = ("f", "f")
+    for name in "edcba":
+        node = (name, name, [node])
+    nested = spark.createDataFrame([(1, [node])], f"id int, children array<{schema}>")
+    assert [(r["key"], r["depth"]) for r in modules.flattened(nested, ["id"]).orderBy("depth").collect()] == [(k, i) for i, k in enumerate("abcdef")]

@@ -5,7 +5,8 @@ from __future__ import annotations
 import pytest
 from parity import assert_parity
 
-from brightledger.plans.queries import ORACLE_SQL, QUERIES
+import __spark_entry__ as entry  # registers all queries
+from brightledger.plans.registry import ORACLE_SQL, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
@@ -19,10 +20,8 @@ def test_runs(spark, sf, name):
 
 
 def test_entry_has_rows(spark):
-    import __spark_entry__
-
-    assert __spark_entry__.entry(spark).columns == ["entity", "scope", "document_id", "period", "value", "reason"]
-    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+    assert entry.entry(spark).columns == ["entity", "scope", "document_id", "period", "value", "reason"]
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_module_values_cover_every_scope(spark, sf):
