@@ -220,3 +220,41 @@ def axis_bounds(values: DataFrame, keys: list[str], value: str, money: Column, p
     out = own.withColumn("magnitude", size).select(*keys, "magnitude", F.floor(low).alias("least"), F.ceil(high).alias("most"))
     out = out.withColumn("most", F.when(F.col("most") == F.col("least"), F.col("least") + 1).otherwise(F.col("most")))
     return out.withColumn("interval", (F.col("most") - F.col("least")) / 5)
+
+
+# Matrices ------------------------------------------------------------------------
+
+
+def statement_matrix(candidates: DataFrame, catalogue: DataFrame, group: list[str]) -> DataFrame:
+    """Cells of a statement's matrix: every row of the catalogue and every other disclosed one, by every period of its group.
+
+    ``candidates``: group, concept, label, period_end, source_order, status, value and
+    supplemental. ``catalogue`` (small): concept, label, section, place. Supplements
+    are left out. Rows follow the order of the newest period that shows them, then the
+    catalogue's, then their label. Returns group, concept, label, section, period_end, row_place, state, value, confirmed and
+    needs_review; a cell without candidates is empty.
+    """
+    own = without_supplements(candidates, group)
+    periods = own.select(*group, "period_end").distinct()
+    known = catalogue.select("concept", F.col("label").alias("_l"), "section", F.col("place").alias("_place"))
+    shown = own.groupBy(*group, "concept").agg(F.min("label").alias("label"), F.min(F.when(F.col("source_order").isNotNull(), F.struct((-F.datediff("period_end", F.lit("1970-01-01").cast("date"))).alias("age"), "source_order"))).alias("_at"))
+    listed = [r["concept"] for r in catalogue.select("concept").distinct().collect()]  # a fixed list
+    every = periods.select(*group).distinct().withColumn("concept", F.explode(F.array(*map(F.lit, listed)))).unionByName(own.select(*group, "concept")).distinct()
+    rows = every.join(shown, [*group, "concept"], "left").join(F.broadcast(known), "concept", "left")
+    label, section = F.coalesce("_l", "label"), F.coalesce("section", F.lit("其他披露科目"))
+    place = F.row_number().over(W.partitionBy(*group).orderBy(F.col("_at.age").asc_nulls_last(), F.col("_at.source_order").asc_nulls_last(), F.col("_place").asc_nulls_last(), label, "concept"))
+    rows = rows.select(*group, "concept", label.alias("label"), section.alias("section"), place.alias("row_place"))
+    states = reviewed_cells(own.select(*group, "concept", "period_end", "status", "value"), [*group, "concept", "period_end"])
+    cells = rows.join(periods, group).join(states, [*group, "concept", "period_end"], "left")
+    return cells.withColumn("state", F.coalesce("state", F.lit("empty"))).withColumn("confirmed", F.coalesce("confirmed", F.lit(False))).withColumn("needs_review", F.coalesce("needs_review", F.lit(False)))
+
+
+def snapshot_hash(projects: DataFrame, documents: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """A digest of all that a project's results rest on: key and hash. It changes with a document, a fact, the revision or the formula.
+
+    ``projects``: key, revision, formula; ``documents``: key, document_id, sha256;
+    ``facts``: key, fact_id, concept, value. A project's own documents and facts are few.
+    """
+    listed = lambda df, name, *cols: df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
+    both = projects.join(listed(documents, "documents", "document_id", "sha256"), key, "left").join(listed(facts, "facts", "fact_id", "concept", "value"), key, "left")
+    return both.select(key, F.sha2(F.to_json(F.struct("documents", "facts", "formula", F.col(key).alias("project"), "revision"), {"ignoreNullFields": "false"}), 256).alias("hash"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import periods as P
 from ..functions import text as T
-from ..operators import checks, matrix, merging, metrics, modules, tables
+from ..operators import checks, documents, matrix, merging, metrics, modules, tables
 from ..sources.readers import table
 from ..streaming import events as streams
 from . import facts
@@ -506,12 +506,25 @@ def html_text_strip(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(T.plain(F.col("html"))).alias("text_md5"))
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT doc_id, string_split_regex(coalesce(text, ''), '\\r?\\n') AS ls FROM documents),
+ n AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS x FROM l),
+ p AS (SELECT doc_id, i, k, substr(x, k * 2000 + 1, 2000) AS part FROM (SELECT doc_id, i, x, unnest(range(0, greatest(CAST(ceil(length(x) / 2000.0) AS BIGINT), 1))) AS k FROM n)),
+ q AS (SELECT doc_id, i, k, part, sum(length(part) + 1) OVER (PARTITION BY doc_id ORDER BY i, k) AS reach FROM p),
+ g AS (SELECT doc_id, list(i ORDER BY i, k) AS line, list(part ORDER BY i, k) AS parts, list_prepend(0, list(CAST(reach AS BIGINT) ORDER BY i, k)) AS reach FROM q GROUP BY 1),
+ r AS (SELECT doc_id, 0 AS chunk, 0::BIGINT AS first, greatest(1, len(list_filter(reach, lambda x: x <= 2001)) - 1) AS stop FROM g UNION ALL
+  SELECT doc_id, chunk, first, greatest(first + 1, len(list_filter(reach, lambda x: x <= reach[first + 1] + 2001)) - 1) FROM (
+   SELECT g.doc_id, chunk + 1 AS chunk, reach, CASE WHEN len(list_filter(line, lambda x: x < line[stop] - 1)) > first THEN len(list_filter(line, lambda x: x < line[stop] - 1)) ELSE stop END AS first
+   FROM r JOIN g ON g.doc_id = r.doc_id WHERE stop < len(line)))
+ SELECT r.doc_id AS document_id, chunk, CAST(line[first + 1] AS INTEGER) AS start_line, CAST(line[stop] AS INTEGER) AS end_line, CAST(length(array_to_string(parts[first + 1:stop], chr(10))) AS INTEGER) AS chars, md5(array_to_string(parts[first + 1:stop], chr(10))) AS md5 FROM r JOIN g ON g.doc_id = r.doc_id""")
 def text_chunk_overlap(spark, d):
-    from ..operators.documents import chunks
-
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "text")
-    return chunks(docs, 2000, 2).select("document_id", "chunk", "start_line", "end_line", F.length("text").alias("chars"), F.md5("text").alias("md5"))
+    return documents.chunks(docs, 2000, 2).select("document_id", "chunk", "start_line", "end_line", F.length("text").alias("chars"), F.md5("text").alias("md5"))
+
+
+@query(with_facts("""SELECT entity || '/' || scope || '/' || document_id AS module_key, key AS row_key, CAST("start" AS VARCHAR) AS period_raw, CAST(CASE key WHEN 'revenue' THEN revenue ELSE cost END AS DOUBLE) AS value, CAST(CASE key WHEN 'revenue' THEN revenue ELSE cost END AS DOUBLE) / 10000 AS amount
+ FROM f, (SELECT unnest(['revenue', 'cost']) AS key)"""))
+def module_amounts(spark, d):
+    return module_values(spark, d).select("module_key", "row_key", "period_raw", F.col("value").cast(DOUBLE).alias("value"), F.col("amount").cast(DOUBLE).alias("amount"))
 
 
 @query()

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brightledger import schemas
+from brightledger.functions import numbers
 from brightledger.operators import checks, documents, matrix, metrics, modules, tables
 from brightledger.operators.metric_catalogue import CATALOGUE
 from brightledger.sources import readers, writers
