@@ -43,9 +43,9 @@ def module_values(modules: DataFrame, keep_metadata: bool = False) -> DataFrame:
 
 
 def currency_variant(modules: DataFrame, currency: str = "O", rate: str = "1") -> DataFrame:
-    """The variant of a currency and rate; there is no other one to fall back on. A module that offers it twice is an error when it is read."""
+    """The variant of a currency and rate; there is no other one to fall back on. A module that offers it twice in readable form is an error when it is read."""
     own = modules.where((F.col("currency") == currency) & (F.col("rate") == rate))
-    twice = F.count(F.lit(1)).over(W.partitionBy("module_key")) > 1
+    twice = F.count_if(F.col("state") == "ok").over(W.partitionBy("module_key")) > 1
     return own.withColumn("_ok", F.when(twice, F.raise_error(F.concat(F.lit("ambiguous_variant: "), "module_key"))).otherwise(F.lit(True))).where("_ok").drop("_ok")
 
 
