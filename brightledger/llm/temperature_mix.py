@@ -154,10 +154,12 @@ def temperature_mix(
 def mixed_documents(docs: DataFrame, **limits: float) -> DataFrame:
     """The rows of ``docs``, each as often as the mixture meets it, but at least once, laid out in the mixture's order.
 
-    All columns stay, whatever their names. Rows are sorted by block and slot in
-    ranges of whole blocks, so that each file written holds blocks in their order. A
-    row without an id is met once, in a block by a hash of its text; rows that share
-    an id are each met as often as the id is. An empty table gives an empty result.
+    All columns stay, whatever their names. Rows are dealt into shards by a hash of
+    their id, and each shard, a file when written, is sorted by block and slot: all
+    shards go through the blocks in the same order, each with its share of every
+    block. So a text is shuffled once, however often it is met. A row without an id is
+    met once, in a block by a hash of its text; rows that share an id are each met as
+    often as the id is. An empty table gives an empty result.
     """
     met = saved(temperature_mix(docs, **limits).where("doc_id IS NOT NULL").groupBy("doc_id", "epoch").agg(F.min(F.struct("block", "slot")).alias("at")))
     last = met.agg(F.max("at.block")).first()[0] or 0
@@ -165,7 +167,7 @@ def mixed_documents(docs: DataFrame, **limits: float) -> DataFrame:
     met = met.select("doc_id", F.col("epoch").alias(epoch), F.col("at").alias(at))
     alone = F.struct(F.pmod(F.xxhash64("text"), F.lit(last + 1)).alias("block"), F.lit(0).alias("slot"))
     rows = docs.join(met, "doc_id", "left").withColumn(at, F.coalesce(at, alone))
-    return rows.repartitionByRange(F.col(f"{at}.block")).sortWithinPartitions(f"{at}.block", f"{at}.slot").select(*docs.columns)
+    return rows.sortWithinPartitions(f"{at}.block", f"{at}.slot").select(*docs.columns)
 
 
 def op4_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
