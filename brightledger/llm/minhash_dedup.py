@@ -271,13 +271,28 @@ def across(members: DataFrame, classes: DataFrame, docs: DataFrame, size: int, p
         x, y = agreeing(*sig, least)
         able = (comp[0][x] != comp[1][y]) & (100 * np.minimum(n[0][x], n[1][y]) >= percent * np.maximum(n[0][x], n[1][y]))
         able &= ~outer[1][y] | (node[0][x] < node[1][y])
+        prefixes = [list(map(set, s["prefix"].to_pylist())) for s in sides]
+        sets = [s["shingles"].combine_chunks() for s in sides]
+        values, ends = [s.values.to_numpy() for s in sets], [s.offsets.to_numpy() for s in sets]
+        joined: dict[int, int] = {}  # component -> one that a pair of this group ties it to
+
+        def tied(c: int) -> int:
+            while c in joined:
+                c = joined[c]
+            return c
+
         found: list[tuple[int, int]] = []
         for i, j in zip(x[able].tolist(), y[able].tolist(), strict=True):
-            if min(set(sides[0]["prefix"][i].as_py()).intersection(sides[1]["prefix"][j].as_py())) == token:
-                a, b = (s["shingles"][k].values.to_numpy() for s, k in zip(sides, (i, j), strict=True))
-                common = len(np.intersect1d(a, b, assume_unique=True)) + n[0][i] - len(a)  # hashes that fell together count as common
-                if 100 * common >= percent * (n[0][i] + n[1][j] - common):
-                    found.append((node[0][i], node[1][j]))
+            left, right = tied(int(comp[0][i])), tied(int(comp[1][j]))
+            if left == right or min(prefixes[0][i] & prefixes[1][j]) != token:
+                continue  # tied already, or compared elsewhere
+            a, b = (v[e[k] : e[k + 1]] for v, e, k in zip(values, ends, (i, j), strict=True))
+            common = len(np.intersect1d(a, b, assume_unique=True)) + n[0][i] - len(a)  # hashes that fell together count as common
+            if 100 * common >= percent * (n[0][i] + n[1][j] - common):
+                found.append((node[0][i], node[1][j]))
+                sure = common - 8 - 16 * len(a) * len(b) / 2**32  # far more than hashes that fall together by chance
+                if 100 * sure >= percent * (n[0][i] + n[1][j] - sure):
+                    joined[max(left, right)] = min(left, right)
         pairs = np.array(found, np.int64).reshape(-1, 2)
         return pa.table({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
 
