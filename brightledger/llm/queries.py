@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, licence_scan, minhash_dedup, permutation_index, quality, sentencepiece_codec, temperature_mix, tool_calls, toxicity
+from . import conversation_trie, exact_dedup, language_id, licence_scan, minhash_dedup, permutation_index, quality, sentencepiece_codec, temperature_mix, tool_calls, toxicity
 
 QUERIES = {
     "op1_permutation_index": permutation_index.op1_permutation_index,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_conversation_trie": conversation_trie.op11_conversation_trie,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op5_minhash_dedup": minhash_dedup.OP5_SQL,
     "op7_licence_scan": licence_scan.OP7_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
+    "op11_conversation_trie": conversation_trie.OP11_SQL,
 }
