@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversation_trie, exact_dedup, language_id, licence_scan, minhash_dedup, permutation_index, quality, sentencepiece_codec, temperature_mix, tool_calls, toxicity
+from . import conversation_trie, exact_dedup, language_id, licence_scan, minhash_dedup, permutation_index, quality, sentencepiece_codec, temperature_mix, tool_calls, toxicity, vector_codes
 
 QUERIES = {
     "op1_permutation_index": permutation_index.op1_permutation_index,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_conversation_trie": conversation_trie.op11_conversation_trie,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
@@ -26,4 +27,5 @@ ORACLE_SQL = {
     "op7_licence_scan": licence_scan.OP7_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
     "op11_conversation_trie": conversation_trie.OP11_SQL,
+    "op12_vector_codes": vector_codes.OP12_SQL,
 }

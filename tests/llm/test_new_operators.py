@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import random
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
-from brightledger.llm import conversation_trie
-from brightledger.llm.common import saved  # noqa: F401
+from brightledger.llm import conversation_trie, vector_codes
 
 TURNS = "conv_id long, turn long, role string, text string, node string"
 
@@ -71,3 +73,88 @@ def test_trie_cuts_long_conversations_and_end_lists_into_blocks(spark, monkeypat
 
 def test_trie_of_an_empty_table(spark):
     assert trie_of(spark, []) == []
+
+
+VECTORS = "vec_id long, embedding array<float>, label int, code string"
+
+
+def brute_codes(rows):
+    """vec_id, label, code, error, label_error and digest of each row, in Python integers."""
+    out = []
+    kept = [(i, [math.floor(4096 * x) for x in v], y) for i, v, y in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    for dim in {len(v) for _, v, _ in kept}:
+        own = sorted((r for r in kept if len(r[1]) == dim), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        ends = [i * dim // 8 for i in range(9)]
+        parts = [(ends[p], ends[p + 1]) for p in range(8)]
+        books = [[v[i:j] for _, v, _ in own[:16]] for i, j in parts]
+
+        def nearest(p, x, books=books):
+            return min((sum((a - b) ** 2 for a, b in zip(x, e, strict=True)), n) for n, e in enumerate(books[p]))
+
+        for _ in range(6):
+            for p, (i, j) in enumerate(parts):
+                inside = defaultdict(list)
+                for _, v, _ in own:
+                    inside[nearest(p, v[i:j])[1]].append(v[i:j])
+                books[p] = [[sum(c) // len(inside[e]) for c in zip(*inside[e], strict=True)] if inside[e] else x for e, x in enumerate(books[p])]
+        digest = hashlib.sha256(",".join(str(c) for b in books for e in b for c in e).encode()).hexdigest()
+        for vec_id, v, y in own:
+            found = [nearest(p, v[i:j]) for p, (i, j) in enumerate(parts)]
+            out.append((vec_id, y, "".join(f"{n:02x}" for _, n in found), sum(d for d, _ in found), digest))
+    sums = defaultdict(int)
+    for r in out:
+        sums[r[1]] += r[3]
+    return sorted(((*r[:4], sums[r[1]], r[4]) for r in out), key=str)
+
+
+def codes_of(spark, rows):
+    found = vector_codes.vector_codes(spark.createDataFrame([(*r, "clash") for r in rows], VECTORS))
+    return sorted((tuple(r) for r in found.select("vec_id", "label", "code", "error", "label_error", "codebooks_sha256").collect()), key=str)
+
+
+@pytest.mark.parametrize("spread", [0.02, 0.3, 3.0])
+def test_codes_of_any_spread(spark, spread):
+    rng = np.random.default_rng(5)
+    middles = rng.normal(0, spread, (6, 32))
+    rows = [(i, (middles[i % 6] + rng.normal(0, spread / 3, 32)).astype(np.float32).tolist(), None if i % 3 else i % 2) for i in range(300)]
+    assert codes_of(spark, rows) == brute_codes(rows)
+
+
+def test_codes_of_odd_rows(spark):
+    r = random.Random(2)
+    flat = [0.5] * 16
+    rows = [(7, flat, 1), (7, flat, 1), (None, [-0.25] * 16, None), (3, None, 1), (4, [math.nan] + flat[1:], 1), (5, [math.inf] + flat[1:], 1), (6, [None] + flat[1:], 1)]
+    rows += [(i, [r.choice([-1e-9, 0.0, 0.25, 0.5]) for _ in range(16)], 2) for i in range(20, 60)] + [(i, [r.random() for _ in range(i % 12)], 3) for i in range(100, 160)]
+    assert codes_of(spark, rows) == brute_codes(rows)
+    assert codes_of(spark, []) == []
+
+
+def test_codes_of_huge_components_have_errors(spark):
+    rows = [(i, [3e38 * (-1) ** i] * 8, 1) for i in range(40)]
+    assert {r[3] for r in codes_of(spark, rows)} == {0}
+
+
+def test_codes_are_decoded_to_the_middle_of_their_steps(spark):
+    rows = [(i, [i / 16] * 8, 1, "") for i in range(12)]
+    ints = vector_codes.integers(spark.createDataFrame(rows, VECTORS))
+    books = vector_codes.fitted(ints)
+    found = vector_codes.decoded(vector_codes.coded(ints, books), books[8]).orderBy("vec_id").collect()
+    assert all(abs(x - r["vec_id"] / 16) <= 0.5 / 4096 for r in found for x in r["approximate"]) and len(found) == 12
+
+
+def test_cells_measure_fewer_entries_and_find_the_same():
+    rng = np.random.default_rng(1)
+    x, entries = rng.integers(-2000, 2000, (3000, 4)), rng.integers(-2000, 2000, (16, 4))
+    entries[9] = entries[3]
+    cells = vector_codes.Cells(entries)
+    index, away = cells.nearest(x)
+    d = ((x[:, None] - entries) ** 2).sum(2)
+    assert (index == d.argmin(1)).all() and (away == d.min(1)).all() and cells.measured < 0.4 * d.size
+
+
+def test_cells_begin_anew_beyond_their_bound(monkeypatch):
+    monkeypatch.setattr(vector_codes, "CELLS", 10)
+    rng = np.random.default_rng(1)
+    x, cells = rng.integers(-9000, 9000, (500, 2)), vector_codes.Cells(rng.integers(-9000, 9000, (16, 2)))
+    found = np.concatenate([cells.nearest(x[i : i + 25])[0] for i in range(0, 500, 25)])
+    assert (found == ((x[:, None] - cells.entries) ** 2).sum(2).argmin(1)).all() and len(cells.memo) <= 25
