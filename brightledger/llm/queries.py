@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversation_trie, exact_dedup, language_id, licence_scan, minhash_dedup, permutation_index, quality, sentencepiece_codec, temperature_mix, tool_calls, toxicity, vector_codes
+from . import conversation_trie, exact_dedup, language_id, licence_scan, minhash_dedup, permutation_index, quality, sanitisation, sentencepiece_codec, temperature_mix, tool_calls, toxicity, vector_codes
 
 QUERIES = {
     "op1_permutation_index": permutation_index.op1_permutation_index,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_conversation_trie": conversation_trie.op11_conversation_trie,
     "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_sanitisation": sanitisation.op13_sanitisation,
 }
 
 #: DuckDB SQL for the queries that SQL can express.

@@ -5,13 +5,14 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
 
-from brightledger.llm import conversation_trie, vector_codes
+from brightledger.llm import conversation_trie, sanitisation, vector_codes
 
 TURNS = "conv_id long, turn long, role string, text string, node string"
 
@@ -158,3 +159,105 @@ def test_cells_begin_anew_beyond_their_bound(monkeypatch):
     x, cells = rng.integers(-9000, 9000, (500, 2)), vector_codes.Cells(rng.integers(-9000, 9000, (16, 2)))
     found = np.concatenate([cells.nearest(x[i : i + 25])[0] for i in range(0, 500, 25)])
     assert (found == ((x[:, None] - cells.entries) ** 2).sum(2).argmin(1)).all() and len(cells.memo) <= 25
+
+
+DOCS = "doc_id long, text string, row string, base string"
+FORMS = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+]
+
+
+def luhn(digits):
+    total = 0
+    for n, d in enumerate(reversed(digits)):
+        v = int(d) * (1 + n % 2)
+        total += v // 10 + v % 10
+    return total % 10 == 0
+
+
+def brute_base(text):
+    out = []
+    for n, (kind, form) in enumerate(FORMS):
+        for m in re.finditer(form, text):
+            digits = re.sub(r"[^0-9]", "", m[0])
+            fine = {"email": True, "ip": all(int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else False, "card": 12 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            if fine:
+                out.append((m.start(), n, kind, m.end()))
+    return ",".join(f"{k}:{i}:{j}" for i, _, k, j in sorted(out))
+
+
+def brute_spans(rows):
+    """Spans with terms, from counts over whole documents in plain Python."""
+    unique = {(d, t or "") for d, t in rows}
+    docs = {r: sanitisation.identifiers(r[1]) for r in unique}
+    taken = lambda r: [(i, j) for i, _, j, _ in docs[r]]
+    free = {r: [(m.start(), m.end()) for m in re.finditer(sanitisation.WORD, r[1]) if all(m.end() <= i or m.start() >= j for i, j in taken(r))] for r in unique}
+    beside, seen = defaultdict(lambda: (set(), set())), defaultdict(set)
+    for r, found in docs.items():
+        for i, k, j, value in found:
+            near = [p for p in free[r] if p[1] <= i][-5:] + [p for p in free[r] if p[0] >= j][:5]
+            words = tuple(r[1][a:b] for a, b in near)
+            seen[k, value].add(r)
+            for w in words:
+                beside[(k, value), w][0].add(words)
+                beside[(k, value), w][1].add(r)
+    n, high = len(rows), {}
+    for (c, w), (ways, inside) in beside.items():
+        whole = sum(w in set(re.findall(sanitisation.WORD, t or "")) for _, t in rows)
+        content = math.log(n / len(seen[c]))
+        if len(ways) >= 3 and content > 0 and math.log(n * len(inside) / len(seen[c]) / whole) / content >= 0.8 - 1e-12:
+            high.setdefault(c, set()).add(w)
+    out = []
+    for d, t in rows:
+        r = (d, t or "")
+        terms = set().union(*[high.get((k, v), set()) for _, k, _, v in docs[r]]) if docs[r] else set()
+        spans = [(i, k, sanitisation.KINDS[k], j) for i, k, j, _ in docs[r]] + [(i, 9, "term", j) for i, j in free[r] if r[1][i:j] in terms]
+        out.append((d, brute_base(r[1]), ",".join(f"{k}:{i}:{j}" for i, _, k, j in sorted(spans))))
+    return sorted(out, key=str)
+
+
+def spans_of(spark, rows):
+    found = sanitisation.sensitive_spans(spark.createDataFrame([(*r, "clash", "clash") for r in rows], DOCS))
+    return sorted((tuple(r) for r in found.select("doc_id", "base", "spans").collect()), key=str)
+
+
+def letters():
+    """Documents of which some have an address with its owner's name beside it."""
+    r = random.Random(4)
+    word = lambda: r.choice("the of and to in is it for on with as at by from".split())
+    fill = lambda n: " ".join(word() for _ in range(n))
+    rows = [(i, fill(40)) for i in range(200)]
+    rows += [(200 + i, f"{fill(9)} Quillon Abernathy {word()} q.abernathy@mail.example.com, {fill(5)}\n{fill(4)} Quillon {word()} +1 (017) 555-77{i:02} {fill(8)}.") for i in range(8)]
+    rows += [(300, f"Quillon {fill(20)}"), (301, f"{fill(5)} 4952935900253052 {fill(5)}")]
+    rows += [(400 + i, "Copied Zyx z@y.example.com Uvw") for i in range(5)]
+    return rows
+
+
+def test_terms_beside_identifiers_disclose_them(spark):
+    rows = letters()
+    found = spans_of(spark, rows)
+    assert found == brute_spans(rows)
+    by_id = dict((d, s) for d, _, s in found)
+    assert by_id[200].count("term:") >= 2 and "term" not in by_id[300] and "term" not in by_id[301] and "term" not in by_id[400]
+
+
+def test_odd_rows_have_spans(spark):
+    rows = [(1, None), (None, "a@b.c 1.2.3.4"), (None, None), (2, ""), (2, "a@b.c"), (2, "a@b.c"), (3, "x" * 8_000 + "@" + "y" * 1000), (4, "1" * 10_000), (5, "é😀 a@b.co 😀 256.1.1.1 1.2.3.4.5.6.7.8 +1 23 45 67 89")]
+    assert spans_of(spark, rows) == brute_spans(rows)
+    assert spans_of(spark, []) == []
+
+
+def test_identifiers_are_the_matches_of_their_forms():
+    r = random.Random(8)
+    for n in range(4000):
+        text = "".join(r.choice("a@b.-1234+5 ()0é%" if n % 2 else "0123456789 -.+") for _ in range(r.randrange(60)))
+        assert sanitisation.told([s[:3] for s in sanitisation.identifiers(text)]) == brute_base(text), text
+
+
+def test_sanitised_text_tells_no_identifier(spark):
+    rows = letters()
+    found = {r["doc_id"]: r["text"] for r in sanitisation.sanitised(spark.createDataFrame([(*r, "", "") for r in rows], DOCS)).collect()}
+    assert len(found) == len(rows) and found[0] == rows[0][1] and found[300] == dict(rows)[300]
+    assert all("@" not in t and "555" not in t and ("Abernathy" not in t) for t in found.values()) and "[email .com]" in found[200]
+    assert "Quillon" not in found[200]
