@@ -37,6 +37,11 @@ def tumbling(events: DataFrame, width: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", LATE).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), "event_type", "n")
 
 
+def sliding(events: DataFrame, width: str = "1 hour", step: str = "15 minutes") -> DataFrame:
+    """Counts of windows that overlap: an event is in width / step of them."""
+    return events.withWatermark("ts", LATE).groupBy(F.window("ts", width, step).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), "event_type", "n")
+
+
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return (
         events.withWatermark("ts", LATE).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n"))
