@@ -154,8 +154,7 @@ def words_of(text: str) -> Column:
 def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
     """entity, term, support, co, entity_docs, term_docs and disclosure of the pairs of terms that disclose an entity, saved.
 
-    ``found`` is of ``found_in``; counts of terms are over all rows of ``docs``, for the
-    terms that the counts beside identifiers don't rule out already.
+    ``found`` is of ``found_in``; counts of terms are over all rows of ``docs``.
     """
     mentions = found.where("text IS NOT NULL").select("row", F.explode("mentions").alias("m"))
     beside = mentions.select("row", "m.entity", F.md5(F.array_join("m.words", " ")).alias("window"), F.explode(F.array_distinct("m.words")).alias("term"))
@@ -164,16 +163,13 @@ def disclosures(docs: DataFrame, found: DataFrame) -> DataFrame:
     support = count(beside.select("entity", "term", "window"), "entity", "term").withColumnRenamed("n", "support").where(F.col("support") >= SUPPORT)
     co = count(beside.select("entity", "term", "row"), "entity", "term").withColumnRenamed("n", "co")
     entities = count(mentions.select("m.entity", "row"), "entity").withColumnRenamed("n", "entity_docs")
-    nearby = count(beside.select("term", "row"), "term").withColumnRenamed("n", "term_docs")
+    pairs = support.join(co, ["entity", "term"]).join(entities, "entity")
+    # All words are counted, and looked up as counts: occurrences of the pairs' words are as many as all words, in the end.
+    terms = docs.select(words_of("text")).groupBy("term").agg(F.count(F.lit(1)).alias("term_docs"))
     n = F.lit(found.count()).cast("double")
     content = F.log(n / F.col("entity_docs"))
     disclosure = F.when(content > 0, F.log(n * F.col("co") / F.col("entity_docs") / F.col("term_docs")) / content)
-    counted = support.join(co, ["entity", "term"]).join(entities, "entity")
-    # Documents where a term stands beside any identifier are some of those that hold it: what these rule out needs no count of all.
-    pairs = saved(counted.join(nearby, "term").where(disclosure >= GENERALISED).drop("term_docs"))
-    words = docs.select(words_of("text")).join(pairs.select("term").distinct(), "term", "left_semi")
-    terms = words.groupBy("term").agg(F.count(F.lit(1)).alias("term_docs"))
-    return saved(pairs.join(terms, "term").withColumn("disclosure", disclosure).where(F.col("disclosure") >= GENERALISED))
+    return saved(terms.join(pairs, "term").withColumn("disclosure", disclosure).where(F.col("disclosure") >= GENERALISED))
 
 
 def term_spans(found: DataFrame, pairs: DataFrame) -> DataFrame:
