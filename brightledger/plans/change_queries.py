@@ -141,7 +141,7 @@ def decided_totals(spark, d):
 # Timers --------------------------------------------------------------------------
 
 _FASTER = 600
-_TICKS = f"""e AS (SELECT user_id AS task_id, event_id, epoch_ms(ts) // {_FASTER} AS ms, event_type, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) // {_FASTER}, event_id) AS n FROM events),
+_TICKS = f"""e AS (SELECT user_id AS task_id, event_id, epoch_us(ts) // {_FASTER * 1000} AS ms, event_type, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // {_FASTER * 1000}, event_id) AS n FROM events),
  w AS (SELECT max(ms) - 60000 AS ms FROM e)"""
 
 

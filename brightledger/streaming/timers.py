@@ -69,7 +69,7 @@ class Timed(StatefulProcessor):
 
     def told(self, rows: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=self.names)
-        out["at"] = pd.to_datetime(out["at"], unit="ms")
+        out["at"] = out["at"].astype("int64").astype("datetime64[ms]").astype("datetime64[us]")
         return out
 
     def keep(self, state: tuple | None) -> None:
