@@ -105,9 +105,9 @@ def converter_routes(spark, d):
 # Notes ---------------------------------------------------------------------------
 
 
-@query(values("title, scope, categories, first, last", ("七、合并财务报表项目注释", "consolidated", "", 2, 2), ("1、货币资金", "consolidated", "货币资金", 3, 5), ("5、应收账款", "consolidated", "应收账款", 6, 9),
-    ("(3) 按欠款方归集的前五名的应收账款情况", "consolidated", "应收账款", 10, 12), ("60、财务费用", "consolidated", "财务费用", 13, 15), ("十七、母公司财务报表主要项目注释", "parent", "", 16, 16), ("1、应收账款", "parent", "应收账款", 17, 19),
-    ("二十、补充资料", "report", "", 20, 20), ("1、当期非经常性损益明细表", "report", "非经常性损益", 21, 23), ("一、审计报告", "report", "", 24, 25), ("二、财务报表", "report", "", 26, 26), ("四、聘任、解聘会计师事务所情况", "report", "", 27, 28)))
+@query(values("title, scope, categories, first, last", ("四、聘任、解聘会计师事务所情况", "report", "审计报告", 3, 5), ("一、审计报告", "report", "审计报告", 6, 8), ("七、合并财务报表项目注释", "consolidated", "", 10, 10), ("二、联营企业", "consolidated", "", 11, 11),
+    ("1、货币资金", "consolidated", "货币资金", 12, 14), ("5、应收账款", "consolidated", "应收账款", 15, 18), ("(3) 按欠款方归集的前五名的应收账款情况", "consolidated", "应收账款", 19, 21), ("60、财务费用", "consolidated", "财务费用", 22, 24),
+    ("十七、母公司财务报表主要项目注释", "parent", "", 25, 25), ("1、应收账款", "parent", "应收账款", 26, 28), ("二十、补充资料", "report", "", 29, 29), ("1、当期非经常性损益明细表", "report", "非经常性损益", 30, 32)))
 def note_index(spark, d):
     found = notes.note_index(fixtures.documents(spark))
     return found.select("title", "scope", F.array_join("categories", ",").alias("categories"), F.col("start_line").alias("first"), F.col("end_line").alias("last"))

@@ -22,7 +22,9 @@ STATEMENTS = "\n".join([
 OUTLINE = "\n".join(["Report", "======", "intro", "# One ##", "####### seven", "#hashtag", "~~~", "# not this", "~~~", "Sub", "---", "text", "", "more", "## Two", "| a | b |", "|---|---|", "| 1 | 2 |", "", "<table><tr><td>x</td></tr></table>", "tail"])
 
 NOTES = "\n".join([
-    "# 丙公司2025年年度报告", "## 七、合并财务报表项目注释", "### 1、货币资金", "单位：万元",
+    "# 丙公司2025年年度报告", "## 第六节 重要事项", "### 四、聘任、解聘会计师事务所情况", html(["境内会计师事务所报酬（万元）", "120"]),
+    "## 第十节 财务报告", "## 一、审计报告", html(["审计意见类型", "标准的无保留意见"], ["审计报告签署日期", "2026年03月30日"], ["审计机构名称", "某会计师事务所（特殊普通合伙）"]),
+    "### 三、管理层的责任", "## 二、财务报表", "## 七、合并财务报表项目注释", "### 二、联营企业", "### 1、货币资金", "单位：万元",
     html(["项目", "期末余额", "期初余额"], ["库存现金", "1.5", "2"], ["银行存款", "10", "9"], ["受限", "4", "4"], ["合计", "11.5", "11"]),
     "### 5、应收账款", "单位：元",
     html(["账龄", ("colspan=2", "期末余额"), "期初余额"], ["账龄", "账面余额", "比例(%)", "账面余额"], ["1年以内（含1年）", "100.00", "50", "90"], ["1至2年", "509,352,8", "", ""], ["", "17.46", "", ""], ["合计", "5,093,628,17.46", "", "x"]),
@@ -30,9 +32,6 @@ NOTES = "\n".join([
     "### 60、财务费用", "单位：元", html(["项目", "本期发生额", "上期发生额"], ["利息费用", "12", "11"], ["减：利息收入", "3", "(4)"], ["租赁负债利息费用", "1", "1"], ["手续费", "0.5", ""]),
     "## 十七、母公司财务报表主要项目注释", "### 1、应收账款", "单位：元", html(["账龄", "期末余额"], ["1年以内", "7"], ["合计", "7"]),
     "## 二十、补充资料", "### 1、当期非经常性损益明细表", "单位：元", html(["项目", "金额"], ["计入当期损益的政府补助", "8"], ["所得税影响额", "2"], ["少数股东权益影响额（税后）", "1"]),
-    "## 一、审计报告", html(["审计意见类型", "标准的无保留意见"], ["审计报告签署日期", "2026年03月30日"], ["审计机构名称", "某会计师事务所（特殊普通合伙）"]),
-    "## 二、财务报表",
-    "## 四、聘任、解聘会计师事务所情况", html(["境内会计师事务所报酬（万元）", "120"]),
 ])
 
 
