@@ -198,11 +198,13 @@ def having(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, least: int) -> DataFrame:
     """The pairs (a, b) that collide often enough and whose full sets are similar enough."""
+    pairs = saved(pairs)
+    hubs = {end: hot_keys(saved(pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n"))), end) for end in ("a", "b")}
     facts = classes.select("node", "n_shingles", "sig")
     left = facts.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
     right = facts.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"))
     near = (
-        pairs.join(left, "a").join(right, "b")
+        spread_join(spread_join(pairs, left, "a", hubs["a"], "b"), right, "b", hubs["b"], "a")
         .where(F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb"))
         .where(collisions("sa", "sb") >= least)
         .select("a", "b", "na", "nb")
@@ -210,11 +212,9 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int,
     near = saved(near)
     wanted = near.select(F.col("a").alias("doc_id")).union(near.select(F.col("b").alias("doc_id"))).distinct()
     sets = saved(shingle_sets(having(docs.select("doc_id", "text"), wanted), size).dropDuplicates(["node"]))
-    both = (
-        near.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b")
-        .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a")
-        .withColumn("common", F.size(F.array_intersect("xa", "xb")))
-    )
+    both = spread_join(near, sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b", hubs["b"], "a")
+    both = spread_join(both, sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a", hubs["a"], "b")
+    both = both.withColumn("common", F.size(F.array_intersect("xa", "xb")))
     return both.where(F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
@@ -315,7 +315,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     small_batches(docs.sparkSession)
     every = saved(signatures(docs, size))
     able = every.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes_of = saved(able.groupBy("digest").agg(F.min("doc_id").alias("node")))
+    classes_of = saved(able.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")))
     firsts = classes_of.groupBy("node").agg(F.min("digest").alias("digest")).select(F.col("node").alias("doc_id"), "digest")
     classes = saved(
         able.join(firsts, ["doc_id", "digest"], "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "sig").dropDuplicates(["node"])
@@ -332,12 +332,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         new = saved(confirmed(pairs, classes, docs, size, percent, least))
         links = new if links is None else links.unionByName(new)
         part = saved(connected_components(links))
-    whole = part
-    found = every.join(classes_of, "digest", "left").join(whole, "node", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).otherwise(F.col("doc_id"))
-    return found.select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    component = classes_of.join(part, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    linked = spread_join(able.select("doc_id", "n_shingles", "digest"), component, "digest", hot_keys(classes_of, "digest"), "doc_id").drop("digest")
+    rest = every.where(~F.coalesce(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.lit(False)))
+    found = linked.unionByName(rest.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
