@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, hot_keys, saved, spread_join, table
+from .common import hot_keys, saved, spread_join, table
 
 HashOf = Callable[[Column], Column]
 
@@ -68,14 +68,14 @@ def drop_copies(docs: DataFrame, hash_of: HashOf = content_hash) -> DataFrame:
     All columns stay, whatever their names. Null text counts as empty. Where rows
     repeat with one id and one text, one of them stays. Of the rows without an id,
     one stays for each text that no row with an id has. An empty table gives an empty
-    result.
+    result. The row that stays travels with its group, so that a text is shuffled once.
     """
-    groups = copy_groups(keyed(docs, hash_of)).select(F.sha2("_t", 256).alias("_sha"), F.col("keep_id"))
-    groups = saved(groups)
-    sha = free_name(docs, "_sha")
-    rows = docs.withColumn(sha, F.sha2(F.coalesce("text", F.lit("")), 256))
-    same = rows["doc_id"].eqNullSafe(groups["keep_id"]) & (rows[sha] == groups["_sha"])
-    return rows.join(groups, same, "left_semi").dropDuplicates(["doc_id", sha]).drop(sha)
+    other = [c for c in docs.columns if c.lower() != "text"]
+    text, at = F.coalesce("text", F.lit("")), [c.lower() for c in other].index("doc_id")
+    whole = F.struct(F.col("text").isNull().alias("blank"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(other)])
+    groups = docs.select(hash_of(text).alias("h"), text.alias("t"), whole.alias("row")).groupBy("h", "t").agg(F.max_by("row", F.struct(f"row.c{at}")).alias("row"))
+    value = {c: F.col(f"row.c{i}") for i, c in enumerate(other)}
+    return groups.select(*[value[c].alias(c) if c in value else F.when(~F.col("row.blank"), F.col("t")).alias(c) for c in docs.columns])
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

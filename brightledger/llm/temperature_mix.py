@@ -103,6 +103,20 @@ def order_key(*parts: Column) -> Column:
     return F.md5(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)))
 
 
+def totals_before(buckets: DataFrame) -> DataFrame:
+    """_s, epoch, bucket and before: what the buckets (with ``held``) of a source's pass hold before each of them.
+
+    Buckets are summed inside stretches that share the first half of their digits, and
+    the stretches along the pass, so that a task sees about the root of their number.
+    """
+    cut = buckets.withColumn("stretch", F.substring("bucket", F.lit(1), F.ceil(F.length("bucket") / 2).cast("int")))
+    earlier = lambda *keys, order: W.partitionBy("_s", "epoch", *keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    so_far = lambda window: F.coalesce(F.sum("held").over(window), F.lit(0))
+    stretches = cut.groupBy("_s", "epoch", "stretch").agg(F.sum("held").alias("held")).select("_s", "epoch", "stretch", so_far(earlier(order="stretch")).alias("start"))
+    inside = cut.withColumn("own", so_far(earlier("stretch", order="bucket")))
+    return inside.join(stretches, ["_s", "epoch", "stretch"]).select("_s", "epoch", "bucket", (F.col("start") + F.col("own")).alias("before"))
+
+
 def temperature_mix(
     docs: DataFrame, tokens: Column | None = None, entropy_share: float = ENTROPY_SHARE, most_passes: float = MOST_PASSES,
     budget: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = SEED,
@@ -135,8 +149,7 @@ def temperature_mix(
         .withColumn("bucket", F.substring("key", F.lit(1), F.col("digits")))
     )
     bucket = ["_s", "epoch", "bucket"]
-    along = W.partitionBy("_s", "epoch").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    before = laid.groupBy(*bucket).agg(F.sum("tokens").alias("held")).select(*bucket, F.coalesce(F.sum("held").over(along), F.lit(0)).alias("before"))
+    before = totals_before(laid.groupBy(*bucket).agg(F.sum("tokens").alias("held")))
     inside = W.partitionBy(*bucket).orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, -1)
     placed = (
         laid.withColumn("own", F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
@@ -166,7 +179,8 @@ def mixed_documents(docs: DataFrame, **limits: float) -> DataFrame:
     at, epoch = free_name(docs, "_at"), free_name(docs, "_epoch")
     met = met.select("doc_id", F.col("epoch").alias(epoch), F.col("at").alias(at))
     alone = F.struct(F.pmod(F.xxhash64("text"), F.lit(last + 1)).alias("block"), F.lit(0).alias("slot"))
-    rows = docs.join(met, "doc_id", "left").withColumn(at, F.coalesce(at, alone))
+    rows = docs.where("doc_id IS NOT NULL").join(met, "doc_id", "left").withColumn(at, F.coalesce(at, alone)).select(*docs.columns, at)
+    rows = rows.unionByName(docs.where("doc_id IS NULL").withColumn(at, alone))
     return rows.sortWithinPartitions(f"{at}.block", f"{at}.slot").select(*docs.columns)
 
 
