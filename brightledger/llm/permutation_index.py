@@ -35,7 +35,7 @@ SEGMENT, QUERY_BLOCK = 4096, 1024
 BROADCAST_BYTES = 32 << 20
 #: Queries whose best are held in one task at a time.
 HELD = 50_000
-#: Different lengths of vectors at most.
+#: Lengths of vectors that are searched together; others follow, as their pivots are held by the driver.
 LENGTHS = 16
 SEGMENT_SCHEMA = "dim int, ids array<bigint>, flat array<double>, vector array<smallint>, place array<smallint>, ends array<int>"
 BLOCK_SCHEMA = "dim int, block bigint, qids array<bigint>, qflat array<double>, qorder array<smallint>"
@@ -91,12 +91,9 @@ def reranked(vectors: int, k: int) -> int:
     return max(math.ceil(RERANKED * vectors), LEAST, k + 1)
 
 
-def pivots_of(vectors: DataFrame) -> dict[int, np.ndarray]:
-    """A bounded sample: for each length of vectors, those with the PIVOTS smallest hashes of the id."""
-    sized = vectors.withColumn("dim", F.size("embedding"))
-    lengths = [r["dim"] for r in sized.select("dim").distinct().limit(LENGTHS + 1).collect()]
-    if len(lengths) > LENGTHS:
-        raise ValueError(f"vectors of more than {LENGTHS} different lengths")
+def pivots_of(vectors: DataFrame, lengths: list[int]) -> dict[int, np.ndarray]:
+    """A bounded sample: for each of the lengths of vectors, those with the PIVOTS smallest hashes of the id."""
+    sized = vectors.withColumn("dim", F.size("embedding")).where(F.col("dim").isin(lengths))
     first = F.row_number().over(W.partitionBy("dim").orderBy(F.xxhash64("vec_id"), "vec_id", "embedding"))
     rows = sized.withColumn("n", first).where(F.col("n") <= PIVOTS).orderBy("dim", "n").collect()  # at most LENGTHS * PIVOTS
     return {d: np.array([r["embedding"] for r in rows if r["dim"] == d]) for d in lengths}
@@ -177,7 +174,7 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10) -> D
     and score (the distance, in double precision, on the original vectors), nearest
     first and ties to the smaller vec_id. Rows with a null id, or a vector that is
     null, empty, zero or holds a null or non-finite component, take no part. Vectors
-    are searched among those of their own length, of which there are LENGTHS at most.
+    are searched among those of their own length, LENGTHS lengths at a time.
     A query is no candidate of its own: rows with its id are left out. Of several
     different queries with one id the smallest vector (compared component by
     component) asks; a vector id that is repeated with equal vectors counts once, and
@@ -188,8 +185,13 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10) -> D
     small_batches(vectors.sparkSession)
     whole = usable(vectors)
     asked = usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    pivots = pivots_of(whole)
-    pairs = met(index_of(whole, pivots), blocks_of(asked, pivots))
+    lengths = sorted(r["dim"] for r in whole.select(F.size("embedding").alias("dim")).distinct().collect())
+    pairs = None
+    for i in range(0, max(len(lengths), 1), LENGTHS):
+        pivots = pivots_of(whole, lengths[i : i + LENGTHS])
+        own = whole.where(F.size("embedding").isin(list(pivots)))
+        part = met(index_of(own, pivots), blocks_of(asked, pivots))
+        pairs = part if pairs is None else pairs.unionByName(part)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
