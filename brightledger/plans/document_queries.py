@@ -12,7 +12,7 @@ from ..operators import modules as M
 from ..operators import notes, validation
 from ..sources.readers import table
 from . import fixtures
-from .registry import query
+from .registry import example, query
 
 DOUBLE = "double"
 
@@ -65,7 +65,7 @@ def cell_resolve(spark, d):
     return D.resolved(asked, D.grid(found, keys), keys).select("at_row", "at_col", "text", "fault")
 
 
-@query(values("line, cells", (2, "a|b|c"), (4, "1 ~ 2|`x ~ y`|3"), (5, "4|5")))
+@example(values("line, cells", (2, "a|b|c"), (4, "1 ~ 2|`x ~ y`|3"), (5, "4|5")))
 def markdown_tables(spark, d):
     text = "para\n| a | b | c |\n|:--|---|--:|\n| 1 \\| 2 | `x | y` | 3 |\n4 | 5 |\nend | not"
     text = text.replace("\nend | not", "\n\nend | not")
@@ -97,7 +97,7 @@ def exact_source_line(spark, d):
     return table(spark, d, "documents").select("doc_id", line.alias("line")).where("line IS NOT NULL")
 
 
-@query(values("name, tool", ("a.PDF", "ocr"), ("b.md", "text"), ("c.xlsx", "office"), ("d", "unsupported_format"), ("e.tar.gz", "unsupported_format")))
+@example(values("name, tool", ("a.PDF", "ocr"), ("b.md", "text"), ("c.xlsx", "office"), ("d", "unsupported_format"), ("e.tar.gz", "unsupported_format")))
 def converter_routes(spark, d):
     return spark.createDataFrame([(x,) for x in ("a.PDF", "b.md", "c.xlsx", "d", "e.tar.gz")], "name string").select("name", T.converter_for(F.col("name")).alias("tool"))
 
@@ -119,7 +119,7 @@ def note_blocks(spark, d):
     return found.select("ordinal", "kind", F.length(F.trim("text")).alias("size"))
 
 
-@query(values("n, cells", (1, "a|509,352,817.46|1"), (2, "b|5|"), (3, "|7|"), (4, "c|30,000,514.46|2.5")))
+@example(values("n, cells", (1, "a|509,352,817.46|1"), (2, "b|5|"), (3, "|7|"), (4, "c|30,000,514.46|2.5")))
 def wrapped_rows(spark, d):
     rows = [["a", "509,352,8", "1"], ["", "17.46", ""], ["b", "5", ""], ["", "7", ""], ["c", "30,000,514.4", "2."], ["", "6", "5"]]
     one = spark.createDataFrame([(rows,)], "rows array<array<string>>")

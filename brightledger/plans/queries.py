@@ -13,7 +13,7 @@ from ..sources.readers import table
 from ..streaming import events as streams
 from . import facts
 from .facts import with_facts
-from .registry import ORACLE_SQL, QUERIES, query
+from .registry import ORACLE_SQL, QUERIES, example, query
 
 DOUBLE = "double"
 
@@ -440,7 +440,7 @@ def format_half_up(spark, d):
 _LABELS = ["一、营业收入", "其中：利息费用", "减：营业成本（亏损以“-”号填列）", " 货币 资金 ", "1.应收账款", "(二)净利润(净亏损以负号填列)", "加：其他收益", "未知 科目"]
 
 
-@query("""WITH l AS (SELECT unnest([{}]) AS label), c AS (SELECT label, regexp_replace(regexp_replace(regexp_replace(translate(regexp_replace(label, '\\s+', '', 'g'), '（）：', '():'),
+@example("""WITH l AS (SELECT unnest([{}]) AS label), c AS (SELECT label, regexp_replace(regexp_replace(regexp_replace(translate(regexp_replace(label, '\\s+', '', 'g'), '（）：', '():'),
  '^([一二三四五六七八九十]+、|[0-9]+[.．]|\\([一二三四五六七八九十0-9]+\\))', ''), '^(其中|加|减):', ''), '\\((净亏损|亏损|损失|亏损总额).*$', '') AS clean FROM l)
  SELECT label, clean, CASE clean WHEN '营业收入' THEN 'revenue' WHEN '营业成本' THEN 'cost' WHEN '货币资金' THEN 'cash' WHEN '应收账款' THEN 'accounts_receivable' WHEN '净利润' THEN 'net_profit' WHEN '其他收益' THEN 'other_income'
  ELSE 'disclosed_' || substr(sha256('income_statement:' || clean), 1, 32) END AS concept FROM c""".format(", ".join(f"'{x}'" for x in _LABELS)))

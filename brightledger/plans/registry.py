@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: Queries over fixed inputs, for the tests: not registered.
+EXAMPLES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
 
 
 def query(sql: str | None = None):
@@ -20,3 +22,13 @@ def query(sql: str | None = None):
         return f
 
     return register
+
+
+def example(sql: str):
+    """Keep a function of (spark, sf_dir) over fixed inputs, with the SQL of its rows, as an example that the tests run."""
+
+    def keep(f: Callable[[SparkSession, str], DataFrame]):
+        EXAMPLES[f.__name__] = f, sql
+        return f
+
+    return keep

@@ -15,7 +15,7 @@ from ..operators import modules as M
 from ..sources import readers, writers
 from ..sources.readers import table
 from .document_queries import values
-from .registry import query
+from .registry import example, query
 
 DOUBLE = "double"
 
@@ -33,17 +33,17 @@ def provider_concepts(spark, d):
     return table(spark, d, "part").select("p_partkey", T.provider_concept(name).alias("concept"))
 
 
-@query(values("raw, age", ("1年以内（含1年）", "1年内"), ("一年以内", "1年内"), ("1至2年", "1-2年"), ("2～3年", "2～3年"), ("3年以上", "3年以上"), ("4年—5年", "4-5年")))
+@example(values("raw, age", ("1年以内（含1年）", "1年内"), ("一年以内", "1年内"), ("1至2年", "1-2年"), ("2～3年", "2～3年"), ("3年以上", "3年以上"), ("4年—5年", "4-5年")))
 def age_labels(spark, d):
     return _given(spark, "raw", ["1年以内（含1年）", "一年以内", "1至2年", "2～3年", "3年以上", "4年—5年"]).select("raw", T.age_label(F.col("raw")).alias("age"))
 
 
-@query(values("raw, n", ("一", 1), ("十", 10), ("十七", 17), ("二十", 20), ("九十九", 99), ("x", None)))
+@example(values("raw, n", ("一", 1), ("十", 10), ("十七", 17), ("二十", 20), ("九十九", 99), ("x", None)))
 def section_numbers(spark, d):
     return _given(spark, "raw", ["一", "十", "十七", "二十", "九十九", "x"]).select("raw", T.section_number(F.col("raw")).alias("n"))
 
 
-@query(values("raw, label, url", ("查看__https://x.y/z", "查看", "https://x.y/z"), ("a__ftp://b", "a", None), ("plain", "plain", None)))
+@example(values("raw, label, url", ("查看__https://x.y/z", "查看", "https://x.y/z"), ("a__ftp://b", "a", None), ("plain", "plain", None)))
 def source_links(spark, d):
     return _given(spark, "raw", ["查看__https://x.y/z", "a__ftp://b", "plain"]).select("raw", T.link_label(F.col("raw")).alias("label"), T.link_url(F.col("raw")).alias("url"))
 
@@ -62,7 +62,7 @@ def holds_number(spark, d):
 # Numbers -------------------------------------------------------------------------
 
 
-@query(values("raw, value", ("1,234.5", 12345000.0), ("12%", 120000.0), ("509,352,8", None), ("5,", None), ("", None), ("(3)", -30000.0), ("－", None)))
+@example(values("raw, value", ("1,234.5", 12345000.0), ("12%", 120000.0), ("509,352,8", None), ("5,", None), ("", None), ("(3)", -30000.0), ("－", None)))
 def number_parse_note(spark, d):
     return _given(spark, "raw", ["1,234.5", "12%", "509,352,8", "5,", "", "(3)", "－"]).select("raw", N.note_number(F.col("raw"), 10000).cast(DOUBLE).alias("value"))
 
@@ -79,12 +79,12 @@ def auto_units(spark, d):
     return table(spark, d, "orders").select("o_orderkey", N.auto_unit(whole).alias("unit"))
 
 
-@query(values("raw, text", ("001.500", "1.5"), ("-0.00", "0"), ("10.", "10"), ("-007", "-7"), ("0.10", "0.1")))
+@example(values("raw, text", ("001.500", "1.5"), ("-0.00", "0"), ("10.", "10"), ("-007", "-7"), ("0.10", "0.1")))
 def canonical_decimals(spark, d):
     return _given(spark, "raw", ["001.500", "-0.00", "10.", "-007", "0.10"]).select("raw", N.canonical_decimal(F.col("raw")).alias("text"))
 
 
-@query(values("project, code, value, status, reason", ("p", "liabilities_to_assets", 0.8, "computed", None), ("p", "interest_bearing_debt_to_assets", 0.3, "computed", None), ("p", "quick_ratio", None, "unavailable", "missing_required_input:inventory"),
+@example(values("project, code, value, status, reason", ("p", "liabilities_to_assets", 0.8, "computed", None), ("p", "interest_bearing_debt_to_assets", 0.3, "computed", None), ("p", "quick_ratio", None, "unavailable", "missing_required_input:inventory"),
     ("q", "liabilities_to_assets", None, "conflicted", "unresolved_fact_conflict"), ("q", "interest_bearing_debt_to_assets", None, "conflicted", "unresolved_fact_conflict"), ("q", "quick_ratio", None, "unavailable", "missing_required_input:current_assets"),
     ("z", "liabilities_to_assets", None, "zero_denominator", "zero_denominator"), ("z", "interest_bearing_debt_to_assets", None, "unavailable", "missing_required_input:interest_bearing_debt"), ("z", "quick_ratio", None, "unavailable", "missing_required_input:current_assets")))
 def fact_ratios(spark, d):
@@ -99,18 +99,18 @@ def fact_ratios(spark, d):
 _HEADS = ["期末余额", "期初余额", "2025年12月31日", "2026-06-30", "2026年半年度", "2025年度", "其他"]
 
 
-@query(values("head, stock, flow", ("期末余额", "2026-06-30", None), ("期初余额", "2025-12-31", None), ("2025年12月31日", "2025-12-31", None), ("2026-06-30", "2026-06-30", None), ("2026年半年度", None, "2026H1"), ("2025年度", None, "2025年度"), ("其他", None, None)))
+@example(values("head, stock, flow", ("期末余额", "2026-06-30", None), ("期初余额", "2025-12-31", None), ("2025年12月31日", "2025-12-31", None), ("2026-06-30", "2026-06-30", None), ("2026年半年度", None, "2026H1"), ("2025年度", None, "2025年度"), ("其他", None, None)))
 def column_periods(spark, d):
     end = F.lit(dt.date(2026, 6, 30))
     return _given(spark, "head", _HEADS).select("head", D.column_period(F.col("head"), F.lit("balance_sheet"), end).alias("stock"), D.column_period(F.col("head"), F.lit("income_statement"), end).alias("flow"))
 
 
-@query(values("raw, period", ("甲公司2026年半年度报告", "2026-06-30"), ("2025年年度报告", "2025-12-31"), ("2024年第三季度报告全文", "2024-09-30"), ("其他", None)))
+@example(values("raw, period", ("甲公司2026年半年度报告", "2026-06-30"), ("2025年年度报告", "2025-12-31"), ("2024年第三季度报告全文", "2024-09-30"), ("其他", None)))
 def report_ends(spark, d):
     return _given(spark, "raw", ["甲公司2026年半年度报告", "2025年年度报告", "2024年第三季度报告全文", "其他"]).select("raw", P.report_end(F.col("raw")).cast("string").alias("period"))
 
 
-@query(values("head, period", ("期末余额", "2025-12-31"), ("期初余额", "2024-12-31"), ("上期发生额", "2024-12-31"), ("2023年", "2023-12-31"), ("本期金额", "2025-12-31"), ("比例", None)))
+@example(values("head, period", ("期末余额", "2025-12-31"), ("期初余额", "2024-12-31"), ("上期发生额", "2024-12-31"), ("2023年", "2023-12-31"), ("本期金额", "2025-12-31"), ("比例", None)))
 def note_periods(spark, d):
     return _given(spark, "head", ["期末余额", "期初余额", "上期发生额", "2023年", "本期金额", "比例"]).select("head", D.note_period(F.col("head"), F.lit(dt.date(2025, 12, 31))).cast("string").alias("period"))
 
@@ -141,7 +141,7 @@ def percent_columns(spark, d):
     return M.monetary(table(spark, d, "events").select("event_id", kind.alias("data_type")), "data_type").select("event_id")
 
 
-@query(values("name", *[(x,) for x in ["合并期末", "合并期末同比(%)"]]))
+@example(values("name", *[(x,) for x in ["合并期末", "合并期末同比(%)"]]))
 def column_filter(spark, d):
     names = _given(spark, "name", ["合并期末", "合并期末同比(%)", "母公司期末", "同比", "合并期初环比(%)"])
     return matrix.column_filter(names, "name", "合并期末", "原始报表,同比增长率")
@@ -153,7 +153,7 @@ def collapsed_rows(spark, d):
     return table(spark, d, "part").where(matrix.collapse(path, F.array(F.lit("Brand#11")))).select("p_partkey")
 
 
-@query("""SELECT key, amount, growth FROM (VALUES ('a', '10', '5'), ('b', '7', NULL)) v(key, amount, growth)""")
+@example("""SELECT key, amount, growth FROM (VALUES ('a', '10', '5'), ('b', '7', NULL)) v(key, amount, growth)""")
 def indicator_trend(spark, d):
     rows = spark.createDataFrame([("m", "a", "1", "10"), ("m", "a", "1_2", "5"), ("m", "b", "1", "7"), ("m", "b", "2", "9")], "module_key string, period_raw string, row_key string, value string")
     return M.trend(rows, "1").select(F.col("period_raw").alias("key"), "amount", "growth")
@@ -178,7 +178,7 @@ def csv_export(spark, d):
     return writers.csv_lines(table(spark, d, "customer").select("c_custkey", cell.alias("cell"), F.lit(None).cast("string").alias("none")))
 
 
-@query(values("n, proven", (1, True), (2, False), (3, False)))
+@example(values("n, proven", (1, True), (2, False), (3, False)))
 def fact_import(spark, d):
     docs = spark.createDataFrame([("d", "a\nassets 5")], "document_id string, text string")
     facts = spark.createDataFrame([(1, "d", 2, "assets 5"), (2, "d", 1, "assets 5"), (3, "x", 2, "assets 5")], "n int, document_id string, line int, quote string")

@@ -10,7 +10,7 @@ from ..functions import periods as P
 from ..functions import text as T
 from ..operators import tables, views
 from ..sources.readers import table
-from .registry import query
+from .registry import example, query
 
 DOUBLE = "double"
 _STATE = "CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'partial' ELSE 'running' END"
@@ -255,7 +255,7 @@ def canonical_digest(spark, d):
     return table(spark, d, "events").where(k.isNotNull()).select("event_id", J.json_digest(text).alias("digest"))
 
 
-@query("""SELECT n, found FROM (VALUES (1, 'x'), (2, 'deep'), (3, NULL), (4, NULL), (5, 'first'), (6, NULL)) v(n, found)""")
+@example("""SELECT n, found FROM (VALUES (1, 'x'), (2, 'deep'), (3, NULL), (4, NULL), (5, 'first'), (6, NULL)) v(n, found)""")
 def recursive_key_search(spark, d):
     rows = [(1, '{"md":"x"}'), (2, '{"a":[{"b":1},{"c":{"text":"deep"}}]}'), (3, '{"a":{"md":5}}'), (4, "not json"), (5, '[{"text":"first"},{"md":"second"}]'), (6, None)]
     return spark.createDataFrame(rows, "n int, raw string").select("n", J.found_under(F.col("raw"), ["md", "text"]).alias("found"))
@@ -274,7 +274,7 @@ def json_bytes(spark, d):
     return table(spark, d, "documents").select("doc_id", J.json_bytes(F.struct(F.col("doc_id").alias("id"), "source")).cast("long").alias("bytes"))
 
 
-@query("""SELECT n, ok FROM (VALUES (1, true), (2, false), (3, false), (4, true), (5, false), (6, false)) v(n, ok)""")
+@example("""SELECT n, ok FROM (VALUES (1, true), (2, false), (3, false), (4, true), (5, false), (6, false)) v(n, ok)""")
 def nonfinite_reject(spark, d):
     rows = [(1, '{"a":1.5}'), (2, '{"a":NaN}'), (3, "[Infinity]"), (4, '{"a":"NaN"}'), (5, '{"a":-Infinity}'), (6, "{")]
     return spark.createDataFrame(rows, "n int, raw string").select("n", J.canonical_json(F.col("raw")).isNotNull().alias("ok"))
@@ -283,7 +283,7 @@ def nonfinite_reject(spark, d):
 # Scalars -------------------------------------------------------------------------
 
 
-@query("""SELECT label, name FROM (VALUES ('非流动性资产处置损益', '非流动资产处置损益'), ('计入当期损益的政府补助', '政府补助'), ('减：所得税影响额', '所得税影响数'), ('其他符合非经常性损益定义的损益项目', '其他'), ('合计', '合计')) v(label, name)""")
+@example("""SELECT label, name FROM (VALUES ('非流动性资产处置损益', '非流动资产处置损益'), ('计入当期损益的政府补助', '政府补助'), ('减：所得税影响额', '所得税影响数'), ('其他符合非经常性损益定义的损益项目', '其他'), ('合计', '合计')) v(label, name)""")
 def nonrecurring_labels(spark, d):
     labels = ["非流动性资产处置损益", "计入当期损益的政府补助", "减：所得税影响额", "其他符合非经常性损益定义的损益项目", "合计"]
     return spark.createDataFrame([(x,) for x in labels], "label string").select("label", T.nonrecurring_label(F.col("label")).alias("name"))
@@ -294,7 +294,7 @@ def header_join(spark, d):
     return table(spark, d, "part").select("p_partkey", T.header_join(F.array("p_brand", F.concat(F.lit(" "), "p_brand"), "p_type", F.lit(None).cast("string"))).alias("header"))
 
 
-@query("""SELECT raw, step FROM (VALUES ('1,234.50', '0.01'), ('(7)', '1'), ('1e3', '1000'), ('1.5e3', '100'), ('2.50e-1', '0.001'), ('x', NULL)) v(raw, step)""")
+@example("""SELECT raw, step FROM (VALUES ('1,234.50', '0.01'), ('(7)', '1'), ('1e3', '1000'), ('1.5e3', '100'), ('2.50e-1', '0.001'), ('x', NULL)) v(raw, step)""")
 def increment_of(spark, d):
     raw = spark.createDataFrame([(x,) for x in ["1,234.50", "(7)", "1e3", "1.5e3", "2.50e-1", "x"]], "raw string")
     return raw.select("raw", N.exponent_increment(F.col("raw")).alias("step"))
@@ -306,13 +306,13 @@ def quantize_six(spark, d):
     return table(spark, d, "customer").select("c_custkey", N.quantized(exact).cast(DOUBLE).alias("wan"))
 
 
-@query("""SELECT n, shown FROM (VALUES (1, '80.00%'), (2, '33.33%'), (3, '0.12%'), (4, '0.14%'), (5, '—（分母为零）')) v(n, shown)""")
+@example("""SELECT n, shown FROM (VALUES (1, '80.00%'), (2, '33.33%'), (3, '0.12%'), (4, '0.14%'), (5, '—（分母为零）')) v(n, shown)""")
 def percent_display(spark, d):
     rows = spark.createDataFrame([(1, "0.8", None), (2, "0.333333", None), (3, "0.00125", None), (4, "0.00135", None), (5, None, "分母为零")], "n int, v string, reason string")
     return rows.select("n", N.percent_display(F.col("v").cast("decimal(38,18)"), F.col("reason")).alias("shown"))
 
 
-@query("""SELECT a, b, same FROM (VALUES ('1.0', '1.00', true), ('1e2', '100', true), ('1', '2', false), ('x', 'x', false), (NULL, NULL, false)) v(a, b, same)""")
+@example("""SELECT a, b, same FROM (VALUES ('1.0', '1.00', true), ('1e2', '100', true), ('1', '2', false), ('x', 'x', false), (NULL, NULL, false)) v(a, b, same)""")
 def same_number(spark, d):
     rows = spark.createDataFrame([("1.0", "1.00"), ("1e2", "100"), ("1", "2"), ("x", "x"), (None, None)], "a string, b string")
     return rows.select("a", "b", N.same_number(F.col("a"), F.col("b")).alias("same"))
@@ -322,7 +322,7 @@ _CLAIMS = [("2025年12月31日", None, "balance_sheet"), ("2025-01-01/2025-06-30
            ("2025-01-01/2025-12-31", None, "balance_sheet"), ("2025年度", "year", "income_statement"), ("2025-12-31", None, "income_statement"), ("soon", None, "income_statement"), ("2025-02-30", None, "balance_sheet"), ("2024年12月31日（调整后）", None, "balance_sheet")]
 
 
-@query("""SELECT raw, type, claim, period, kind, fault FROM (VALUES
+@example("""SELECT raw, type, claim, period, kind, fault FROM (VALUES
  ('2025年12月31日', 'balance_sheet', NULL, '2025-12-31', 'instant', NULL), ('2025-01-01/2025-06-30', 'income_statement', 'half_year', '2025-01-01/2025-06-30', 'half_year', NULL),
  ('2025-01-01/2025-06-30', 'income_statement', 'year', NULL, NULL, 'period_kind_mismatch'), ('2025-06-30/2025-01-01', 'income_statement', NULL, NULL, NULL, 'period_order'),
  ('2025-01-01/2025-12-31', 'balance_sheet', NULL, NULL, NULL, 'balance_requires_instant'), ('2025年度', 'income_statement', 'year', '2025-01-01/2025-12-31', 'year', NULL),

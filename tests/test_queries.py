@@ -6,7 +6,7 @@ import pytest
 from parity import assert_parity
 
 import __spark_entry__ as entry  # registers all queries
-from brightledger.plans.registry import ORACLE_SQL, QUERIES
+from brightledger.plans.registry import EXAMPLES, ORACLE_SQL, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
@@ -14,6 +14,12 @@ def test_agrees_with_sql(spark, sf, name):
     assert_parity(QUERIES[name](spark, sf), ORACLE_SQL[name], sf)
 
 
+@pytest.mark.parametrize("name", sorted(EXAMPLES))
+def test_example_agrees_with_its_rows(spark, sf, name):
+    run, sql = EXAMPLES[name]
+    assert_parity(run(spark, sf), sql, sf)
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - {"metrics_all"}))
 def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
