@@ -149,10 +149,11 @@ def fact_ratios(spark, d):
 
 # Periods -------------------------------------------------------------------------
 
-_DATE = "CAST(o_orderdate AS DATE)"
+#: A balance of a year's first day is the one of the day before.
+_BALANCE = "CASE WHEN month(o_orderdate) = 1 AND day(o_orderdate) = 1 THEN CAST(o_orderdate AS DATE) - 1 ELSE CAST(o_orderdate AS DATE) END"
 
 
-@query(f"""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN CAST({_DATE} AS VARCHAR) WHEN 1 THEN year(o_orderdate) || '-01-01/' || year(o_orderdate) || '-12-31' WHEN 4 THEN CAST({_DATE} AS VARCHAR) END AS period,
+@query(f"""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN CAST({_BALANCE} AS VARCHAR) WHEN 1 THEN year(o_orderdate) || '-01-01/' || year(o_orderdate) || '-12-31' WHEN 4 THEN CAST({_BALANCE} AS VARCHAR) END AS period,
  CASE o_orderkey % 5 WHEN 2 THEN 'flow_requires_duration' WHEN 3 THEN CASE WHEN month(o_orderdate) = 1 AND day(o_orderdate) = 1 THEN NULL ELSE 'period_order' END END AS fault FROM orders WHERE o_orderkey % 5 <> 3 OR NOT (month(o_orderdate) = 1 AND day(o_orderdate) = 1)""")
 def period_strict(spark, d):
     day, year = F.to_date("o_orderdate"), F.year("o_orderdate")
@@ -165,9 +166,6 @@ def period_strict(spark, d):
     return rows.select("o_orderkey", "p.period", "p.fault")
 
 
-_END = "make_date(year(o_orderdate) + 20, 6, 30)"
-
-
 @query(f"""WITH y AS (SELECT o_orderkey, o_orderkey % 6 AS k, year(o_orderdate) + 20 AS y FROM orders)
  SELECT o_orderkey, CASE k WHEN 0 THEN y || '-06-30' WHEN 1 THEN (y - 1) || '-12-31' WHEN 2 THEN y || '-03-07' END AS stock, CASE k WHEN 3 THEN y || 'H1' WHEN 4 THEN y || '年度' END AS flow FROM y""")
 def column_periods(spark, d):

@@ -26,7 +26,7 @@ def values(columns: str, *rows: tuple) -> str:
 # Documents -----------------------------------------------------------------------
 
 
-@query(values("document_id, level, title, line",
+@example(values("document_id, level, title, line",
     ("statements", 1, "乙公司2026年半年度报告", 1), ("statements", 2, "合并资产负债表", 4), ("statements", 2, "母公司利润表", 9), ("outline", 1, "Report", 1), ("outline", 1, "One", 4), ("outline", 2, "Sub", 10), ("outline", 2, "Two", 15)))
 def heading_levels(spark, d):
     return D.headings(fixtures.documents(spark).where("document_id <> 'notes'")).select("document_id", "level", "title", "line")
@@ -73,7 +73,7 @@ def markdown_tables(spark, d):
     return rows.select("line", F.array_join(F.transform("cells", lambda c: F.replace(c, F.lit("|"), F.lit("~"))), "|").alias("cells"))
 
 
-@query(values("statement_type, scope, concept, raw_value, value, raw_unit, period, status",
+@example(values("statement_type, scope, concept, raw_value, value, raw_unit, period, status",
     ("balance_sheet", "consolidated", "cash", "1,200.50", 12005000.0, "万元", "2026-06-30", "source_verified"), ("balance_sheet", "consolidated", "inventory", "(3)", -30000.0, "万元", "2026-06-30", "source_verified"),
     ("balance_sheet", "consolidated", "inventory", "0", 0.0, "万元", "2025-12-31", "source_verified"), ("balance_sheet", "consolidated", "fixed_assets", "8", 80000.0, "万元", "2026-06-30", "source_verified"),
     ("balance_sheet", "consolidated", "fixed_assets", "7.5", 75000.0, "万元", "2025-12-31", "source_verified"), ("income_statement", "parent", "revenue", "5", 5.0, "元", "2026-06-30", "pending_confirmation"),
@@ -83,7 +83,7 @@ def statement_extract(spark, d):
     return found.select("statement_type", "scope", F.regexp_replace("concept", "^disclosed_.*", "disclosed").alias("concept"), "raw_value", F.col("value").cast(DOUBLE).alias("value"), "raw_unit", F.col("period_end").cast("string").alias("period"), "status")
 
 
-@query(values("n, section, label, line", (1, "资产负债表", "项目", 5), (2, "流动资产", "流动资产", 5), (3, "流动资产", "货币资金", 5), (4, "流动资产", "存货", 5), (5, "非流动资产", "非流动资产", 5), (6, "非流动资产", "固定资产", 5),
+@example(values("n, section, label, line", (1, "资产负债表", "项目", 5), (2, "流动资产", "流动资产", 5), (3, "流动资产", "货币资金", 5), (4, "流动资产", "存货", 5), (5, "非流动资产", "非流动资产", 5), (6, "非流动资产", "固定资产", 5),
     (7, "利润表", "项目", 11), (8, "利润表", "营业收入", 11), (9, "利润表", "营业收入", 11), (10, "利润表", "基本每股收益", 11)))
 def source_layout(spark, d):
     return D.source_layout(fixtures.documents(spark)).select(F.col("source_order").alias("n"), F.col("source_section").alias("section"), F.col("source_label").alias("label"), F.col("start_line").alias("line"))
@@ -105,7 +105,7 @@ def converter_routes(spark, d):
 # Notes ---------------------------------------------------------------------------
 
 
-@query(values("title, scope, categories, first, last", ("四、聘任、解聘会计师事务所情况", "report", "审计报告", 3, 5), ("一、审计报告", "report", "审计报告", 6, 8), ("七、合并财务报表项目注释", "consolidated", "", 10, 10), ("二、联营企业", "consolidated", "", 11, 11),
+@example(values("title, scope, categories, first, last", ("四、聘任、解聘会计师事务所情况", "report", "审计报告", 3, 5), ("一、审计报告", "report", "审计报告", 6, 8), ("七、合并财务报表项目注释", "consolidated", "", 10, 10), ("二、联营企业", "consolidated", "", 11, 11),
     ("1、货币资金", "consolidated", "货币资金", 12, 14), ("5、应收账款", "consolidated", "应收账款", 15, 18), ("(3) 按欠款方归集的前五名的应收账款情况", "consolidated", "应收账款", 19, 21), ("60、财务费用", "consolidated", "财务费用", 22, 24),
     ("十七、母公司财务报表主要项目注释", "parent", "", 25, 25), ("1、应收账款", "parent", "应收账款", 26, 28), ("二十、补充资料", "report", "", 29, 29), ("1、当期非经常性损益明细表", "report", "非经常性损益", 30, 32)))
 def note_index(spark, d):
@@ -113,7 +113,7 @@ def note_index(spark, d):
     return found.select("title", "scope", F.array_join("categories", ",").alias("categories"), F.col("start_line").alias("first"), F.col("end_line").alias("last"))
 
 
-@query(values("ordinal, kind, size", (0, "text", 13), (1, "table", 232)))
+@example(values("ordinal, kind, size", (0, "text", 13), (1, "table", 232)))
 def note_blocks(spark, d):
     found = notes.note_blocks(notes.note_index(fixtures.documents(spark)).where("title = '1、货币资金'"), ["document_id"])
     return found.select("ordinal", "kind", F.length(F.trim("text")).alias("size"))
@@ -131,12 +131,12 @@ def _matrix(spark, category, scope="consolidated"):
     return found.select("label", F.col("period_end").cast("string").alias("period"), F.col("value").cast(DOUBLE).alias("value"), "conflict")
 
 
-@query(values("label, period, value, conflict", ("现金", "2025-12-31", 15000.0, False), ("现金", "2024-12-31", 20000.0, False), ("银行存款", "2025-12-31", 100000.0, False), ("银行存款", "2024-12-31", 90000.0, False), ("合计", "2025-12-31", 115000.0, False), ("合计", "2024-12-31", 110000.0, False)))
+@example(values("label, period, value, conflict", ("现金", "2025-12-31", 15000.0, False), ("现金", "2024-12-31", 20000.0, False), ("银行存款", "2025-12-31", 100000.0, False), ("银行存款", "2024-12-31", 90000.0, False), ("合计", "2025-12-31", 115000.0, False), ("合计", "2024-12-31", 110000.0, False)))
 def notes_matrix_cash(spark, d):
     return _matrix(spark, "货币资金")
 
 
-@query(values("label, period, value, conflict", ("1年内", "2025-12-31", 100.0, False), ("1年内", "2024-12-31", 90.0, False), ("1-2年", "2025-12-31", 509352817.46, False)))
+@example(values("label, period, value, conflict", ("1年内", "2025-12-31", 100.0, False), ("1年内", "2024-12-31", 90.0, False), ("1-2年", "2025-12-31", 509352817.46, False)))
 def notes_matrix_ageing(spark, d):
     return _matrix(spark, "应收账款账龄分析")
 
@@ -146,30 +146,30 @@ def notes_matrix_parent(spark, d):
     return _matrix(spark, "应收账款账龄分析", "parent")
 
 
-@query(values("label, period, value, conflict", ("利息支出", "2025-12-31", 12.0, False), ("利息支出", "2024-12-31", 11.0, False), ("减：利息收入", "2025-12-31", -3.0, False), ("减：利息收入", "2024-12-31", -4.0, False), ("手续费支出", "2025-12-31", 0.5, False)))
+@example(values("label, period, value, conflict", ("利息支出", "2025-12-31", 12.0, False), ("利息支出", "2024-12-31", 11.0, False), ("减：利息收入", "2025-12-31", -3.0, False), ("减：利息收入", "2024-12-31", -4.0, False), ("手续费支出", "2025-12-31", 0.5, False)))
 def notes_matrix_costs(spark, d):
     return _matrix(spark, "财务费用")
 
 
-@query(values("label, period, value, conflict", ("政府补助", "2025-12-31", 8.0, False), ("所得税影响数", "2025-12-31", -2.0, False), ("少数股东损益影响数", "2025-12-31", -1.0, False)))
+@example(values("label, period, value, conflict", ("政府补助", "2025-12-31", 8.0, False), ("所得税影响数", "2025-12-31", -2.0, False), ("少数股东损益影响数", "2025-12-31", -1.0, False)))
 def notes_matrix_nonrecurring(spark, d):
     return _matrix(spark, "非经常性损益")
 
 
-@query(values("label, value, conflict, candidates", ("货币资金", None, True, 2), ("存货", 5.0, False, 1)))
+@example(values("label, value, conflict, candidates", ("货币资金", None, True, 2), ("存货", 5.0, False, 1)))
 def notes_matrix_generic(spark, d):
     text = "# 丁公司2025年年度报告\n## 1、存货\n单位：元\n" + fixtures.html(["项目", "期末余额"], ["货币资金", "10"], ["存货", "2"], ["存货", "3"]) + "\n" + fixtures.html(["项目", "期末余额"], ["货币资金", "11"])
     found = D.notes_matrix(spark.createDataFrame([("d", text)], "document_id string, text string"), "存货")
     return found.select("label", F.col("value").cast(DOUBLE).alias("value"), "conflict", "candidates")
 
 
-@query(values("period, name, amount, other, conflict", ("2025-12-31", "甲", "70", "35.0", False), ("2025-12-31", "乙", "30.0", "15", False), ("2025-12-31", "合计", "100", "50", False)))
+@example(values("period, name, amount, other, conflict", ("2025-12-31", "甲", "70", "35.0", False), ("2025-12-31", "乙", "30.0", "15", False), ("2025-12-31", "合计", "100", "50", False)))
 def note_records(spark, d):
     found = notes.records_table(fixtures.documents(spark), "前五名应收账款", "consolidated")
     return found.select(F.col("period_end").cast("string").alias("period"), "name", "amount", "other", "conflict")
 
 
-@query(values("label, period, value, conflict", ("审计日期", "2025-12-31", "2026-03-30", False), ("审计意见", "2025-12-31", "标准无保留", False), ("境内会计事务所", "2025-12-31", "某会计师事务所", False), ("境内", "2025-12-31", "1200000", False), ("审计报告正文", "2025-12-31", "查看", False)))
+@example(values("label, period, value, conflict", ("审计日期", "2025-12-31", "2026-03-30", False), ("审计意见", "2025-12-31", "标准无保留", False), ("境内会计事务所", "2025-12-31", "某会计师事务所", False), ("境内", "2025-12-31", "1200000", False), ("审计报告正文", "2025-12-31", "查看", False)))
 def audit_matrix(spark, d):
     return notes.audit_matrix(fixtures.documents(spark)).select("label", F.col("period_end").cast("string").alias("period"), "value", "conflict")
 
@@ -300,7 +300,7 @@ def table_coverage(spark, d):
     return found.select("document_id", F.col("numeric_cells").alias("numeric"), F.col("extracted_cells").alias("extracted"), F.col("missing_numeric_cells").alias("missing"), F.col("blank_cells").alias("blank"), F.col("unreadable_cells").alias("unreadable"), F.array_join("missing_core", ",").alias("core"), "status")
 
 
-@query(values("n, proven", (1, True), (2, False), (3, False), (4, True), (5, False), (6, False)))
+@example(values("n, proven", (1, True), (2, False), (3, False), (4, True), (5, False), (6, False)))
 def evidence_proof(spark, d):
     docs = spark.createDataFrame([("d", "甲公司\n单位：万元\nnote\n合并 (x)\n万元")], "document_id string, text string")
     spans = spark.createDataFrame([("d", "b", 0, 4), ("d", "b", 4, 11), ("d", "b", 15, 22)], "document_id string, block_id string, start_offset int, end_offset int")

@@ -46,7 +46,7 @@ def _sql() -> str:
  e AS (SELECT *, lines + max(CASE WHEN early THEN 1 ELSE 0 END) {inside} AS row_no, own AND was AND NOT (name IN ('td', 'th') AND closing) AS unclosed,
    CASE WHEN try_cast(rowspan_said AS INTEGER) BETWEEN 1 AND 1000 THEN CAST(rowspan_said AS INTEGER) ELSE 1 END AS rowspan, CASE WHEN try_cast(colspan_said AS INTEGER) BETWEEN 1 AND 1000 THEN CAST(colspan_said AS INTEGER) ELSE 1 END AS colspan FROM e3),
  c AS (SELECT page_id, tbl, cell, max(row_no) FILTER (begins) AS row_no, max(rowspan) FILTER (begins) AS rowspan, max(colspan) FILTER (begins) AS colspan, bool_or(begins AND name = 'th') AS is_header,
-   trim(replace(replace(replace(regexp_replace(regexp_replace(string_agg(after, '' ORDER BY at_), '(?i)<br\\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), ' ' || chr(10) || chr(13) || chr(9)) AS text
+   trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(string_agg(after, '' ORDER BY at_), '(?i)<br\\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;?', '&', 'g'), ' ' || chr(10) || chr(13) || chr(9)) AS text
    FROM e WHERE live AND depth = 1 GROUP BY 1, 2, 3)"""
 
 
