@@ -181,30 +181,30 @@ def _module(spark):
     return M.provider_matrix(fixtures.payloads(spark).where("module_key = 'matrix'"), ["module_key"])
 
 
-@query(values("module_key, state, rows, filled", ("matrix", "ok", 30, 27), ("short", "structure_changed", 1, 0), ("bare", "empty_module", 1, 0), ("broken", "structure_changed", 1, 0)))
+@example(values("module_key, state, rows, filled", ("matrix", "ok", 30, 27), ("short", "structure_changed", 1, 0), ("bare", "empty_module", 1, 0), ("broken", "structure_changed", 1, 0)))
 def provider_matrix(spark, d):
     found = M.provider_matrix(fixtures.payloads(spark).where("module_key IN ('matrix', 'short', 'bare', 'broken')"), ["module_key"])
     return found.groupBy("module_key", "state").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.coalesce(F.col("value") != "", F.lit(False))).alias("filled"))
 
 
-@query(values("key, depth, path, period, value", *[(k, n, p, t, v) for k, n, p, pair in [
+@example(values("key, depth, path, period, value", *[(k, n, p, t, v) for k, n, p, pair in [
     ("a", 0, "/1", ("1", "2")), ("b", 1, "/1/0", (None, None)), ("c", 2, "/1/0/0", (None, "3")), ("d", 3, "/1/0/0/0", (None, None)), ("e", 4, "/1/0/0/0/0", (None, None)), ("f", 5, "/1/0/0/0/0/0", ("6", None)), ("z", 0, "/2", (None, None))]
     for t, v in zip(("20251231", "20241231"), pair)]))
 def provider_analysis(spark, d):
     return M.provider_analysis(fixtures.payloads(spark), ["module_key"]).select("key", "depth", "path", "period", "value")
 
 
-@query(values("record, report, entry, field, value", (1, "2025年年报", "甲", "金额", "1"), (1, "2025年年报", "甲", "比例", "4"), (1, "2025年年报", "乙", "金额", "2"), (1, "2025年年报", "乙", "比例", None), (2, "2025年中报", "丙", "金额", "3"), (2, "2025年中报", "丙", "比例", "6")))
+@example(values("record, report, entry, field, value", (1, "2025年年报", "甲", "金额", "1"), (1, "2025年年报", "甲", "比例", "4"), (1, "2025年年报", "乙", "金额", "2"), (1, "2025年年报", "乙", "比例", None), (2, "2025年中报", "丙", "金额", "3"), (2, "2025年中报", "丙", "比例", "6")))
 def provider_records(spark, d):
     return M.provider_records(fixtures.payloads(spark), ["module_key"]).select("record", "report", "entry", "field", "value")
 
 
-@query(values("code, name, state", ("A1", "甲", "ok"), ("", "乙", "structure_changed")))
+@example(values("code, name, state", ("A1", "甲", "ok"), ("", "乙", "structure_changed")))
 def search_candidates(spark, d):
     return M.search_candidates(fixtures.payloads(spark).where("module_key = 'search'"), ["module_key"]).select("code", "name", "state")
 
 
-@query(values("key, column_no, scope, currency, period, mapping, unit, value, step, status",
+@example(values("key, column_no, scope, currency, period, mapping, unit, value, step, status",
     ("1", 0, "consolidated", "CNY", "2025-12-31", "cash", "万元", 12345000.0, "0.1", "source_verified"), ("1", 2, "consolidated", "USD", "2025-09-30", "cash", "万元", 10000000.0, "1000", "source_verified"),
     ("1", 3, "parent", "CNY", "2024-12-31", "cash", "万元", 70000.0, "1", "source_verified"), ("1", 4, "consolidated", "CNY", "2020-03-31", "cash", "万元", 0.0, "1", "source_verified"),
     ("2", 0, "consolidated", "CNY", "2025-12-31", "unmapped", "千元", 8000.0, "1", "source_verified"), ("2", 2, "consolidated", "USD", "2025-09-30", "unmapped", "千元", None, None, "source_value_not_found"),
@@ -220,19 +220,19 @@ def provider_statements(spark, d):
                         F.col("raw_unit").alias("unit"), F.col("value").cast(DOUBLE).alias("value"), F.col("source_increment").alias("step"), "status")
 
 
-@query(values("key, label, place, shown", ("1", "2025年年报", 1, "12345000.0"), ("1", "2025年三季报", 2, "10000000.0"), ("2", "2025年年报", 1, "8.0"), ("2", "2025年三季报", 2, "-")))
+@example(values("key, label, place, shown", ("1", "2025年年报", 1, "12345000.0"), ("1", "2025年三季报", 2, "10000000.0"), ("2", "2025年年报", 1, "8.0"), ("2", "2025年三季报", 2, "-")))
 def module_table(spark, d):
     rows = _module(spark).withColumn("value", F.replace("value", F.lit(","), F.lit("")))
     found = M.module_table(rows, ["module_key"], report="annual,q3", start=2024, window_years=3, scopes="合并期末", data_kinds="原始报表", hide_empty=True, unit="元", decimals=1)
     return found.where("key IN ('1', '2', '3')").select("key", F.col("period_label").alias("label"), "place", "shown")
 
 
-@query(values("period, amount_or_ratio", ("20251231", "10.5"), ("20250930", None), ("20241231", None), ("20200331", None)))
+@example(values("period, amount_or_ratio", ("20251231", "10.5"), ("20250930", None), ("20241231", None), ("20200331", None)))
 def statement_trend(spark, d):
     return M.statement_trend(_module(spark), ["module_key"], "1", "balance_sheet", "合并期末").select("period", F.col("同比").alias("amount_or_ratio"))
 
 
-@query(values("n, kind", (1, "empty"), (2, "matrix"), (3, "records"), (4, "notes"), (5, "records"), (6, "empty")))
+@example(values("n, kind", (1, "empty"), (2, "matrix"), (3, "records"), (4, "notes"), (5, "records"), (6, "empty")))
 def view_kinds(spark, d):
     rows = [(1, '{"metadata":{"unavailable":true},"periods":["a"],"rows":[{"key":"x"}]}'), (2, '{"periods":["a"],"rows":[{"key":"x"}]}'), (3, '{"head":[["a","b"]],"rows":[[["1","2"]]]}'),
             (4, '{"category":"notes","head":["a","b"],"rows":[["20251231","2"]]}'), (5, '{"category":"notes","head":["a","b"],"rows":[["x","2"]]}'), (6, '{"head":[],"rows":[]}')]
