@@ -180,9 +180,10 @@ def checked_cells(cells: DataFrame, columns: DataFrame, claims: DataFrame, secon
     checked = found.withColumn("_v", number).withColumn("_data", data).withColumn("amount", (F.col("_v") * scale).cast("decimal(28,8)")).withColumn("concept", F.when(mapped, F.col("c.concept")).otherwise(made))
     disagrees = F.lit(False)
     if second is not None:
-        mine = second.select("document_id", "line", compact_quote(F.col("source_name")).alias("_name"), F.col("period").alias("_period"), F.struct("concept", F.col("value").alias("v"), "scope", "entity", "currency").alias("o"))
-        mine = mine.groupBy("document_id", "line", "_name", "_period").agg(F.collect_list("o").alias("opinions"))  # one line's readings
-        checked = checked.withColumn("_name", compact_quote(F.col("source_name"))).join(mine, (checked["document_id"] == mine["document_id"]) & (checked["line"] == mine["line"]) & (compact_quote(F.col("source_name")) == mine["_name"]) & (checked["period_found"] == mine["_period"]), "left").drop(mine["document_id"], mine["line"], mine["_name"])
+        mine = second.select(F.col("document_id").alias("_doc"), F.col("line").alias("_line"), compact_quote(F.col("source_name")).alias("_own"), F.col("period").alias("_period"), F.struct("concept", F.col("value").alias("v"), "scope", "entity", "currency").alias("o"))
+        mine = mine.groupBy("_doc", "_line", "_own", "_period").agg(F.collect_list("o").alias("opinions"))  # one line's readings
+        same_cell = (F.col("document_id") == F.col("_doc")) & (F.col("line") == F.col("_line")) & (compact_quote(F.col("source_name")) == F.col("_own")) & (F.col("period_found") == F.col("_period"))
+        checked = checked.join(mine, same_cell, "left").drop("_doc", "_line", "_own", "_period")
         same = lambda o: (o["scope"] == F.col("scope")) & (o["entity"] == F.col("entity")) & (o["currency"] == F.col("currency")) & o["v"].eqNullSafe(F.col("amount")) & ((o["concept"] == F.col("concept")) | o["concept"].startswith("disclosed_"))
         disagrees = F.exists("opinions", lambda o: ~F.coalesce(same(o), F.lit(False)))
     sourced = F.array_distinct(F.concat("own", F.array_compact(F.array(

@@ -83,6 +83,15 @@ def column_filter(spark, d):
     return matrix.column_filter(table(spark, d, "orders").select("o_orderkey", F.concat(scope, kind).alias("name")), "name", "合并期末", "原始报表,同比增长率").select("o_orderkey")
 
 
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN '' WHEN o_orderstatus = 'F' THEN '合并期末' ELSE '母公司期初' END AS scope,
+ CASE WHEN o_orderkey % 7 = 0 THEN '同比' WHEN o_orderpriority = '1-URGENT' THEN '原始报表' WHEN o_orderpriority = '2-HIGH' THEN '同比增长率' ELSE '环比增长率' END AS kind FROM orders""")
+def scope_kind_filter(spark, d):
+    scope = F.when(F.col("o_orderstatus") == "F", "合并期末").otherwise("母公司期初")
+    kind = F.when(F.col("o_orderpriority") == "1-URGENT", "").when(F.col("o_orderpriority") == "2-HIGH", "同比(%)").otherwise("环比(%)")
+    found = matrix.scope_and_kind(F.when(F.col("o_orderkey") % 7 == 0, "同比").otherwise(F.concat(scope, kind)))
+    return table(spark, d, "orders").select("o_orderkey", found[0].alias("scope"), found[1].alias("kind"))
+
+
 # Numbers -------------------------------------------------------------------------
 
 _KEYS = "l_orderkey, l_linenumber"

@@ -32,7 +32,7 @@ def heading_levels(spark, d):
     return D.headings(fixtures.documents(spark).where("document_id <> 'notes'")).select("document_id", "level", "title", "line")
 
 
-@query(values("n, kind, first, last, low, high, path",
+@example(values("n, kind, first, last, low, high, path",
     (0, "heading", 1, 2, 0, 13, "Report"), (1, "text", 3, 3, 14, 19, "Report"), (2, "heading", 4, 4, 20, 28, "One"), (3, "text", 5, 9, 29, 70, "One"), (4, "heading", 10, 11, 71, 78, "One/Sub"), (5, "text", 12, 13, 79, 84, "One/Sub"),
     (6, "text", 14, 14, 85, 89, "One/Sub"), (7, "heading", 15, 15, 90, 96, "One/Two"), (8, "table", 16, 18, 97, 126, "One/Two"), (9, "table", 20, 20, 128, 162, "One/Two"), (10, "text", 21, 21, 163, 167, "One/Two")))
 def document_map(spark, d):
@@ -46,19 +46,19 @@ def _spanned(spark):
     return D.cells(D.table_rows(parts, ["document_id", "ordinal"]), ["document_id", "ordinal"]), ["document_id", "ordinal"]
 
 
-@query(values("at_row, at_col, row, col, text", (1, 1, 1, 1, "x"), (1, 2, 1, 2, "y"), (1, 3, 1, 2, "y"), (2, 1, 1, 1, "x"), (2, 2, 2, 2, "1"), (2, 3, 2, 3, "2"), (3, 1, 3, 1, "z"), (3, 2, 3, 2, "w"), (3, 3, 3, 3, "v")))
+@example(values("at_row, at_col, row, col, text", (1, 1, 1, 1, "x"), (1, 2, 1, 2, "y"), (1, 3, 1, 2, "y"), (2, 1, 1, 1, "x"), (2, 2, 2, 2, "1"), (2, 3, 2, 3, "2"), (3, 1, 3, 1, "z"), (3, 2, 3, 2, "w"), (3, 3, 3, 3, "v")))
 def html_table_grid(spark, d):
     found, keys = _spanned(spark)
     return D.grid(found, keys).select("at_row", "at_col", "row", "col", "text")
 
 
-@query(values("issues", ("rowspan_outside_table",)))
+@example(values("issues", ("rowspan_outside_table",)))
 def span_issues(spark, d):
     found, keys = _spanned(spark)
     return D.span_issues(found, keys).select(F.array_join("issues", ",").alias("issues"))
 
 
-@query(values("at_row, at_col, text, fault", (2, 1, "x", None), (1, 3, "y", None), (0, 1, None, "invalid_cell_coordinate"), (4, 1, None, "cell_not_found"), (1, 9, None, "cell_not_found")))
+@example(values("at_row, at_col, text, fault", (2, 1, "x", None), (1, 3, "y", None), (0, 1, None, "invalid_cell_coordinate"), (4, 1, None, "cell_not_found"), (1, 9, None, "cell_not_found")))
 def cell_resolve(spark, d):
     found, keys = _spanned(spark)
     asked = spark.createDataFrame([("d", 0, 1, r, c) for r, c in [(2, 1), (1, 3), (0, 1), (4, 1), (1, 9)]], "document_id string, ordinal int, table int, at_row int, at_col int")
@@ -141,7 +141,7 @@ def notes_matrix_ageing(spark, d):
     return _matrix(spark, "应收账款账龄分析")
 
 
-@query(values("label, period, value, conflict", ("1年内", "2025-12-31", 7.0, False), ("合计", "2025-12-31", 7.0, False)))
+@example(values("label, period, value, conflict", ("1年内", "2025-12-31", 7.0, False), ("合计", "2025-12-31", 7.0, False)))
 def notes_matrix_parent(spark, d):
     return _matrix(spark, "应收账款账龄分析", "parent")
 
@@ -258,23 +258,23 @@ def _table(spark):
     return cells, grid, validation.metadata_issues(columns, grid), validation.non_amount_issues(others, columns, grid), claims
 
 
-@query(values("column_no, period, kind, issues", (3, "2025-12-31", "instant", ""), (4, "2024-12-31", "instant", "period_evidence_missing")))
+@example(values("column_no, period, kind, issues", (3, "2025-12-31", "instant", ""), (4, "2024-12-31", "instant", "period_evidence_missing")))
 def metadata_issues(spark, d):
     return _table(spark)[2].select(F.col("column").alias("column_no"), F.col("period_found").alias("period"), F.col("kind_found").alias("kind"), F.array_join("issues", ",").alias("issues"))
 
 
-@query(values("column_no, valid, issues", (2, True, ""), (3, False, "non_amount_column_overlap,non_amount_header_mismatch,non_amount_evidence_missing")))
+@example(values("column_no, valid, issues", (2, True, ""), (3, False, "non_amount_column_overlap,non_amount_header_mismatch,non_amount_evidence_missing")))
 def non_amount_columns(spark, d):
     return _table(spark)[3].select(F.col("column").alias("column_no"), "valid", F.array_join("issues", ",").alias("issues"))
 
 
-@query(values("row, col, text", (2, 3, "1,200"), (2, 4, "7"), (3, 3, "(3)"), (4, 3, "1,197"), (5, 3, "9"), (5, 1, "2025")))
+@example(values("row, col, text", (2, 3, "1,200"), (2, 4, "7"), (3, 3, "(3)"), (4, 3, "1,197"), (5, 3, "9"), (5, 1, "2025")))
 def numeric_census(spark, d):
     cells, grid, columns, others, _ = _table(spark)
     return validation.numeric_census(cells, grid, columns, others).select("row", "col", "text")
 
 
-@query(values("row, col, concept, value, state, status, issues",
+@example(values("row, col, concept, value, state, status, issues",
     (2, 3, "cash", 12000000.0, "VERIFIED", "source_verified", ""), (2, 4, "cash", None, "GAP", "source_value_not_found", "period_evidence_missing"), (3, 3, "inventory", -30000.0, "VERIFIED", "source_verified", ""),
     (3, 4, "inventory", None, "GAP", "source_value_not_found", "period_evidence_missing,source_blank"), (4, 3, "disclosed", None, "CONFLICT", "pending_confirmation", "source_value_mismatch"),
     (4, 4, "disclosed", None, "GAP", "source_value_not_found", "period_evidence_missing,source_number_unreadable"), (5, 3, "disclosed", None, "MISSING", None, "")))
@@ -284,7 +284,7 @@ def table_validation(spark, d):
     return found.select("row", "col", F.regexp_replace("concept", "^disclosed_.*", "disclosed").alias("concept"), F.col("value").cast(DOUBLE).alias("value"), "state", "status", F.array_join("issues", ",").alias("issues"))
 
 
-@query(values("row, col, state, issues", (2, 3, "VERIFIED", ""), (3, 3, "VERIFIED", "local_disagreement")))
+@example(values("row, col, state, issues", (2, 3, "VERIFIED", ""), (3, 3, "VERIFIED", "local_disagreement")))
 def second_opinion(spark, d):
     cells, _, columns, _, claims = _table(spark)
     other = [("d", 2, "货币资金", "2025-12-31", "cash", Decimal(12000000), "consolidated", "甲公司", "CNY"), ("d", 3, "存货", "2025-12-31", "inventory", Decimal(-3), "consolidated", "甲公司", "CNY")]
@@ -293,7 +293,7 @@ def second_opinion(spark, d):
     return found.select("row", "col", "state", F.array_join("issues", ",").alias("issues"))
 
 
-@query(values("document_id, numeric, extracted, missing, blank, unreadable, core, status", ("d", 6, 4, 2, 1, 1, "total_assets,total_equity,total_liabilities", "partial")))
+@example(values("document_id, numeric, extracted, missing, blank, unreadable, core, status", ("d", 6, 4, 2, 1, 1, "total_assets,total_equity,total_liabilities", "partial")))
 def table_coverage(spark, d):
     cells, grid, columns, others, claims = _table(spark)
     found = validation.table_coverage(cells, validation.numeric_census(cells, grid, columns, others), validation.checked_cells(cells, columns, claims))
@@ -309,7 +309,7 @@ def evidence_proof(spark, d):
     return validation.proven(quotes, docs, spans).select("n", "proven")
 
 
-@query(values("n, reasons, review", (1, "", False), (2, "header_missing,source_value_mismatch", True), (3, "", True)))
+@example(values("n, reasons, review", (1, "", False), (2, "header_missing,source_value_mismatch", True), (3, "", True)))
 def review_reasons(spark, d):
     rows = spark.createDataFrame([(1, ["source_blank", "missing_core:revenue"], ["passed"]), (2, ["source_value_mismatch", "header_missing", "header_missing"], []), (3, [], ["conflict"])], "n int, issues array<string>, checks array<string>")
     return rows.select("n", F.array_join(validation.review_reasons(F.col("issues")), ",").alias("reasons"), validation.should_review(F.col("issues"), F.col("checks")).alias("review"))
@@ -330,7 +330,7 @@ def fragment_isolation(spark, d):
     return table(spark, d, "lineitem").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(values("draft_id, fault", ("bad", "question_coverage"), ("bad", "unknown_block"), ("bad", "unbound_block"), ("bad", "question_metric_binding_missing"), ("bad", "unknown_metric_ref"), ("bad", "unbound_number_or_unverified_claim"), ("gap", "missing_metric_marked_answered")))
+@example(values("draft_id, fault", ("bad", "question_coverage"), ("bad", "unknown_block"), ("bad", "unbound_block"), ("bad", "question_metric_binding_missing"), ("bad", "unknown_metric_ref"), ("bad", "unbound_number_or_unverified_claim"), ("gap", "missing_metric_marked_answered")))
 def draft_validation(spark, d):
     of = list(validation.QUESTIONS.items())
     segments = [(x, f"P{i}", k, t, r) for x in ("good", "gap") for i, (_, c) in enumerate(of) for k, t, r in (("text", "负债率：", None), ("metric", None, c))] + [("bad", "P0", "text", "第1项", None), ("bad", "P1", "metric", None, "other")]

@@ -13,20 +13,24 @@ from .registry import query
 _READ = [(r"<(/?)(?:article|ul)\b", "<{1}table"), (r"<h1\b", '<tr><th colspan="2"'), (r"</h1\b", "</th"), (r"<(/?)(?:p|li)\b", "<{1}td"), (r"<b\b", '<th rowspan="0"'), (r"</b\b", "</th"), (r"<nav\b", "<table"), (r"</nav\b", "</table")]
 
 
-def _pages(spark, d):
+#: As above, with bold words that claim to reach over three rows.
+_DEEP = [(form, read.replace('rowspan="0"', 'rowspan="3"')) for form, read in _READ]
+
+
+def _pages(spark, d, reads=_READ):
     html = F.col("html")
-    for form, read in _READ:
+    for form, read in reads:
         html = F.regexp_replace(html, form, read.replace("{1}", "$1"))
     return table(spark, d, "pages").select("page_id", html.alias("body"))
 
 
-def _events(spark, d):
-    return S.tag_events(_pages(spark, d), ["page_id"])
+def _events(spark, d, reads=_READ):
+    return S.tag_events(_pages(spark, d, reads), ["page_id"])
 
 
-def _sql() -> str:
+def _sql(reads=_READ) -> str:
     html = "html"
-    for form, read in _READ:
+    for form, read in reads:
         html = "regexp_replace({}, '{}', '{}', 'g')".format(html, form, read.replace("{1}", "\\1"))
     tag, hidden = S.TAG.replace("'", "''"), S.HIDDEN.replace("'", "''")
     tail = "OVER (PARTITION BY page_id ORDER BY at_)"
@@ -73,3 +77,28 @@ def page_grids(spark, d):
     merged = dense.groupBy("page_id", "table", "row", "col").agg(F.count(F.lit(1)).alias("n"))
     own = dense.groupBy("page_id", "table").agg(F.max("at_row").alias("height"), F.max("at_col").alias("width"), F.count(F.lit(1)).alias("covered"))
     return own.join(merged.groupBy("page_id", "table").agg(F.count_if(F.col("n") > 1).alias("merged")), ["page_id", "table"]).withColumnRenamed("table", "table_no")
+
+
+_PLACED = """, w AS (SELECT *, coalesce(sum(colspan) OVER (PARTITION BY page_id, tbl, row_no ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS col FROM c)"""
+
+
+@query("WITH " + _sql() + _PLACED + " SELECT page_id, tbl AS table_no, row_no AS at_row, CAST(col + unnest(range(colspan)) AS BIGINT) AS at_col, row_no AS row, CAST(col AS BIGINT) AS col, text FROM w")
+def html_table_grid(spark, d):
+    dense = D.grid(S.structured_cells(_events(spark, d), ["page_id"]), ["page_id"])
+    return dense.select("page_id", F.col("table").alias("table_no"), "at_row", F.col("at_col").cast("long").alias("at_col"), "row", F.col("col").cast("long").alias("col"), "text")
+
+
+@query("WITH " + _sql() + _PLACED + """, k AS (SELECT DISTINCT page_id, tbl FROM w)
+ SELECT k.page_id, k.tbl AS table_no, a.at_row, a.at_col, w.text, CASE WHEN a.at_row < 1 THEN 'invalid_cell_coordinate' WHEN w.text IS NULL THEN 'cell_not_found' END AS fault
+ FROM k CROSS JOIN (VALUES (1, 1), (1, 2), (0, 1), (9, 1)) AS a(at_row, at_col) LEFT JOIN w ON w.page_id = k.page_id AND w.tbl = k.tbl AND w.row_no = a.at_row AND a.at_col BETWEEN w.col AND w.col + w.colspan - 1""")
+def cell_resolve(spark, d):
+    dense = D.grid(S.structured_cells(_events(spark, d), ["page_id"]), ["page_id"])
+    places = F.array(*[F.struct(F.lit(y).alias("at_row"), F.lit(x).alias("at_col")) for y, x in ((1, 1), (1, 2), (0, 1), (9, 1))])
+    asked = dense.select("page_id", "table").distinct().select("page_id", "table", F.inline(places))
+    return D.resolved(asked, dense, ["page_id"]).select("page_id", F.col("table").alias("table_no"), "at_row", "at_col", "text", "fault")
+
+
+@query("WITH " + _sql(_DEEP) + """, h9 AS (SELECT page_id, tbl, max(row_no) AS height, max(row_no + rowspan - 1) AS reach FROM c GROUP BY 1, 2) SELECT page_id, tbl AS table_no, 'rowspan_outside_table' AS issues FROM h9 WHERE reach > height""")
+def span_issues(spark, d):
+    found = S.structured_cells(_events(spark, d, _DEEP), ["page_id"])
+    return D.span_issues(found, ["page_id"]).select("page_id", F.col("table").alias("table_no"), F.array_join("issues", ",").alias("issues"))

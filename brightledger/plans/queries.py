@@ -230,7 +230,7 @@ def rolling_window_years(spark, d):
     return out.select("entity", "scope", "document_id", iso("start").alias("period"), F.col("revenue").cast(DOUBLE).alias("revenue"))
 
 
-@query("""WITH c AS (SELECT unnest(['合并期末', '合并期末同比(%)', '母公司期末', '母公司期初环比(%)', '同比']) AS name)
+@example("""WITH c AS (SELECT unnest(['合并期末', '合并期末同比(%)', '母公司期末', '母公司期初环比(%)', '同比']) AS name)
  SELECT name, CASE name WHEN '同比' THEN '' ELSE regexp_extract(name, '^(合并|母公司)期[初末]', 0) END AS scope,
  CASE name WHEN '合并期末同比(%)' THEN '同比增长率' WHEN '母公司期初环比(%)' THEN '环比增长率' WHEN '同比' THEN '同比' ELSE '原始报表' END AS kind FROM c""")
 def scope_kind_filter(spark, d):

@@ -49,6 +49,7 @@ def reports(spark, d):
         F.lit("### 5、应收账款"), F.lit("单位：元"), _table(["账龄", "期末余额", "期初余额"], ["1年以内（含1年）", c1, i0], ["1至2年", c0, ""], ["合计", c1, "x"]),
         F.lit("#### (3) 前五名的应收账款情况"), F.lit("单位：元"), _table(["单位名称", "应收账款期末余额", "占应收账款比例(%)"], [F.col("c_name"), c1, "62.5"], ["小计", c1, "62.5"]),
         F.lit("### 60、财务费用"), F.lit("单位：元"), _table(["项目", "本期发生额", "上期发生额"], ["利息费用", c1, c0], ["减：利息收入", i0, ""]),
+        F.lit("## 十七、母公司财务报表主要项目注释"), F.lit("### 1、应收账款"), F.lit("单位：元"), _table(["账龄", "期末余额"], ["1年以内", i0], ["合计", c1]),
         F.lit("## 二十、补充资料"), F.lit("### 1、当期非经常性损益明细表"), F.lit("单位：元"), _table(["项目", "金额"], ["计入当期损益的政府补助", c1], ["所得税影响额", i0]),
     ]
     return own.select(F.col("o_custkey").cast("string").alias("document_id"), F.concat_ws("\n", *lines).alias("text"))
@@ -88,12 +89,12 @@ def source_layout(spark, d):
 
 
 @query(f"""WITH {_BASE} SELECT document_id, level, CASE WHEN title = '' THEN name || '公司' || y || '年年度报告' ELSE title END AS title, line FROM g CROSS JOIN (VALUES (1, '', 1), (2, '合并资产负债表', 4), (2, '母公司利润表', 6), (2, '第十节 财务报告', 9), (2, '一、审计报告', 10),
- (2, '二、财务报表', 12), (2, '七、合并财务报表项目注释', 13), (3, '1、货币资金', 14), (3, '5、应收账款', 17), (4, '(3) 前五名的应收账款情况', 20), (3, '60、财务费用', 23), (2, '二十、补充资料', 26), (3, '1、当期非经常性损益明细表', 27)) AS v(level, title, line)""")
+ (2, '二、财务报表', 12), (2, '七、合并财务报表项目注释', 13), (3, '1、货币资金', 14), (3, '5、应收账款', 17), (4, '(3) 前五名的应收账款情况', 20), (3, '60、财务费用', 23), (2, '十七、母公司财务报表主要项目注释', 26), (3, '1、应收账款', 27), (2, '二十、补充资料', 30), (3, '1、当期非经常性损益明细表', 31)) AS v(level, title, line)""")
 def heading_levels(spark, d):
     return D.headings(reports(spark, d)).select("document_id", "level", "title", "line")
 
 
-@query(_constant("title, scope, categories, first, last", "('一、审计报告', 'report', '审计报告', 10, 11), ('七、合并财务报表项目注释', 'consolidated', '', 13, 13), ('1、货币资金', 'consolidated', '货币资金', 14, 16), ('5、应收账款', 'consolidated', '应收账款', 17, 19), ('(3) 前五名的应收账款情况', 'consolidated', '应收账款', 20, 22), ('60、财务费用', 'consolidated', '财务费用', 23, 25), ('二十、补充资料', 'report', '', 26, 26), ('1、当期非经常性损益明细表', 'report', '非经常性损益', 27, 29)"))
+@query(_constant("title, scope, categories, first, last", "('一、审计报告', 'report', '审计报告', 10, 11), ('七、合并财务报表项目注释', 'consolidated', '', 13, 13), ('1、货币资金', 'consolidated', '货币资金', 14, 16), ('5、应收账款', 'consolidated', '应收账款', 17, 19), ('(3) 前五名的应收账款情况', 'consolidated', '应收账款', 20, 22), ('60、财务费用', 'consolidated', '财务费用', 23, 25), ('十七、母公司财务报表主要项目注释', 'parent', '', 26, 26), ('1、应收账款', 'parent', '应收账款', 27, 29), ('二十、补充资料', 'report', '', 30, 30), ('1、当期非经常性损益明细表', 'report', '非经常性损益', 31, 33)"))
 def note_index(spark, d):
     return notes.note_index(reports(spark, d)).select("document_id", "title", "scope", F.array_join("categories", ",").alias("categories"), F.col("start_line").alias("first"), F.col("end_line").alias("last"))
 
@@ -106,8 +107,8 @@ def note_blocks(spark, d):
     return found.select("document_id", "ordinal", "kind", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
 
 
-def _matrix(spark, d, category):
-    found = notes.specialised_matrix(reports(spark, d), category, "consolidated")
+def _matrix(spark, d, category, scope="consolidated"):
+    found = notes.specialised_matrix(reports(spark, d), category, scope)
     return found.select("document_id", "label", F.col("period_end").cast("string").alias("period"), F.col("value").cast(DOUBLE).alias("value"), "conflict")
 
 
@@ -121,6 +122,11 @@ def notes_matrix_ageing(spark, d):
     return _matrix(spark, d, "应收账款账龄分析")
 
 
+@query(_amounts(("1年内", 0, "i0"), ("合计", 0, "c1")))
+def notes_matrix_parent(spark, d):
+    return _matrix(spark, d, "应收账款账龄分析", "parent")
+
+
 @query(_amounts(("利息支出", 0, "c1"), ("利息支出", 1, "c0"), ("减：利息收入", 0, "-i0")))
 def notes_matrix_costs(spark, d):
     return _matrix(spark, d, "财务费用")
@@ -159,3 +165,10 @@ def evidence_proof(spark, d):
     variants = F.array(variant(1, 2, quote), variant(2, 3, quote), variant(3, 2, F.concat(quote, F.lit("甲"))))
     quotes = docs.select("document_id", F.lit("b").alias("block_id"), F.inline(variants)).select("document_id", "block_id", "n", F.col("line").alias("start_line"), F.col("line").alias("end_line"), "quote")
     return validation.proven(quotes, docs, spans).select("document_id", "n", "proven")
+
+
+@query(_constant("n, kind, first, last, path", """(1, 'heading', 1, 1, ''), (2, 'text', 2, 3, ''), (3, 'heading', 4, 4, '合并资产负债表'), (4, 'table', 5, 5, '合并资产负债表'), (5, 'heading', 6, 6, '母公司利润表'), (6, 'text', 7, 7, '母公司利润表'), (7, 'table', 8, 8, '母公司利润表')"""))
+def document_map(spark, d):
+    """The blocks of a report as far as its two statements, in order; paths below the title."""
+    found = D.document_map(reports(spark, d)).where("end_line <= 8")
+    return found.select("document_id", (F.col("ordinal") + 1).alias("n"), "kind", F.col("start_line").alias("first"), F.col("end_line").alias("last"), F.array_join(F.slice("path", 2, 9), "/").alias("path"))
