@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .documents import placed
 
@@ -22,7 +23,7 @@ HIDDEN = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</sty
 WIDEST = 1000
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescaped(text: pd.Series) -> pd.Series:
     """Text with all named and numeric character references decoded."""
     return text.map(html.unescape, na_action="ignore")

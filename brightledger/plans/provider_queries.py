@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import modules as M
+from ..sources import provider_modules
 from ..sources.readers import table
+from ..streaming.events import scratch
 from .registry import query
 
 DOUBLE = "double"
@@ -120,3 +122,20 @@ def view_kinds(spark, d):
     for i, v in enumerate(variants):
         payload = (F if payload is None else payload).when(F.col("o_orderkey") % 6 == i, v)
     return table(spark, d, "orders").select("o_orderkey", M.view_kind(payload).alias("kind"))
+
+
+@query("""SELECT n_name AS module_key, 'USD' AS currency, 'spot' AS rate, count(*) AS responses, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
+ WHERE n_regionkey < 3 AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'F' GROUP BY 1""")
+def landed_modules(spark, d):
+    """Responses are landed by module, currency and rate, and read back through the data source with filters that it takes over."""
+    nations = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    owners = table(spark, d, "customer").select("c_custkey", "c_nationkey").join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
+    currency, rate = F.when(F.col("o_orderpriority") == "1-URGENT", "USD").otherwise("CNY"), F.when(F.col("o_orderstatus") == "F", "spot").otherwise("average")
+    rows = table(spark, d, "orders").join(owners, F.col("o_custkey") == F.col("c_custkey"))
+    rows = rows.select(F.col("n_name").alias("module_key"), currency.alias("currency"), rate.alias("rate"), F.to_json(F.struct("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("v"))).alias("payload"))
+    folder = scratch(spark)
+    provider_modules.land(rows, folder)
+    wanted = [r["n_name"] for r in nations.where("n_regionkey < 3").collect()]  # of 25 nations
+    found = provider_modules.landed_modules(spark, folder).where(F.col("module_key").isin(wanted) & (F.col("currency") == "USD") & (F.col("rate") == "spot"))
+    total = F.sum(F.get_json_object("payload", "$.v").cast("decimal(18,2)")).cast(DOUBLE)
+    return found.groupBy("module_key", "currency", "rate").agg(F.count(F.lit(1)).alias("responses"), total.alias("total"))

@@ -183,3 +183,22 @@ def test_generated_code_compiles(spark, sf, name):
         assert QUERIES[name](spark, sf).count() >= 0
     finally:
         spark.conf.unset("spark.sql.codegen.fallback")
+
+
+# Landed modules ------------------------------------------------------------------
+
+
+def test_landed_modules_are_chosen_by_their_folders(spark, tmp_path):
+    from brightledger.sources import provider_modules
+
+    path = str(tmp_path / "landed")
+    rows = [(m, c, r, f'{{"m": "{m}",\n "n": {n}}}') for m in ("a/b", "cash notes", "x") for c in ("CNY", "USD") for r in ("spot", "average") for n in range(2)]
+    provider_modules.land(spark.createDataFrame(rows, "module_key string, currency string, rate string, payload string"), path)
+    whole = provider_modules.landed_modules(spark, path)
+    assert whole.count() == 24 and whole.rdd.getNumPartitions() == 3
+    some = whole.where((F.col("module_key") == "a/b") & F.col("currency").isin("USD") & (F.col("payload").contains("1")))
+    assert sorted((r["module_key"], r["currency"], r["rate"]) for r in some.collect()) == [("a/b", "USD", "average"), ("a/b", "USD", "spot")]
+    assert some.rdd.getNumPartitions() == 1
+    (tmp_path / "landed" / "module_key=x" / "currency=CNY" / "rate=spot" / "part-broken.txt").write_bytes(b"\xff\xfe")
+    assert whole.where("module_key = 'x' AND currency = 'USD'").count() == 4  # what is ruled out isn't opened
+    assert whole.where("module_key = 'none'").count() == 0
