@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import documents as D
-from ..operators import notes, validation
+from ..operators import note_trees, notes, validation
 from ..sources.readers import table
 from .registry import query
 
@@ -172,3 +172,52 @@ def document_map(spark, d):
     """The blocks of a report as far as its two statements, in order; paths below the title."""
     found = D.document_map(reports(spark, d)).where("end_line <= 8")
     return found.select("document_id", (F.col("ordinal") + 1).alias("n"), "kind", F.col("start_line").alias("first"), F.col("end_line").alias("last"), F.array_join(F.slice("path", 2, 9), "/").alias("path"))
+
+
+# Headers of two rows -------------------------------------------------------------
+
+
+def _trees(spark, d):
+    """document_id and text: a report for each customer with notes on inventories and on the main business, sums by priority."""
+    amount, kinds = F.col("o_totalprice").cast("decimal(18,2)"), ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    own = table(spark, d, "orders").groupBy("o_custkey").agg((F.year(F.max("o_orderdate")) + 20).cast("string").alias("y"), F.sum(amount).alias("t"), *[F.sum(F.when(F.col("o_orderpriority") == k, amount)).alias(f"p{i + 1}") for i, k in enumerate(kinds)])
+    s = {c: F.coalesce(F.format_number(c, 2), F.lit("")) for c in ["t", "p1", "p2", "p3", "p4", "p5"]}
+    body = lambda name, a, b="", c="": [name, a, b, a, c, "", c]
+    goods = _table(body("原材料", s["p1"], "3.5", s["p2"]), body("在产品", s["p3"]), body("半成品", s["p4"]), body("库存商品", s["p5"]), body("合计", s["t"]))
+    heads = '<table><tr><td rowspan="2">项目</td><td colspan="3">期末余额</td><td colspan="3">期初余额</td></tr><tr>' + "<td>账面余额</td><td>跌价准备</td><td>账面价值</td>" * 2 + "</tr>"
+    sales = _table(["营业收入合计", s["t"], "100", s["p1"], "5"], ["分行业", "", "", "", ""], ["制造业", s["p2"], "1", s["p3"], "1"], ["分地区", "", "", "", ""], ["境内销售", s["p4"], "2", "", ""], ["国内", "1", "2", "", ""])
+    business = '<table><tr><td rowspan="2"></td><td colspan="2">本报告期</td><td colspan="2">上年同期</td></tr><tr>' + "<td>金额</td><td>占比(%)</td>" * 2 + "</tr>"
+    inner = lambda head, rows: F.concat(F.lit(head), F.substring(rows, len("<table>") + 1, 1_000_000))
+    lines = [F.concat(F.lit("# 公司"), "y", F.lit("年年度报告")), F.lit("## 七、合并财务报表项目注释"), F.lit("### 9、存货"), F.lit("单位：千元"), F.lit("单位：元"), inner(heads, goods), F.lit("### 61、营业收入和营业成本"), F.lit("单位：万元"), inner(business, sales)]
+    return own.select(F.col("o_custkey").cast("string").alias("document_id"), F.concat_ws("\n", *lines).alias("text"))
+
+
+_KINDS = """a AS (SELECT *, CAST(o_totalprice AS DECIMAL(18,2)) AS v FROM orders),
+ g AS (SELECT CAST(o_custkey AS VARCHAR) AS document_id, year(max(o_orderdate)) + 20 AS y, sum(v) AS t, sum(v) FILTER (o_orderpriority = '1-URGENT') AS p1, sum(v) FILTER (o_orderpriority = '2-HIGH') AS p2, sum(v) FILTER (o_orderpriority = '3-MEDIUM') AS p3,
+   sum(v) FILTER (o_orderpriority = '4-NOT SPECIFIED') AS p4, sum(v) FILTER (o_orderpriority = '5-LOW') AS p5 FROM a GROUP BY o_custkey)"""
+
+
+def _placed(rows: list[tuple[str, str, int, str]]) -> str:
+    """Rows of (key, label, years back, amount) in their order; places count the keys that a document has."""
+    each = [f"SELECT document_id, {n} AS o, '{key}' AS key, '{label}' AS label, (y - {back}) || '-12-31' AS period, CAST({value} AS DOUBLE) AS value FROM g" for n, (key, label, back, value) in enumerate(rows)]
+    return f"""WITH {_KINDS}, r AS (SELECT * FROM ({' UNION ALL '.join(each)}) WHERE value IS NOT NULL), k AS (SELECT *, min(o) OVER (PARTITION BY document_id, key) AS first FROM r)
+ SELECT document_id, dense_rank() OVER (PARTITION BY document_id ORDER BY first) AS place, key, label, period, value, false AS conflict FROM k"""
+
+
+def _tree(spark, d, category):
+    found = note_trees.header_tree_matrix(_trees(spark, d), category)
+    return found.select("document_id", F.col("place").cast("long").alias("place"), "key", "label", F.col("period_end").cast("string").alias("period"), F.col("value").cast(DOUBLE).alias("value"), "conflict")
+
+
+_HALF = "CASE WHEN p3 IS NULL THEN p4 WHEN p4 IS NULL THEN p3 ELSE p3 + p4 END"
+
+
+@query(_placed([("原材料|账面价值", "原材料", 0, "p1"), ("原材料|账面价值", "原材料", 1, "p2"), ("原材料|期末余额", "期末余额", 0, "p1"), ("原材料|期末余额", "期末余额", 1, "p2"), ("原材料|跌价准备", "跌价准备", 0, "3.5"),
+    ("在产品及半成品|账面价值", "在产品及半成品", 0, _HALF), ("在产品及半成品|期末余额", "期末余额", 0, _HALF), ("产成品及库存商品|账面价值", "产成品及库存商品", 0, "p5"), ("产成品及库存商品|期末余额", "期末余额", 0, "p5"), ("合计|账面价值", "账面价值合计", 0, "t"), ("合计|期末余额", "期末余额合计", 0, "t")]))
+def inventory_matrix(spark, d):
+    return _tree(spark, d, "存货")
+
+
+@query(_placed([("营业收入|合计|营业收入", "营业收入", 0, "t * 10000"), ("营业收入|合计|营业收入", "营业收入", 1, "p1 * 10000"), ("营业收入|行业|制造业", "制造业", 0, "p2 * 10000"), ("营业收入|行业|制造业", "制造业", 1, "p3 * 10000"), ("营业收入|地区|国内", "国内", 0, "(coalesce(p4, 0) + 1) * 10000")]))
+def business_matrix(spark, d):
+    return _tree(spark, d, "主营构成")
