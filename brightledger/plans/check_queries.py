@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import validation
+from ..operators import exports, merging, validation
 from ..sources.readers import table
 from .registry import query
 
@@ -122,3 +122,34 @@ def draft_validation(spark, d):
     put = lambda given, columns: customers.join(rows(given, f"kind int, {columns}"), "kind").drop("kind")
     found = validation.draft_faults(put(segments, "block_id string, kind_ string, text string, ref string").withColumnRenamed("kind_", "kind"), put(answers, "question_id string, status string, block_ids array<string>"), put(metrics, "code string, value string"))
     return found.select(F.col("draft_id").cast("long").alias("c_custkey"), "fault")
+
+
+# Packing and exports -------------------------------------------------------------
+
+
+@query("""WITH RECURSIVE l AS (SELECT l_orderkey AS k, CAST(l_quantity AS BIGINT) AS size, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_extendedprice) AS n FROM lineitem),
+ r(k, n, part, held) AS (SELECT DISTINCT k, CAST(0 AS BIGINT), 1, CAST(15 AS BIGINT) FROM l UNION ALL
+  SELECT l.k, l.n, CASE WHEN held + size > 90 AND held > 15 THEN part + 1 ELSE part END, CASE WHEN held + size > 90 AND held > 15 THEN 15 + size ELSE held + size END FROM r JOIN l ON l.k = r.k AND l.n = r.n + 1)
+ SELECT k AS l_orderkey, part, min(n) + 1 AS first_row, max(n) + 1 AS last_row, max(held) AS size, max(held) <= 90 AS fits FROM r WHERE n > 0 GROUP BY 1, 2""")
+def packed_rows(spark, d):
+    """Order lines in parts of at most 90, each with the order's header row again."""
+    line = F.struct("l_linenumber", "l_quantity", "l_extendedprice")
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    body = lines.select("l_orderkey", F.posexplode("lines").alias("n", "x")).select("l_orderkey", (F.col("n") + 2).cast("long").alias("row"), F.col("x.l_quantity").cast("long").alias("size"), F.lit(False).alias("header"))
+    heads = lines.select("l_orderkey", F.lit(1).cast("long").alias("row"), F.lit(15).cast("long").alias("size"), F.lit(True).alias("header"))
+    return merging.packed_rows(body.unionByName(heads), ["l_orderkey"], 90)
+
+
+@query("""SELECT o_custkey, o_orderkey, CASE WHEN o_orderstatus <> 'P' AND o_orderpriority <> '5-LOW' THEN count(*) FILTER (o_orderstatus <> 'P' AND o_orderpriority <> '5-LOW') OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) END AS serial FROM orders""")
+def export_serials(spark, d):
+    """Orders numbered across their priorities: pending ones are hidden, those of low priority head a section."""
+    shown, section = F.col("o_orderstatus") != "P", F.col("o_orderpriority") == "5-LOW"
+    return exports.serial_numbers(table(spark, d, "orders"), ["o_custkey"], [F.col("o_orderpriority"), F.col("o_orderkey")], shown, section).select("o_custkey", "o_orderkey", "serial")
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'number' WHEN 1 THEN 'percent' ELSE 'text' END AS kind, CASE l_linenumber % 4 WHEN 0 THEN '#,##0.00' WHEN 1 THEN '0.00%' ELSE '@' END AS format FROM lineitem""")
+def export_formats(spark, d):
+    shown = F.format_number(F.col("l_extendedprice").cast("decimal(18,2)"), 2)
+    raw = F.when(F.col("l_linenumber") % 4 == 0, shown).when(F.col("l_linenumber") % 4 == 1, F.concat(shown, F.lit(" %"))).when(F.col("l_linenumber") % 4 == 2, F.concat(shown, F.lit("00000000001234"))).otherwise(F.concat(F.lit("第"), shown))
+    kind, form = exports.cell_format(raw, 2)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", kind.alias("kind"), form.alias("format"))
