@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import documents as D
-from ..operators import note_trees, notes, validation
+from ..operators import note_trees, notes, supplements, validation
 from ..sources.readers import table
 from .registry import query
 
@@ -221,3 +221,36 @@ def inventory_matrix(spark, d):
 @query(_placed([("营业收入|合计|营业收入", "营业收入", 0, "t * 10000"), ("营业收入|合计|营业收入", "营业收入", 1, "p1 * 10000"), ("营业收入|行业|制造业", "制造业", 0, "p2 * 10000"), ("营业收入|行业|制造业", "制造业", 1, "p3 * 10000"), ("营业收入|地区|国内", "国内", 0, "(coalesce(p4, 0) + 1) * 10000")]))
 def business_matrix(spark, d):
     return _tree(spark, d, "主营构成")
+
+
+# Supplements ---------------------------------------------------------------------
+
+
+def _summaries(spark, d):
+    """document_id and text: a report for each customer with summary tables before its balance sheet, and depreciation in its notes."""
+    amount = F.col("o_totalprice").cast("decimal(18,2)")
+    own = table(spark, d, "orders").groupBy("o_custkey").agg((F.year(F.max("o_orderdate")) + 20).alias("y"), F.sum(amount).alias("c1"), F.sum(F.when(F.col("o_orderstatus") == "F", amount)).alias("c0"), F.count(F.lit(1)).cast("string").alias("n"))
+    y, c1, c0 = F.col("y").cast("string"), F.format_number("c1", 2), F.coalesce(F.format_number("c0", 2), F.lit("不适用"))
+    lines = [
+        F.concat(F.lit("# 甲公司"), y, F.lit("年年度报告")), F.lit("编制单位：甲公司"), F.lit("## 第二节 主要财务指标"),
+        _table(["主要会计数据", F.concat(y, F.lit(" 年")), F.concat((F.col("y") - 1).cast("string"), F.lit("年")), F.concat((F.col("y") - 9).cast("string"), F.lit("年"))], ["归属于上市公司股东的扣除非经常性损益的净利润（元）", c1, c0, "1"], ["加权平均净资产收益率", F.concat("n", F.lit("%")), "—", "1%"], ["其他", c1, c0, "1"]),
+        _table(["报告期利润", "加权平均净资产收益率", "基本每股收益", "稀释每股收益"], ["扣除非经常性损益后归属于公司普通股股东的净利润", F.concat("n", F.lit(".5%")), "0.25", "-"]),
+        _table(["", "本次变动前", "比例", "增减", "本次变动后", "比例"], ["三、股份总数", "1,000", "100%", "5", F.col("n"), "100%"]), F.lit("## 合并资产负债表"), F.lit("单位：元"), _table(["项目", "期末余额", "期初余额"], ["货币资金", c1, "1"]),
+        F.lit("## 七、合并财务报表项目注释"), F.lit("### 79、现金流量表补充资料"), _table(["补充资料", "本期金额", "上期金额"], ["使用权资产折旧", c1, c0], ["净利润", "1", "2"]), _table(["主要会计数据", y], ["加权平均净资产收益率", "9"]),
+    ]
+    return own.select(F.col("o_custkey").cast("string").alias("document_id"), F.concat_ws("\n", *lines).alias("text"))
+
+
+def _supplement_sql() -> str:
+    span = lambda back: f"(y - {back}) || '-01-01/' || (y - {back}) || '-12-31'"
+    rows = [("net_profit_excluding_nonrecurring", "c1", span(0), 4), ("net_profit_excluding_nonrecurring", "c0", span(1), 4), ("reported_roe", "i0", span(0), 4), ("reported_ex_roe", "i0 + 0.5", span(0), 5), ("reported_ex_basic_eps", "0.25", span(0), 5),
+            ("ordinary_share_count", "i0", "y || '-12-31'", 6), ("ordinary_share_count", "1000", "(y - 1) || '-12-31'", 6), ("rou_depreciation", "c1", span(0), 12), ("rou_depreciation", "c0", span(1), 12)]
+    each = [f"SELECT document_id, '{c}' AS concept, CAST({v} AS DOUBLE) AS value, {p} AS period, {line} AS line FROM g" for c, v, p, line in rows]
+    return _rows("document_id, concept, value, period, line", *each) + " WHERE value IS NOT NULL"
+
+
+@query(_supplement_sql())
+def supplement_facts(spark, d):
+    found = supplements.supplements(_summaries(spark, d))
+    period = F.concat_ws("/", F.col("period_start").cast("string"), F.col("period_end").cast("string"))
+    return found.select("document_id", "concept", F.col("value").cast(DOUBLE).alias("value"), period.alias("period"), "line")
