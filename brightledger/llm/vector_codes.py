@@ -29,7 +29,9 @@ from .common import hot_keys, saved, small_batches, spread_join, table
 #: Steps of a component in 1; parts of a vector, entries of a codebook, rounds of fitting.
 SCALE, PARTS, ENTRIES, ROUNDS = 4096, 8, 16, 6
 #: A cell is 2^CELL steps wide; a task keeps so many cells of a part at most, then begins anew.
-CELL, CELLS = 9, 1 << 15
+CELL, CELLS = 10, 1 << 15
+#: Vectors that a task codes at a time.
+BATCH = 4096
 #: Components of the codebooks that are fitted together: lengths beyond are fitted after one another.
 TOGETHER = 1 << 22
 
@@ -59,7 +61,9 @@ class Cells:
 
     def __init__(self, entries: np.ndarray):
         self.entries = entries
-        self.memo: dict[bytes, int] = {}
+        self.memo: dict[int, int] = {}  # hash of a cell -> its place in the two arrays
+        self.cells, self.found = np.zeros((0, entries.shape[1]), np.int64), np.zeros(0, np.int64)
+        self.mixer = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, entries.shape[1]) | 1
         self.measured = 0
 
     def possible(self, cells: np.ndarray) -> np.ndarray:
@@ -83,31 +87,40 @@ class Cells:
         return (fine << np.arange(len(self.entries))).sum(1)
 
     def bits(self, x: np.ndarray) -> np.ndarray:
-        cells = np.ascontiguousarray((x >> CELL).astype(np.int32))
-        names = cells.view(np.dtype((np.void, cells.shape[1] * 4))).ravel()
-        _, first, inverse = np.unique(names, return_index=True, return_inverse=True)
-        keys = [names[i].tobytes() for i in first]
-        new = [i for i, k in enumerate(keys) if k not in self.memo]
-        if len(self.memo) + len(new) > CELLS:
-            self.memo, new = {}, list(range(len(keys)))
-        if new:
-            self.memo.update(zip([keys[i] for i in new], self.possible(cells[first[new]].astype(np.int64)).tolist(), strict=True))
-        return np.array([self.memo[k] for k in keys])[inverse]
+        """The bits of each part's cell, from the cells kept, by a 64-bit hash; cells are compared, so that hashes that collide do no harm."""
+        cells = x >> CELL
+        hashes = (cells * self.mixer).sum(1)
+        _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        own = cells[first]
+        if (own[inverse] != cells).any():  # two cells of this batch share a hash
+            own, inverse = np.unique(cells, axis=0, return_inverse=True)
+            return self.possible(own)[inverse.ravel()]
+        at = np.array([self.memo.get(h, -1) for h in hashes[first].tolist()])
+        new = at < 0
+        if len(self.memo) + new.sum() > CELLS:
+            self.memo, self.cells, self.found, new = {}, own[:0], own[:0, 0], np.ones(len(own), bool)
+        if new.any():
+            at[new] = len(self.cells) + np.arange(new.sum())
+            self.memo.update(zip(hashes[first][new].tolist(), at[new].tolist(), strict=True))
+            self.cells, self.found = np.concatenate([self.cells, own[new]]), np.concatenate([self.found, self.possible(own[new])])
+        bits = self.found[at]
+        other = (self.cells[at] != own).any(1)  # a cell kept by the same hash
+        if other.any():
+            bits[other] = self.possible(own[other])
+        return bits[inverse]
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index and squared distance of the nearest entry, ties to the lower index."""
-        index, best = np.zeros(len(x), np.int64), np.full(len(x), np.iinfo(np.int64).max)
-        if not x.shape[1]:
-            return index, np.zeros(len(x), np.int64)
-        bits = self.bits(x)
-        for e, entry in enumerate(self.entries):
-            at = np.flatnonzero(bits >> e & 1)
-            away = x[at] - entry
-            away = (away * away).sum(1)
-            near = away < best[at]
-            index[at[near]], best[at[near]] = e, away[near]
-            self.measured += len(at)
-        return index, best
+        if not x.shape[1] or not len(x):
+            return np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+        row, entry = np.nonzero(self.bits(x)[:, None] >> np.arange(len(self.entries)) & 1)
+        self.measured += len(row)
+        away = x[row] - self.entries[entry]
+        away = (away * away).sum(1)
+        start = np.searchsorted(row, np.arange(len(x)))
+        best = np.minimum.reduceat(away, start)
+        least = np.flatnonzero(away == best[row])
+        return entry[least[np.searchsorted(row[least], np.arange(len(x)))]], best
 
 
 def by_length(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -221,6 +234,7 @@ def vector_codes(vectors: DataFrame) -> DataFrame:
     gives no rows.
     """
     small_batches(vectors.sparkSession)
+    vectors.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))  # bounded in bytes all the same
     ints = saved(integers(vectors))
     groups: list[list[int]] = [[]]
     for dim in sorted(r[0] for r in ints.select(F.size("v")).distinct().collect()):
