@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import exports, merging, validation
+from ..operators import audit, exports, merging, validation
 from ..sources.readers import table
 from .registry import query
 
@@ -153,3 +153,20 @@ def export_formats(spark, d):
     raw = F.when(F.col("l_linenumber") % 4 == 0, shown).when(F.col("l_linenumber") % 4 == 1, F.concat(shown, F.lit(" %"))).when(F.col("l_linenumber") % 4 == 2, F.concat(shown, F.lit("00000000001234"))).otherwise(F.concat(F.lit("第"), shown))
     kind, form = exports.cell_format(raw, 2)
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", kind.alias("kind"), form.alias("format"))
+
+
+@query("WITH " + _BASE + """, d AS (SELECT document_id, k, count(*) AS rows, count(*) FILTER (ok % 11 = 0 AND ok % 5 <> 0) + count(*) FILTER (ok % 11 = 0 AND ok % 2 = 0) AS lost, count(*) FILTER (ok % 2 <> 0) AS odd FROM o GROUP BY 1, 2),
+ i AS (SELECT document_id, CASE k % 5 WHEN 0 THEN 'foreign_model_row' WHEN 1 THEN 'model_row_out_of_bounds' WHEN 2 THEN 'model_cell_out_of_bounds' WHEN 3 THEN 'duplicate_metadata_column' ELSE 'label_column_is_value_column' END AS issue, 1 AS n FROM d
+  UNION ALL SELECT document_id, 'unmapped_numeric_column', 1 FROM d WHERE k % 7 = 0 UNION ALL SELECT document_id, 'unreadable_numeric_cell', odd FROM d
+  UNION ALL SELECT document_id, 'unextracted_numeric_cells', lost + CASE WHEN k % 7 = 0 THEN rows ELSE 0 END FROM d)
+ SELECT * FROM i WHERE n > 0""")
+def claim_audit(spark, d):
+    """Faults of the claims as such: each customer has one of five, every seventh a column that nothing declares."""
+    cells, grid, columns, others, claims = _given(spark, d)
+    k = F.col("document_id").cast("long")
+    wrong = claims.groupBy("document_id").agg(F.min_by(F.struct("source_name", "concept", "role", "raw_unit"), "row").alias("c"), F.lit(2).alias("row"))
+    whole = cells.select("document_id").distinct().join(wrong, "document_id", "left").where(k % 5 < 3)
+    value = F.array(F.struct(F.when(k % 5 == 2, 9).otherwise(3).alias("column"), F.lit("1").alias("raw_value")))
+    extra = whole.select("document_id", F.when(k % 5 == 0, "z").otherwise("b").alias("block_id"), F.when(k % 5 == 1, 999_999).otherwise(1).alias("row"), F.lit("x").alias("source_name"), F.lit(None).cast("string").alias("concept"), F.lit("header").alias("role"), F.lit(None).cast("string").alias("raw_unit"), value.alias("values"))
+    more = columns.unionByName(columns.where((k % 5 == 3) & (F.col("column") == 3))).withColumn("label_column", F.when((k % 5 == 4) & (F.col("column") == 4), 3).otherwise(F.col("label_column")))
+    return audit.claim_audit(cells, grid, more, others.where(k % 7 != 0), claims.unionByName(extra))
