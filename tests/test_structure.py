@@ -90,3 +90,10 @@ def test_tables_that_differ_are_in_conflict(spark):
     docs = spark.createDataFrame([("d", text), ("n", None)], "document_id string, text string")
     found = note_trees.header_tree_matrix(docs, "存货").orderBy("place").select("key", F.col("value").cast("int"), "conflict", "candidates", F.col("period_end").cast("string")).collect()
     assert [tuple(r) for r in found] == [("原材料|账面价值", None, True, 2, "2025-12-31"), ("在产品及半成品|账面价值", 30000, False, 2, "2025-12-31")]
+
+
+def test_the_last_unit_before_a_table_counts(spark):
+    table = lambda v: f"<table><tr><td>项目</td><td>期末余额</td></tr><tr><td>原材料</td><td>{v}</td></tr></table>"
+    text = f"# 公司2025年年度报告\n单位：千元\n## 存货\n单位：万元\n{table(1)}\n单位：元\n{table('10,000')}\n## 其他存货\n{table(10)}"
+    found = documents.notes_matrix(spark.createDataFrame([("d", text)], "document_id string, text string"), "存货").collect()
+    assert [(r["label"], int(r["value"]), r["conflict"], r["candidates"]) for r in found] == [("原材料", 10000, False, 3)]
