@@ -9,6 +9,8 @@ from ..functions import numbers as N
 from ..functions import periods as P
 from ..functions import text as T
 from ..operators import checks, documents, matrix, merging, metrics, modules, tables
+from ..operators.metric_catalogue import BS, CATALOGUE
+from ..operators.metrics import NEGATIVE, UNCLEAR, ZERO
 from ..sources.readers import table
 from ..streaming import events as streams
 from . import facts
@@ -109,7 +111,43 @@ def metric_operating_cycle(spark, d):
     return _balances(spark, d, "operating_cycle", {"revenue": "revenue", "cost": "cost", "inventory": "inventory", "tax": "accounts_receivable"})
 
 
-@query()
+_FLOWS, _STOCKS = ["revenue", "cost"], ["inventory"]
+
+
+def _input_sql(x) -> tuple[str, str]:
+    """(amount, period) of a metric's input where the facts are years of revenue, cost and inventory: a is the column's year, b the one before."""
+    year, flow = "year(a.\"start\")", x.table != BS
+    back = f"({year} - 1)" if x.offset in ("opening", "previous") else year
+    known = x.concept in (_FLOWS if flow else _STOCKS) and x.offset != "previous_quarter" and not (flow and x.offset == "opening")
+    amount = f"CAST({'b' if x.offset in ('opening', 'previous') else 'a'}.{x.concept} AS DOUBLE)" if known else "CAST(NULL AS DOUBLE)"
+    end = f"{year} || '-09-30'" if x.offset == "previous_quarter" else f"{back} || '-12-31'"
+    return amount, f"{back} || '-01-01/' || {end}" if flow else end
+
+
+def _metric_sql(m) -> str:
+    """One formula over the columns, from its definition: the first input that can't be used gives the reason, then the first denominator."""
+    given = [_input_sql(x) for x in m.inputs]
+    fails = [f"CASE WHEN {v} IS NULL THEN '缺少输入：{x.label}（' || {p} || '）' WHEN a.scope = 'unknown' THEN '{UNCLEAR}' END" for x, (v, p) in zip(m.inputs, given, strict=True)]
+    used = [f"CASE WHEN {v} IS NOT NULL AND coalesce({', '.join([*fails[:k], 'NULL', 'NULL'])}) IS NULL THEN 1 ELSE 0 END" for k, (v, _) in enumerate(given)]
+    names = {str(i): f"({v})" for i, (v, _) in enumerate(given)} | {"days": "360.0"}
+    guards = []
+    for i, (top, bottom) in enumerate(m.ratios):
+        top, bottom = _named(top, names), _named(bottom, names)
+        guards += [f"WHEN {bottom} = 0 THEN '{ZERO}'", f"WHEN {bottom} < 0 THEN '{NEGATIVE}'"]
+        names[f"r{i}"] = f"(({top}) / nullif({bottom}, 0))"
+    guard = f"CASE {' '.join(guards)} END" if guards else "NULL"
+    return f"""SELECT a.entity, a.scope, CASE a.scope WHEN 'unknown' THEN 'd' || a.document_id ELSE '' END AS document_key, CAST(a."start" AS VARCHAR) AS "start", year(a."start") || '-12-31' AS "end", '{m.code}' AS code, '{m.category}' AS category, '{m.unit}' AS unit,
+ CAST(coalesce({', '.join([*fails, guard, 'NULL'])}) AS VARCHAR) AS reason, {f'round({_named(m.value, names)}, 10)' if m.ratios else _named(m.value, names)} AS v, {' + '.join(used)} AS inputs FROM f AS a LEFT JOIN f AS b ON b.entity = a.entity AND b.scope = a.scope AND b.document_id = a.document_id AND year(b."start") = year(a."start") - 1"""
+
+
+def _named(text: str, names: dict[str, str]) -> str:
+    for name, sql in names.items():
+        text = text.replace("{" + name + "}", sql)
+    return text
+
+
+@query(with_facts("SELECT entity, scope, document_key, \"start\", \"end\", 'year' AS kind, code, category, unit, CASE WHEN reason IS NULL THEN v END AS value, reason, CASE WHEN reason IS NULL THEN 'pending_review' ELSE 'unavailable' END AS status, inputs FROM ("
+    + " UNION ALL ".join(map(_metric_sql, CATALOGUE)) + ")"))
 def metrics_all(spark, d):
     cells = metrics.metric_cells(facts.statement_facts(spark, d))
     return cells.select("entity", "scope", "document_key", iso("start").alias("start"), iso("end").alias("end"), "kind", "code", "category", "unit", F.col("value").cast(DOUBLE).alias("value"), "reason", "status", F.size("inputs").alias("inputs"))
@@ -527,7 +565,9 @@ def module_amounts(spark, d):
     return module_values(spark, d).select("module_key", "row_key", "period_raw", F.col("value").cast(DOUBLE).alias("value"), F.col("amount").cast(DOUBLE).alias("amount"))
 
 
-@query()
+@query(with_facts("""SELECT entity || '/' || scope || '/' || document_id AS module_key, 'notes' AS category, 'O' AS currency, '1' AS rate, CASE key WHEN 'revenue' THEN 0 ELSE 1 END AS row_ordinal, key AS row_key, key AS name, '元' AS unit, 0 AS level,
+ row_number() OVER (PARTITION BY entity, scope, document_id, key ORDER BY "start") - 1 AS period_ordinal, CAST("start" AS VARCHAR) AS period_raw, CAST(v AS VARCHAR) AS value, CAST(v * 0.0001 AS DECIMAL(38,17)) AS amount
+ FROM (SELECT *, CAST(CASE key WHEN 'revenue' THEN revenue ELSE cost END AS DECIMAL(28,4)) AS v FROM f, (SELECT unnest(['revenue', 'cost']) AS key))"""))
 def module_values(spark, d):
     f = facts.wide(spark, d).groupBy("entity", "scope", "document_id").agg(F.array_sort(F.collect_list(F.struct("start", "revenue", "cost"))).alias("x"))
     row = lambda key: F.struct(F.lit(key).alias("key"), F.lit(key).alias("name"), F.lit("元").alias("unit"), F.lit(0).alias("level"), F.transform("x", lambda v: v[key].cast("string")).alias("values"))

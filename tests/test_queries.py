@@ -20,7 +20,7 @@ def test_example_agrees_with_its_rows(spark, sf, name):
     assert_parity(run(spark, sf), sql, sf)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - {"metrics_all"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
 
