@@ -599,9 +599,22 @@ def line_batches(spark, d):
 # Streams -------------------------------------------------------------------------
 
 
+def _live(spark, d):
+    return streams.event_stream(spark, f"{d}/event[s].parquet")  # a pattern, as a stream's path is a folder or a pattern
+
+
+def _last(spark, stream, schema):
+    """The complete result of a stream that was run to its end: each batch of it replaces the one before."""
+    folder = streams.scratch(spark)
+    streams.write_once(stream, f"{folder}/out", f"{folder}/log", "complete")
+    out = spark.read.schema(f"{schema}, batch int").parquet(f"{folder}/out")
+    last = out.agg(F.max("batch")).first()[0]
+    return out.where(F.col("batch") == last).drop("batch")
+
+
 @query("SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_tumbling(spark, d):
-    out = streams.tumbling(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    out = _last(spark, streams.tumbling(_live(spark, d)), "window_start timestamp, event_type string, n long")
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n")
 
 
@@ -609,29 +622,22 @@ def stream_tumbling(spark, d):
  s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM m)
  SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS session_end, count(*) AS n FROM s GROUP BY user_id, k""")
 def stream_session(spark, d):
-    out = streams.sessions(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    out = _last(spark, streams.sessions(_live(spark, d)), "user_id long, session_start timestamp, session_end timestamp, n long")
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
     return out.select("user_id", stamp("session_start"), stamp("session_end"), "n")
 
 
 @query("SELECT DISTINCT event_id, user_id FROM events")
 def stream_dedup(spark, d):
-    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return streams.deduplicated(e.unionByName(e.where("event_id % 3 = 0"))).select("event_id", "user_id")
-
-
-def _live(spark, d):
-    return streams.event_stream(spark, f"{d}/event[s].parquet")  # a pattern, as a stream's path is a folder or a pattern
+    folder, twice = streams.scratch(spark), _live(spark, d).unionByName(_live(spark, d).where("event_id % 3 = 0"))
+    streams.write_once(streams.deduplicated(twice).select("event_id", "user_id"), f"{folder}/out", f"{folder}/log")
+    return spark.read.schema("event_id long, user_id long, batch int").parquet(f"{folder}/out").drop("batch")
 
 
 @query("SELECT CAST(date_trunc('day', ts) AS DATE)::VARCHAR AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_live_tumbling(spark, d):
-    folder = streams.scratch(spark)
-    days = streams.tumbling(_live(spark, d), "1 day")
-    streams.write_once(days, f"{folder}/out", f"{folder}/log", "complete")
-    out = spark.read.schema("window_start timestamp, event_type string, n long, batch int").parquet(f"{folder}/out")
-    last = out.agg(F.max("batch")).first()[0]  # each batch of a complete result replaces the one before
-    return out.where(F.col("batch") == last).select(F.to_date("window_start").cast("string").alias("day"), "event_type", "n")
+    out = _last(spark, streams.tumbling(_live(spark, d), "1 day"), "window_start timestamp, event_type string, n long")
+    return out.select(F.to_date("window_start").cast("string").alias("day"), "event_type", "n")
 
 
 @query("SELECT DISTINCT event_id, user_id FROM events")
