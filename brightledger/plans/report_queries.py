@@ -37,13 +37,16 @@ def reports(spark, d):
     )
     own = orders.join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey")
     shown = lambda c, blank: F.coalesce(F.format_number(c, 2), F.lit(blank))
-    y, c1, c0, i0 = (F.col("y") + 20).cast("string"), shown("c1", ""), shown("c0", "—"), F.col("i0")
-    i1 = F.coalesce(F.concat(F.lit("("), F.format_number("i1", 2), F.lit(")")), F.lit(""))
     signed = F.concat((F.col("y") + 21).cast("string"), F.lit("年03月"), F.lpad((F.col("o_custkey") % 28 + 1).cast("string"), 2, "0"), F.lit("日"))
+    texts = own.select(
+        "o_custkey", "c_name", (F.col("y") + 20).cast("string").alias("y"), shown("c1", "").alias("c1"), shown("c0", "—").alias("c0"), "i0", F.coalesce(F.concat(F.lit("("), F.format_number("i1", 2), F.lit(")")), F.lit("")).alias("i1"),
+        shown("r1", "不适用").alias("r1"), signed.alias("signed"),
+    )
+    y, c1, c0, i0, i1, r1, signed = (F.col(c) for c in ("y", "c1", "c0", "i0", "i1", "r1", "signed"))
     lines = [
         F.concat(F.lit("# "), "c_name", F.lit("公司"), y, F.lit("年年度报告")), F.concat(F.lit("编制单位："), "c_name", F.lit(" 公司")), F.lit("单位：元"), F.lit("## 合并资产负债表"),
         _table(["项目", "期末余额", "期初余额"], ["流动资产：", "", ""], ["货币资金", c1, c0], ["存货", i1, i0]),
-        F.lit("## 母公司利润表"), F.lit("单位：元"), _table(["项目", F.concat(y, F.lit("年度"))], ["一、营业收入", shown("r1", "不适用")]),
+        F.lit("## 母公司利润表"), F.lit("单位：元"), _table(["项目", F.concat(y, F.lit("年度"))], ["一、营业收入", r1]),
         F.lit("## 第十节 财务报告"), F.lit("## 一、审计报告"), _table(["审计意见类型", "标准的无保留意见"], ["审计报告签署日期", signed]), F.lit("## 二、财务报表"),
         F.lit("## 七、合并财务报表项目注释"), F.lit("### 1、货币资金"), F.lit("单位：万元"), _table(["项目", "期末余额", "期初余额"], ["库存现金", c1, c0], ["合计", c1, i0]),
         F.lit("### 5、应收账款"), F.lit("单位：元"), _table(["账龄", "期末余额", "期初余额"], ["1年以内（含1年）", c1, i0], ["1至2年", c0, ""], ["合计", c1, "x"]),
@@ -52,7 +55,7 @@ def reports(spark, d):
         F.lit("## 十七、母公司财务报表主要项目注释"), F.lit("### 1、应收账款"), F.lit("单位：元"), _table(["账龄", "期末余额"], ["1年以内", i0], ["合计", c1]),
         F.lit("## 二十、补充资料"), F.lit("### 1、当期非经常性损益明细表"), F.lit("单位：元"), _table(["项目", "金额"], ["计入当期损益的政府补助", c1], ["所得税影响额", i0]),
     ]
-    return own.select(F.col("o_custkey").cast("string").alias("document_id"), F.concat_ws("\n", *lines).alias("text"))
+    return texts.select(F.col("o_custkey").cast("string").alias("document_id"), F.concat_ws("\n", *lines).alias("text"))
 
 
 _BASE = """a AS (SELECT *, CAST(o_totalprice AS DECIMAL(18,2)) AS v FROM orders),

@@ -97,3 +97,39 @@ def test_the_last_unit_before_a_table_counts(spark):
     text = f"# 公司2025年年度报告\n单位：千元\n## 存货\n单位：万元\n{table(1)}\n单位：元\n{table('10,000')}\n## 其他存货\n{table(10)}"
     found = documents.notes_matrix(spark.createDataFrame([("d", text)], "document_id string, text string"), "存货").collect()
     assert [(r["label"], int(r["value"]), r["conflict"], r["candidates"]) for r in found] == [("原材料", 10000, False, 3)]
+
+
+def test_notes_and_their_tables_are_read_in_the_row_of_their_document(spark):
+    docs = spark.createDataFrame([("d", "# 公司2024年年度报告\n## 七、合并财务报表项目注释\n### 1、货币资金\n单位：元\n<table><tr><td>项目</td></tr><tr><td>现金</td></tr></table>")], "document_id string, text string")
+    found = notes.note_tables(docs)
+    assert [(r["title"], r["cells"]) for r in found.collect()] == [("1、货币资金", ["现金"])]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_dense_rows_are_those_of_the_grid(spark):
+    row = lambda *cells: "<tr>" + "".join(cells) + "</tr>"
+    odd = [
+        row("<td rowspan=9>a</td>", "<td>b</td>") + row("<td colspan='2'>c</td>") + row(), row("<td>a</td>", "<td rowspan=2>b</td>") + row("<td colspan=3>c</td>"),
+        row("<td>a</td>") + row() + row("<td>b</td>", "<td>c</td>", "<td>d</td>") + row(), row(), row("<td>a</td>", "<td></td>") + row("<td></td>", "<td>x</td>") + "<tr><td>no end",
+    ]
+    body = "".join(f"<table>{t}</table>text" for t in odd)
+    parts = spark.createDataFrame([("k", body), ("n", None), ("e", "")], "k string, body string")
+    cells = {(r["table"], r["at_row"], r["at_col"]): r["text"] for r in documents.grid(documents.cells(documents.table_rows(parts, ["k"]), ["k"]), ["k"]).collect()}
+    dense = {r["table"]: r["rows"] for r in documents.dense_rows(parts, ["k"]).collect()}
+    size = lambda t, i: max(place[i] for place in cells if place[0] == t)
+    assert dense == {t: [[cells.get((t, y + 1, x + 1), "") for x in range(size(t, 2))] for y in range(size(t, 1))] for t in {place[0] for place in cells}}
+    assert set(dense) == {1, 2, 3, 5}
+
+
+def test_lines_with_numbers_in_parentheses_are_those_of_the_sql(spark, tmp_path):
+    import __spark_entry__ as entry
+    import duckdb
+
+    given = ["a (2) b", "a 2) b", "a (2 b", "x\na （2） b", "a 2， b", "a -2", "a 2.000000001", "a (7) b", "7)", "(7", "（7，", "7,0", "-7", "(-7)", "7.0)", None, ""]
+    spark.createDataFrame([(i, t) for i, t in enumerate(given)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for name in ("exact_source_line", "holds_number"):
+        want = sorted(con.execute(entry.oracle_sql()[name]).fetchall())
+        assert sorted(tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).collect()) == want and len(want) > 4
