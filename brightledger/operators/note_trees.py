@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import UNIT_SCALES, loose_number, unit_scale
-from ..functions.periods import report_end
+from ..functions.periods import bound
 from ..functions.text import lookup
 from .documents import UNIT
 from .notes import dense_tables, note_index
@@ -34,15 +34,21 @@ def column_end(name: Column, end: Column, business: bool) -> Column:
     return F.coalesce(found, F.when(name.rlike("^20[0-9]{2}年$"), F.make_date(F.substring(name, 1, 4).cast("int"), F.lit(12), F.lit(31)))) if business else found
 
 
-def header_columns(tables: DataFrame, business: bool) -> DataFrame:
-    """The columns of amounts of each table (rows, deep, end): document_id, start_line, table, col, period_end and field."""
-    name, sub = F.get(F.get("rows", F.lit(0)), F.col("col")), F.coalesce(F.when(F.col("deep") == 2, F.get(F.get("rows", F.lit(1)), F.col("col"))), F.lit(""))
-    each = tables.select("document_id", "start_line", "table", "rows", "deep", "end", F.explode(F.sequence(F.lit(1), F.size(F.get("rows", F.lit(0))) - 1)).alias("col"))
-    each = each.withColumn("name", name).withColumn("field", sub).withColumn("period_end", column_end(F.col("name"), F.col("end"), business)).where(F.col("period_end").isNotNull() & ~F.col("field").rlike("%|比例"))
-    if business:
-        direct = F.col("name").isin(REVENUE, COST)
-        each = each.where(((F.col("deep") == 2) & (F.col("field") == "金额")) | ((F.col("deep") == 1) & direct)).withColumn("field", F.when(direct, F.col("name")).otherwise(REVENUE))
-    return each.select("document_id", "start_line", "table", "col", "period_end", "field")
+def header_columns(business: bool) -> Column:
+    """The columns of amounts of a table (rows, deep, end), an array of (col, period_end, field)."""
+    name = lambda c: F.get(F.get("rows", F.lit(0)), c)
+    sub = lambda c: F.coalesce(F.when(F.col("deep") == 2, F.get(F.get("rows", F.lit(1)), c)), F.lit(""))
+
+    def column(c: Column) -> Column:
+        field = F.when(name(c).isin(REVENUE, COST), name(c)).otherwise(REVENUE) if business else sub(c)
+        return F.struct(c.alias("col"), column_end(name(c), F.col("end"), business).alias("period_end"), field.alias("field"))
+
+    def counts(c: Column) -> Column:
+        known = ~sub(c).rlike("%|比例")
+        return known & (((F.col("deep") == 2) & (sub(c) == "金额")) | ((F.col("deep") == 1) & name(c).isin(REVENUE, COST))) if business else known
+
+    places = F.filter(F.sequence(F.lit(1), F.size(F.get("rows", F.lit(0))) - 1), counts)
+    return F.filter(F.transform(places, column), lambda h: h["period_end"].isNotNull())
 
 
 def keyed(cells: DataFrame, category: str, business: bool) -> DataFrame:
@@ -70,22 +76,25 @@ def header_tree_matrix(docs: DataFrame, category: str, scope: str = "consolidate
     """
     business = category == BUSINESS and scope == "consolidated"
     ids = ["document_id", "start_line"]
-    notes = note_index(docs).join(docs.select("document_id", report_end(F.col("text")).alias("end")), "document_id").where(F.col("end").isNotNull() & F.array_contains("categories", category))
-    notes = notes.where(~F.col("title").contains("非主营")) if business else notes.where((F.col("scope") == scope) & F.col("section").contains("财务报表") & F.col("section").contains("注释"))
-    tables = dense_tables(notes.withColumn("body", F.col("text")), ids).join(notes.select(*ids, "end", "text"), ids)
+    mine = lambda note: note["report_end"].isNotNull() & F.array_contains(note["categories"], category)
+    if business:
+        notes = note_index(docs, lambda note: mine(note) & ~note["title"].contains("非主营"))
+    else:
+        notes = note_index(docs, lambda note: mine(note) & (note["scope"] == scope) & note["section"].contains("财务报表") & note["section"].contains("注释"))
+    tables = dense_tables(notes.withColumnRenamed("report_end", "end").withColumn("body", F.col("text")), [*ids, "end", "text"])
     named = F.regexp_extract_all(F.array_join(F.slice(F.split("text", r"(?i)(?=<table\b)"), F.lit(1), F.col("table")), ""), F.lit(UNIT), F.lit(1))
     corner = F.get(F.get("rows", F.lit(0)), F.lit(0))
     deep = F.when(F.get(F.get("rows", F.lit(1)), F.lit(0)) == corner, 2).otherwise(1)
     tables = tables.withColumn("unit", F.get(named, F.size(named) - 1)).withColumn("deep", deep).where(corner.isin(["", "项目"] if business else ["项目", "账龄", "类别"]) & F.col("unit").isin(list(UNIT_SCALES)))
-    columns = header_columns(tables, business)
+    tables = tables.withColumn("columns", header_columns(business))
     if category == INVENTORY:
-        columns = columns.join(columns.where(F.col("field") == BOOK).select(*ids, "table").distinct(), [*ids, "table"], "left_semi")
+        tables = tables.withColumn("columns", bound(F.col("columns"), lambda found: F.when(F.exists(found, lambda h: h["field"] == BOOK), found)))
 
-    rows = tables.select(*ids, "table", "unit", F.col("deep"), F.posexplode("rows").alias("row", "cells")).where(F.col("row") >= F.col("deep")).withColumn("name", F.get("cells", F.lit(0))).where("name <> ''")
+    rows = tables.select(*ids, "table", "unit", "columns", "deep", F.posexplode("rows").alias("row", "cells")).where(F.col("row") >= F.col("deep")).withColumn("name", F.get("cells", F.lit(0))).where("name <> ''")
     opens = F.col("name").startswith("分") & F.lit(business)
     above = W.partitionBy(*ids, "table").orderBy("row")
     rows = rows.withColumn("opens", opens).withColumn("dimension", F.coalesce(F.last(F.when(F.col("opens"), F.substring("name", 2, 1000)), ignorenulls=True).over(above), F.lit(WHOLE))).where("NOT opens")
-    cells = rows.join(columns, [*ids, "table"]).withColumn("amount", (loose_number(F.get("cells", F.col("col"))) * unit_scale(F.col("unit"))).cast("decimal(28,8)")).where("amount IS NOT NULL")
+    cells = rows.select("*", F.inline("columns")).withColumn("amount", (loose_number(F.get("cells", F.col("col"))) * unit_scale(F.col("unit"))).cast("decimal(28,8)")).where("amount IS NOT NULL")
     own = keyed(cells, category, business).groupBy(*ids, "table", "key", "period_end").agg(F.sum("amount").alias("amount"), F.min(F.struct("row", "col", "label")).alias("first"))
     agreed = own.groupBy("document_id", "key", "period_end").agg(
         F.when(F.countDistinct("amount") == 1, F.min("amount")).alias("value"), (F.countDistinct("amount") > 1).alias("conflict"), F.count("amount").alias("candidates"), F.min(F.struct("start_line", "table", "first")).alias("seen")
