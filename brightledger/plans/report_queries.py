@@ -184,7 +184,8 @@ def _trees(spark, d):
     """document_id and text: a report for each customer with notes on inventories and on the main business, sums by priority."""
     amount, kinds = F.col("o_totalprice").cast("decimal(18,2)"), ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
     own = table(spark, d, "orders").groupBy("o_custkey").agg((F.year(F.max("o_orderdate")) + 20).cast("string").alias("y"), F.sum(amount).alias("t"), *[F.sum(F.when(F.col("o_orderpriority") == k, amount)).alias(f"p{i + 1}") for i, k in enumerate(kinds)])
-    s = {c: F.coalesce(F.format_number(c, 2), F.lit("")) for c in ["t", "p1", "p2", "p3", "p4", "p5"]}
+    s = {c: F.col(c) for c in ["t", "p1", "p2", "p3", "p4", "p5"]}
+    own = own.select("o_custkey", "y", *[F.coalesce(F.format_number(c, 2), F.lit("")).alias(c) for c in s])
     body = lambda name, a, b="", c="": [name, a, b, a, c, "", c]
     goods = _table(body("原材料", s["p1"], "3.5", s["p2"]), body("在产品", s["p3"]), body("半成品", s["p4"]), body("库存商品", s["p5"]), body("合计", s["t"]))
     heads = '<table><tr><td rowspan="2">项目</td><td colspan="3">期末余额</td><td colspan="3">期初余额</td></tr><tr>' + "<td>账面余额</td><td>跌价准备</td><td>账面价值</td>" * 2 + "</tr>"

@@ -226,3 +226,10 @@ def test_flattening_keeps_every_level(spark):
         node = (name, name, [node])
     nested = spark.createDataFrame([(1, [node])], f"id int, children array<{schema}>")
     assert [(r["key"], r["depth"]) for r in modules.flattened(nested, ["id"]).orderBy("depth").collect()] == [(k, i) for i, k in enumerate("abcdef")]
+
+
+def test_statements_are_found_in_the_row_of_their_document(spark):
+    docs = spark.createDataFrame([("d", "# 公司2024年年度报告\n编制单位：甲\n## 合并资产负债表\n单位：元\n<table><tr><td>项目</td><td>期末余额</td></tr><tr><td>货币资金</td><td>5</td></tr></table>"), ("n", None)], "document_id string, text string")
+    found = documents.statement_facts(docs)
+    assert [(r["concept"], r["raw_value"], r["start_line"]) for r in found.collect()] == [("cash", "5", 5)]
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
