@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -143,7 +143,16 @@ SCORED = ["company_id", "statement_type", "concept", "period", "scope", "currenc
 ACCURACIES = {"period_accuracy": ["period"], "scope_accuracy": ["scope"], "unit_accuracy": ["currency", "unit_scale"]}
 
 
-def score(expected: DataFrame, actual: DataFrame, anchor: list[str], tables: list[str]) -> DataFrame:
+#: Rows that one task sorts or hashes at most, on average.
+ROWS_OF_A_PART = 250_000
+
+
+def parts_for(spark: SparkSession, rows: int) -> int:
+    """Into how many parts rows are dealt so that a task's memory doesn't grow with them, whatever the session's number of shuffle partitions."""
+    return max(spark.sparkContext.defaultParallelism, rows // ROWS_OF_A_PART + 1)
+
+
+def score(expected: DataFrame, actual: DataFrame, anchor: list[str], tables: list[str], rows: int | None = None) -> DataFrame:
     """Seven scores of extracted cells, matched by their source anchors alone.
 
     Both sides have the columns anchor, SCORED and value; ``actual`` has a
@@ -152,32 +161,34 @@ def score(expected: DataFrame, actual: DataFrame, anchor: list[str], tables: lis
     accuracies coverage_numerator and coverage_denominator. Accuracies are shares of
     all expected cells, covered or not; a verified cell that nobody expected is falsely
     verified. Anchors that are null match each other; one that repeats is an error.
+    ``rows``: about how many rows both sides have; they are counted if it isn't given.
     """
-    for side, name in ((expected, "expected"), (actual, "actual")):
-        if not duplicates(side, anchor).isEmpty():
-            raise ValueError(f"duplicate {name} anchor")
+    number = parts_for(expected.sparkSession, expected.count() + actual.count() if rows is None else rows)
     fields = [*SCORED, "value"]
-    e = expected.select(*anchor, *(F.col(c).alias(f"e_{c}") for c in fields), F.lit(True).alias("wanted"))
-    a = actual.select(*(F.col(c).alias(f"a_{c}") for c in [*anchor, *fields]), F.col("verification_state").alias("state"), F.lit(True).alias("found"))
-    on = [F.col(c).eqNullSafe(F.col(f"a_{c}")) for c in anchor]
-    both = e.join(a, on, "full")
+    at = F.struct(*anchor).alias("at")  # as a struct, nulls are equal
+    e = expected.select(at, *(F.col(c).alias(f"e_{c}") for c in fields), F.lit(True).alias("wanted")).repartition(number, "at")
+    a = actual.select(at, *(F.col(c).alias(f"a_{c}") for c in fields), F.col("verification_state").alias("state"), F.lit(True).alias("found")).repartition(number, "at")
+    for side, name in ((e, "expected"), (a, "actual")):
+        if not duplicates(side, ["at"]).isEmpty():
+            raise ValueError(f"duplicate {name} anchor")
+    both = e.join(a, "at", "full")
     wanted, found = F.coalesce("wanted", F.lit(False)), F.coalesce("found", F.lit(False))
     same = lambda c: F.col(f"e_{c}").eqNullSafe(F.col(f"a_{c}"))
     every = lambda parts: reduce(lambda x, y: x & y, parts)
     told = lambda cs: wanted & found & every([F.col(f"a_{c}").isNotNull() for c in cs])
-    number = same_number(F.col("e_value"), F.col("a_value"))
+    equal = same_number(F.col("e_value"), F.col("a_value"))
     verified = found & (F.coalesce(F.col("state") == "VERIFIED", F.lit(False)))
     count = lambda c, name: F.count_if(c).alias(name)
     numeric, concept = wanted & F.col("e_value").isNotNull(), wanted & F.col("e_concept").isNotNull()
     parts = [
         count(wanted, "n"), count(concept, "concepts"), count(concept & found & same("concept"), "recalled"), count(numeric, "numbers"), count(numeric & found & F.col("a_value").isNotNull(), "numbers_covered"),
-        count(numeric & found & number & every([same(c) for c in ("period", "scope", "currency", "unit_scale")]), "numbers_right"), count(verified, "verified"),
-        count(verified & ~(wanted & number & every([same(c) for c in SCORED])), "falsely"),
+        count(numeric & found & equal & every([same(c) for c in ("period", "scope", "currency", "unit_scale")]), "numbers_right"), count(verified, "verified"),
+        count(verified & ~(wanted & equal & every([same(c) for c in SCORED])), "falsely"),
     ]
     for name, cs in ACCURACIES.items():
         parts += [count(told(cs), f"{name}_covered"), count(told(cs) & every([same(c) for c in cs]), f"{name}_right")]
-    seen = lambda side: side.select(*tables, "statement_type").distinct()
-    discovered = seen(expected).withColumn("in", F.lit(1)).unionByName(seen(actual).withColumn("in", F.lit(2))).groupBy(*tables, "statement_type").agg(F.sum("in").alias("in"))
+    sides = expected.select(*tables, "statement_type", F.lit(1).alias("in")).unionByName(actual.select(*tables, "statement_type", F.lit(2).alias("in"))).repartition(number, *tables)
+    discovered = sides.groupBy(*tables, "statement_type").agg(F.bit_or("in").alias("in"))
     discovered = discovered.agg(count(F.col("in") == 3, "tables_found"), count(F.col("in") != 2, "tables"))
     row = lambda metric, top, low, covered=None: F.struct(F.lit(metric).alias("metric"), F.col(top).alias("numerator"), F.col(low).alias("denominator"), (F.col(covered) if covered else F.lit(None).cast("long")).alias("coverage_numerator"), (F.col(low) if covered else F.lit(None).cast("long")).alias("coverage_denominator"))
     rows = [row("main_table_discovery", "tables_found", "tables"), *(row(m, f"{m}_right", "n", f"{m}_covered") for m in ACCURACIES), row("core_concept_recall", "recalled", "concepts"), row("numeric_accuracy", "numbers_right", "numbers", "numbers_covered"), row("false_verified_rate", "falsely", "verified")]

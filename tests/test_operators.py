@@ -241,3 +241,15 @@ def test_only_headings_are_shuffled_to_be_numbered(spark):
     assert [(r["level"], r["title"], r["line"]) for r in found.orderBy("line").collect()] == [(1, "A", 1), (2, "B", 4)]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan or plan.rindex("Filter") > plan.rindex("Exchange")
+
+
+def test_score_deals_rows_into_parts_by_their_number(spark, monkeypatch):
+    import re
+
+    columns = "document_id string, table_id string, row int, company_id string, statement_type string, concept string, period string, scope string, currency string, unit_scale string, value string, verification_state string"
+    side = spark.createDataFrame([(None if i == 3 else "d", "t", i, "c", "bs", "cash", "2025", "parent", "CNY", "1", "1", "VERIFIED") for i in range(40)], columns)
+    monkeypatch.setattr(tables, "ROWS_OF_A_PART", 10)
+    found = tables.score(side, side, ["document_id", "table_id", "row"], ["document_id", "table_id"])
+    assert {r["metric"]: r["numerator"] for r in found.collect()}["numeric_accuracy"] == 40  # null anchors match, too
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert set(re.findall(r"hashpartitioning\(.*?, (\d+)\)", plan)) == {"9"}
