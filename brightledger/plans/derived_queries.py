@@ -243,7 +243,7 @@ def wrapped_rows(spark, d):
 def markdown_tables(spark, d):
     """Pipe tables written from order lines are read back, escaped and quoted pipes included."""
     line = F.concat(F.lit("| 1 \\| "), F.col("l_linenumber").cast("string"), F.lit(" | `x | "), "l_returnflag", F.lit("` | "), money("l_extendedprice"), F.lit(" |"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("t")))), lambda r: r["t"]), "\n")
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", line.alias("t")))), lambda r: r["t"]), "\n")
     docs = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("document_id")).agg(F.concat(F.lit("para\n| a | b | c |\n|:--|---|--:|\n"), body, F.lit("\n\nend | not")).alias("text"))
     return D.pipe_rows(docs).select(F.col("document_id").alias("l_orderkey"), F.col("row").cast("long").alias("row_no"), F.array_join("cells", "~").alias("cells"))
 

@@ -133,3 +133,11 @@ def test_lines_with_numbers_in_parentheses_are_those_of_the_sql(spark, tmp_path)
     for name in ("exact_source_line", "holds_number"):
         want = sorted(con.execute(entry.oracle_sql()[name]).fetchall())
         assert sorted(tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).collect()) == want and len(want) > 4
+
+
+def test_pipe_tables_are_read_in_the_row_of_their_document(spark):
+    text = "x\n| a | b |\n|--|--|\n| `1 | 2` | 3\\|4 |\nc | d\n---|---\n5 | 6\n\n7 | 8\n| e |\n|-|"
+    found = documents.pipe_rows(spark.createDataFrame([("d", text), ("n", None), ("p", "a | b")], "document_id string, text string"))
+    assert [tuple(r)[1:] for r in found.orderBy("line").collect()] == [(2, 1, 2, ["a", "b"]), (2, 2, 4, ["`1 | 2`", "3|4"]), (5, 1, 5, ["c", "d"]), (5, 2, 7, ["5", "6"]), (10, 1, 10, ["e"])]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan and "Window" not in plan
