@@ -233,7 +233,7 @@ def wrapped_rows(spark, d):
     cut = F.length(shown) - 1
     pair = F.array(F.array(text("L", F.col("l_linenumber")), F.substring(shown, F.lit(1), cut), F.lit("")), F.array(F.lit(""), F.substring(shown, cut + 1, F.lit(1)), F.lit("")))
     rows = table(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", pair.alias("rows")).alias("r"))
-    tables = rows.groupBy("l_orderkey").agg(F.flatten(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["rows"])).alias("rows"))
+    tables = rows.groupBy("l_orderkey").agg(F.flatten(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["rows"])).alias("rows"))
     cells = F.transform("rows", lambda r: F.concat(r[0], F.lit("="), r[1]))
     return notes.rejoined(tables).select("l_orderkey", F.size("rows").cast("long").alias("n"), F.array_join(cells, ";").alias("cells"))
 

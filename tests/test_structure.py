@@ -141,3 +141,9 @@ def test_pipe_tables_are_read_in_the_row_of_their_document(spark):
     assert [tuple(r)[1:] for r in found.orderBy("line").collect()] == [(2, 1, 2, ["a", "b"]), (2, 2, 4, ["`1 | 2`", "3|4"]), (5, 1, 5, ["c", "d"]), (5, 2, 7, ["5", "6"]), (10, 1, 10, ["e"])]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Sort" not in plan and "Window" not in plan
+
+
+def test_cells_of_wrapped_rows_are_squeezed_once(spark):
+    found = notes.rejoined(spark.createDataFrame([([["a", "1,2"], ["", "3 4"]],)], "rows array<array<string>>"))
+    assert found.collect()[0]["rows"] == [["a", "1,23 4"]]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 2
