@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import UNIT_SCALES, source_increment, strict_number, unit_scale
-from ..functions.periods import strict_period
+from ..functions.periods import bound, strict_period
 from ..functions.text import ALIASES, BLANK_SOURCE, compact_quote
 
 BLOCK = ["document_id", "block_id"]
@@ -167,31 +167,35 @@ def checked_cells(cells: DataFrame, columns: DataFrame, claims: DataFrame, secon
     per_row = claims.groupBy(*BLOCK, "row").agg(F.count(F.lit(1)).alias("_n"), F.max_by(F.struct(F.col("source_name").alias("name"), "concept", "role", F.col("raw_unit").alias("u"), "values"), "source_name").alias("c"))
     found = rows.join(per_row, [*BLOCK, "row"], "left")
     data = F.col("c").isNotNull() & ~F.coalesce(F.col("c.role").isin("header", "section"), F.lit(False))
-    number = strict_number(F.col("raw_value"))
-    supplied = F.filter("c.values", lambda v: v["column"] == F.col("column"))
-    claimed = F.when(F.size(supplied) == 1, strict_number(F.get(supplied, F.lit(0))["raw_value"]))
+    given = lambda own: F.struct(F.size(own).alias("times"), F.when(F.size(own) == 1, strict_number(F.get(own, F.lit(0))["raw_value"])).alias("claimed"))
+    supplied = bound(F.filter("c.values", lambda v: v["column"] == F.col("column")), given)
+    renamed = lambda name: (compact_quote(F.col("c.name")) != name) & (F.col("c.name") != F.col("source_name"))  # noqa: E731  the same text is the same label
+    named = bound(compact_quote(F.col("source_name")), lambda name: F.struct(name.alias("label"), renamed(name).alias("renamed")))
     blank = F.trim("raw_value").isin(BLANK_SOURCE)
     unit = F.coalesce("c.u", "unit")
     odd_unit = F.col("c.u").isNotNull() & (F.col("c.u") != F.col("unit")) & ~((F.col("c.u") == "元/股") & F.col("source_name").contains("每股"))
     scale = F.when(unit == "元/股", F.lit(1).cast("decimal(10,0)")).otherwise(unit_scale(unit))
     mapped = F.coalesce(F.col("c.concept").isin(CONCEPTS), F.lit(False))
-    made = F.concat(F.lit("disclosed_"), F.substring(F.sha2(F.concat("statement_type", F.lit(":"), compact_quote(F.col("source_name"))), 256), 1, 32))
+    made = F.concat(F.lit("disclosed_"), F.substring(F.sha2(F.concat("statement_type", F.lit(":"), F.col("_r.name.label")), 256), 1, 32))
     issue = lambda when, code: F.when(F.coalesce(when, F.lit(False)), F.lit(code))
-    checked = found.withColumn("_v", number).withColumn("_data", data).withColumn("amount", (F.col("_v") * scale).cast("decimal(28,8)")).withColumn("concept", F.when(mapped, F.col("c.concept")).otherwise(made))
+    # exploded so that texts are read once for each cell, before the filter by state
+    read = F.struct(strict_number(F.col("raw_value")).alias("v"), supplied.alias("given"), strict_number(F.col("source_name")).isNotNull().alias("numeric"), named.alias("name"))
+    found = found.select("*", F.explode(F.array(read)).alias("_r"))
+    checked = found.withColumn("_v", F.col("_r.v")).withColumn("_data", data).withColumn("amount", (F.col("_v") * scale).cast("decimal(28,8)")).withColumn("concept", F.when(mapped, F.col("c.concept")).otherwise(made))
     disagrees = F.lit(False)
     if second is not None:
         mine = second.select(F.col("document_id").alias("_doc"), F.col("line").alias("_line"), compact_quote(F.col("source_name")).alias("_own"), F.col("period").alias("_period"), F.struct("concept", F.col("value").alias("v"), "scope", "entity", "currency").alias("o"))
         mine = mine.groupBy("_doc", "_line", "_own", "_period").agg(F.collect_list("o").alias("opinions"))  # one line's readings
-        same_cell = (F.col("document_id") == F.col("_doc")) & (F.col("line") == F.col("_line")) & (compact_quote(F.col("source_name")) == F.col("_own")) & (F.col("period_found") == F.col("_period"))
+        same_cell = (F.col("document_id") == F.col("_doc")) & (F.col("line") == F.col("_line")) & (F.col("_r.name.label") == F.col("_own")) & (F.col("period_found") == F.col("_period"))
         checked = checked.join(mine, same_cell, "left").drop("_doc", "_line", "_own", "_period")
         same = lambda o: (o["scope"] == F.col("scope")) & (o["entity"] == F.col("entity")) & (o["currency"] == F.col("currency")) & o["v"].eqNullSafe(F.col("amount")) & ((o["concept"] == F.col("concept")) | o["concept"].startswith("disclosed_"))
         disagrees = F.exists("opinions", lambda o: ~F.coalesce(same(o), F.lit(False)))
     sourced = F.array_distinct(F.concat("own", F.array_compact(F.array(
-        issue(strict_number(F.col("source_name")).isNotNull(), "source_name_is_numeric"), issue(F.col("_n") > 1, "duplicate_model_row"), issue(compact_quote(F.col("c.name")) != compact_quote(F.col("source_name")), "source_name_mismatch"),
-        issue(F.size(supplied) != 1, "model_cell_missing_or_duplicate"), issue(~F.col("_v").eqNullSafe(claimed), "source_value_mismatch"),
+        issue(F.col("_r.numeric"), "source_name_is_numeric"), issue(F.col("_n") > 1, "duplicate_model_row"), issue(F.col("_r.name.renamed"), "source_name_mismatch"),
+        issue(F.col("_r.given.times") != 1, "model_cell_missing_or_duplicate"), issue(~F.col("_v").eqNullSafe(F.col("_r.given.claimed")), "source_value_mismatch"),
         issue(F.col("_v").isNull() & blank, "source_blank"), issue(F.col("_v").isNull() & ~blank, "source_number_unreadable"), issue(odd_unit, "row_unit_not_supported"),
     ))))
-    checked = checked.withColumn("_s", sourced)
+    checked = checked.select("*", F.explode(F.array(sourced)).alias("_s"))
     state = (
         F.when(~F.col("_data"), F.when(F.col("_v").isNotNull(), "MISSING")).when(F.arrays_overlap("_s", F.array(*map(F.lit, ["source_value_mismatch", "source_name_mismatch", "duplicate_model_row"]))), "CONFLICT")
         .when(F.size("_s") > 0, "GAP").when(~mapped, "UNMAPPED").otherwise("VERIFIED")

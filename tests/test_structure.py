@@ -147,3 +147,13 @@ def test_cells_of_wrapped_rows_are_squeezed_once(spark):
     found = notes.rejoined(spark.createDataFrame([([["a", "1,2"], ["", "3 4"]],)], "rows array<array<string>>"))
     assert found.collect()[0]["rows"] == [["a", "1,23 4"]]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 2
+
+
+def test_texts_of_checked_cells_are_read_once(spark, sf):
+    import __spark_entry__ as entry
+    from brightledger.functions.numbers import strict_number
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(spark.createDataFrame([("(1,234.5)",)], "t string").select(strict_number(F.col("t")).alias("n"))).count("translate(") == 1
+    lines = plan(entry.queries()["table_validation"](spark, sf)).splitlines()
+    assert not [x for x in lines if "Filter" in x and "regexp_replace" in x]
