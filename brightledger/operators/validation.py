@@ -215,18 +215,27 @@ def checked_cells(cells: DataFrame, columns: DataFrame, claims: DataFrame, secon
 
 def table_coverage(cells: DataFrame, census: DataFrame, checked: DataFrame) -> DataFrame:
     """Of each document: physical numbers, those claimed and not, blank and unreadable cells, missing core concepts, and complete or partial."""
-    claimed = checked.where("state <> 'MISSING'")
-    own = census.join(claimed.select(*BLOCK, "row", "col").distinct().withColumn("_c", F.lit(True)), [*BLOCK, "row", "col"], "left").groupBy("document_id").agg(
-        F.count(F.lit(1)).alias("numeric_cells"), F.count("_c").alias("extracted_cells"), F.bool_or("hidden").alias("_hidden")
+    # of each statement, whether it occurs and which core concepts are verified, as bits
+    bits = {pair: 1 << i for i, pair in enumerate((t, c) for t, cs in CORE.items() for c in (None, *sorted(cs)))}
+    core = F.lit(0)
+    for (t, c), bit in bits.items():
+        told = F.col("statement_type") == t if c is None else (F.col("statement_type") == t) & (F.col("status") == "source_verified") & (F.col("concept") == c)
+        core = core + F.when(told, bit).otherwise(0)
+    number = F.when(F.col("state").isin("CONFLICT", "GAP"), strict_number(F.col("raw_value")).isNotNull()).otherwise(False)
+    says = lambda code: F.array_contains("issues", code).cast("long")
+    of_checked = checked.select(*BLOCK, "row", "col", (F.col("state") != "MISSING").alias("claimed"), says("source_blank").alias("blank"), says("source_number_unreadable").alias("unreadable"), number.alias("bad"), core.alias("core"))
+    of_census = census.select(*BLOCK, "row", "col", F.lit(1).alias("numbers"), "hidden")
+    # a cell's numbers and claims meet in one pass, so that neither side is worked out twice
+    per_cell = of_checked.unionByName(of_census, allowMissingColumns=True).groupBy(*BLOCK, "row", "col").agg(
+        F.count("numbers").alias("numbers"), F.bool_or("claimed").alias("claimed"), F.bool_or("hidden").alias("hidden"), F.sum("blank").alias("blank"), F.sum("unreadable").alias("unreadable"), F.bool_or("bad").alias("bad"), F.bit_or("core").alias("core")
     )
-    states = checked.groupBy("document_id").agg(
-        F.count_if(F.array_contains("issues", "source_blank")).alias("blank_cells"), F.count_if(F.array_contains("issues", "source_number_unreadable")).alias("unreadable_cells"),
-        F.bool_or(F.col("state").isin("CONFLICT", "GAP") & strict_number(F.col("raw_value")).isNotNull()).alias("_bad"),
+    own = per_cell.groupBy("document_id").agg(
+        F.sum("numbers").alias("numeric_cells"), F.sum(F.when(F.col("claimed"), F.col("numbers")).otherwise(0)).alias("extracted_cells"), F.bool_or("hidden").alias("_hidden"),
+        F.sum("blank").alias("blank_cells"), F.sum("unreadable").alias("unreadable_cells"), F.bool_or("bad").alias("_bad"), F.bit_or("core").alias("_core"),
     )
-    done = checked.groupBy("document_id", "statement_type").agg(F.collect_set(F.when(F.col("status") == "source_verified", F.col("concept"))).alias("have"))
-    wanted = F.create_map(*[x for t, cs in CORE.items() for x in (F.lit(t), F.array(*map(F.lit, cs)))])
-    gaps = done.groupBy("document_id").agg(F.array_sort(F.flatten(F.collect_list(F.array_except(F.try_element_at(wanted, F.col("statement_type")), "have")))).alias("missing_core"))
-    out = own.join(states, "document_id", "left").join(gaps, "document_id", "left")
+    lacks = lambda t, c: F.when((F.col("_core").bitwiseAND(bits[t, None]) != 0) & (F.col("_core").bitwiseAND(bits[t, c]) == 0), F.lit(c))
+    gaps = F.when(F.col("_core").isNotNull(), F.array_sort(F.array_compact(F.array(*[lacks(t, c) for t, c in bits if c is not None]))))
+    out = own.where("numeric_cells > 0").withColumn("missing_core", gaps)
     missing = F.col("numeric_cells") - F.col("extracted_cells")
     partial = (missing > 0) | F.col("_bad") | F.col("_hidden") | (F.size("missing_core") > 0) | (F.col("unreadable_cells") > 0)
     return out.select("document_id", "numeric_cells", "extracted_cells", missing.alias("missing_numeric_cells"), "blank_cells", "unreadable_cells", "missing_core", F.when(partial, "partial").otherwise("complete").alias("status"))

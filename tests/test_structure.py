@@ -157,3 +157,10 @@ def test_texts_of_checked_cells_are_read_once(spark, sf):
     assert plan(spark.createDataFrame([("(1,234.5)",)], "t string").select(strict_number(F.col("t")).alias("n"))).count("translate(") == 1
     lines = plan(entry.queries()["table_validation"](spark, sf)).splitlines()
     assert not [x for x in lines if "Filter" in x and "regexp_replace" in x]
+
+
+def test_coverage_works_checked_cells_out_once(spark, sf):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["table_coverage"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(x.strip(" :+-|").startswith("Window") and "collect_set" in x for x in plan.splitlines()) == 1
