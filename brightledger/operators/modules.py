@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
 from ..functions.numbers import UNIT_SCALES, convert_unit, exponent_increment, loose_number, unit_scale
-from ..functions.periods import quarter_index, report_kind, report_order
+from ..functions.periods import bound, quarter_index, report_kind, report_order
 from ..functions.text import ALIASES, clean_label, is_blank_export, lookup
 from ..schemas import MODULE
 from .matrix import REPORTS, WINDOWS, scope_and_kind
@@ -229,9 +229,12 @@ def provider_statements(values: DataFrame, modules: DataFrame, ids: list[str]) -
     barred = (F.col("statement_type") == "cash_flow_statement") & (F.col("key") == UNMAPPED_KEY)
     standard = F.when(~barred, lookup(clean_label(name), ALIASES))
     unit = F.coalesce(suffix_unit(F.get("headers", F.col("row_ordinal") + 1)), F.nullif("unit", F.lit("")), F.col("module_unit"))
-    scale = F.when(unit.isin(list(UNIT_SCALES)), unit_scale(unit))
-    amount = F.when(~F.coalesce(F.col("value") == "", F.lit(True)), (loose_number(F.col("value")) * scale).cast("decimal(28,8)"))
+    amount = F.when(~F.coalesce(F.col("value") == "", F.lit(True)), (loose_number(F.col("value")) * F.col("_r.scale")).cast("decimal(28,8)"))
     disclosed = F.concat(F.lit("disclosed_"), F.substring(F.sha2(name, 256), 1, 32))
+    # exploded so that a label, a unit and an amount are read once, in methods of their own that are small enough to be compiled
+    rows = rows.select("*", F.explode(F.array(bound(unit, lambda u: F.struct(u.alias("unit"), F.when(u.isin(list(UNIT_SCALES)), unit_scale(u)).alias("scale"), standard.alias("standard"))))).alias("_r"))
+    rows = rows.select("*", F.explode(F.array(amount)).alias("_amount"))
+    standard, unit, amount = F.col("_r.standard"), F.col("_r.unit"), F.col("_amount")
     return rows.select(
         *ids, "statement_type", "entity", F.coalesce(lookup(scope, SCOPES), F.when(scope.isin("consolidated", "parent"), scope), F.lit("unknown")).alias("scope"), F.coalesce(lookup(currency, CURRENCIES), currency).alias("currency"),
         "period", F.coalesce(F.nullif("deadline", F.lit("")), "period").alias("period_normalized"), F.when(F.col("statement_type") == "balance_sheet", "instant").otherwise("duration").alias("period_kind"),

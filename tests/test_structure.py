@@ -164,3 +164,10 @@ def test_coverage_works_checked_cells_out_once(spark, sf):
 
     plan = entry.queries()["table_coverage"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert sum(x.strip(" :+-|").startswith("Window") and "collect_set" in x for x in plan.splitlines()) == 1
+
+
+def test_amounts_of_provider_statements_are_read_once(spark, sf):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()["provider_statements"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Generate explode(array(" in x for x in plan.splitlines()) >= 1
