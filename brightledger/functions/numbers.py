@@ -35,15 +35,17 @@ def loose_number(text: Column) -> Column:
     return F.when(wrapped | bare.startswith("-"), -value).otherwise(value).cast(DECIMAL)
 
 
+def quoted_number(mapped: Column) -> Column:
+    """``strict_number`` of a text that ``compact_quote`` has been through."""
+    wrapped = mapped.startswith("(") & mapped.endswith(")")
+    bare = F.when(wrapped, F.regexp_replace(mapped, r"^\(|\)$", "")).otherwise(mapped)
+    value = F.when(bare.rlike(f"^[+-]?{GROUPED}$"), F.replace(bare, F.lit(","), F.lit(""))).try_cast(DECIMAL)
+    return F.when(wrapped, -value).otherwise(value).cast(DECIMAL)
+
+
 def strict_number(text: Column) -> Column:
     """Separators in exact groups of three only, no exponent; blank and unreadable cells are null."""
-    def read(mapped: Column) -> Column:
-        wrapped = mapped.startswith("(") & mapped.endswith(")")
-        bare = F.when(wrapped, F.regexp_replace(mapped, r"^\(|\)$", "")).otherwise(mapped)
-        value = F.when(bare.rlike(f"^[+-]?{GROUPED}$"), F.replace(bare, F.lit(","), F.lit(""))).try_cast(DECIMAL)
-        return F.when(wrapped, -value).otherwise(value).cast(DECIMAL)
-
-    return bound(compact_quote(text), read)
+    return bound(compact_quote(text), quoted_number)
 
 
 def note_number(text: Column, scale: Column | int = 1) -> Column:

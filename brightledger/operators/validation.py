@@ -55,7 +55,10 @@ def proven(quotes: DataFrame, docs: DataFrame, spans: DataFrame) -> DataFrame:
 
 def header_of(grid: DataFrame, columns: DataFrame) -> DataFrame:
     """``columns`` (block, column, header_rows) with the text of their header over those rows, joined by spaces; null for a column that isn't there."""
-    rows = columns.select(*BLOCK, "column", F.explode("header_rows").alias("at_row")).join(grid.select(*BLOCK, "at_row", F.col("at_col").alias("column"), "text"), [*BLOCK, "at_row", "column"])
+    # headers stand at the top: cells below the deepest header row that is declared aren't shuffled
+    deepest = columns.agg(F.max(F.array_max("header_rows")).alias("_deepest"))
+    upper = grid.join(F.broadcast(deepest), F.col("at_row") <= F.col("_deepest"))
+    rows = columns.select(*BLOCK, "column", F.explode("header_rows").alias("at_row")).join(upper.select(*BLOCK, "at_row", F.col("at_col").alias("column"), "text"), [*BLOCK, "at_row", "column"])
     heads = rows.groupBy(*BLOCK, "column").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at_row", "text"))), lambda x: x["text"]), " ").alias("header"))
     size = grid.groupBy(*BLOCK).agg(F.max("at_row").alias("_rows"), F.max("at_col").alias("_cols"))
     return columns.join(heads, [*BLOCK, "column"], "left").join(size, BLOCK, "left")

@@ -7,6 +7,7 @@ seventh order and leaves out every eleventh; of odd customers the earlier year i
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import audit, exports, merging, validation
@@ -23,18 +24,20 @@ _BASE = """o AS (SELECT CAST(o_custkey AS VARCHAR) AS document_id, o_custkey AS
  c AS (SELECT *, CASE WHEN ok % 11 = 0 THEN CASE WHEN amount IS NOT NULL THEN 'MISSING' END WHEN wrong THEN 'CONFLICT' WHEN len(found) > 0 THEN 'GAP' WHEN concept IS NULL THEN 'UNMAPPED' ELSE 'VERIFIED' END AS state FROM s)"""
 
 
-def _given(spark, d):
-    """cells, grid, checked columns, checked other columns and claims."""
+def _declared(spark, d):
+    """cells, grid, declared columns, declared other columns and claims."""
     key, doc = F.col("o_orderkey"), F.col("o_custkey").cast("string").alias("document_id")
-    line = F.struct(key.alias("ok"), F.col("o_totalprice").cast("decimal(18,2)").alias("v"))
-    own = table(spark, d, "orders").groupBy("o_custkey").agg((F.max(F.year("o_orderdate")) + 20).alias("y"), F.array_sort(F.collect_list(line)).alias("rows"))
+    orders = table(spark, d, "orders").select("o_custkey", doc, F.col("o_custkey").alias("k"), key.alias("ok"), F.col("o_totalprice").cast("decimal(18,2)").alias("v"))
+    own = table(spark, d, "orders").groupBy("o_custkey").agg((F.max(F.year("o_orderdate")) + 20).alias("y"))
     day = lambda y: F.concat(y.cast("string"), F.lit("年12月31日"))
-    lines = own.select(doc, F.col("o_custkey").alias("k"), "y", F.posexplode("rows").alias("n", "r")).select("document_id", "k", "y", (F.col("n") + 2).alias("row"), "r.ok", "r.v")
+    lines = orders.withColumn("row", F.row_number().over(W.partitionBy("o_custkey").orderBy("ok", "v")) + 1)
     label, amount = F.concat(F.lit("项目"), F.col("ok").cast("string")), F.when(F.col("ok") % 5 != 0, F.format_number("v", 2))
     earlier = F.when(F.col("ok") % 2 == 0, (F.col("ok") % 100).cast("string"))
-    body = lines.select("document_id", F.lit("b").alias("block_id"), "row", F.posexplode(F.array(label, (F.col("ok") % 9).cast("string"), F.coalesce(amount, F.lit("—")), F.coalesce(earlier, F.lit("x")))).alias("at", "text"), F.lit(False).alias("is_header"))
-    head = own.select(doc, F.lit("b").alias("block_id"), F.lit(1).alias("row"), F.posexplode(F.array(F.lit("项目"), F.lit("附注"), day(F.col("y")), day(F.col("y") - 1))).alias("at", "text"), F.lit(True).alias("is_header"))
-    cells = body.unionByName(head).select("document_id", "block_id", "row", (F.col("at") + 1).alias("col"), "is_header", "text")
+    # a text is told by its column, so that it is made only where it is read
+    put = lambda rows, texts, head: rows.withColumn("col", F.explode(F.array(*map(F.lit, (1, 2, 3, 4))))).select("document_id", F.lit("b").alias("block_id"), "row", "col", F.lit(head).alias("is_header"), F.coalesce(*[F.when(F.col("col") == n, t) for n, t in enumerate(texts, 1)]).alias("text"))
+    body = put(lines, [label, (F.col("ok") % 9).cast("string"), F.coalesce(amount, F.lit("—")), F.coalesce(earlier, F.lit("x"))], False)
+    head = put(own.select(doc, F.lit(1).alias("row"), "y"), [F.lit("项目"), F.lit("附注"), day(F.col("y")), day(F.col("y") - 1)], True)
+    cells = body.unionByName(head)
     grid = cells.select("document_id", "block_id", F.col("row").alias("at_row"), F.col("col").alias("at_col"), "row", "col", "text")
 
     said = {"entity": "编制单位：甲公司", "scope": "合并资产负债表", "unit": "单位：人民币万元", "currency": "人民币", "statement_type": "资产负债表"}
@@ -53,6 +56,12 @@ def _given(spark, d):
     claims = lines.where("ok % 11 <> 0").select(
         "document_id", F.lit("b").alias("block_id"), "row", label.alias("source_name"), F.when(F.col("row") == 2, "cash").when(F.col("row") == 3, "inventory").alias("concept"), F.lit("data").alias("role"), F.lit(None).cast("string").alias("raw_unit"), F.array(value(3, claimed), value(4, earlier)).alias("values")
     )
+    return cells, grid, columns, others, claims
+
+
+def _given(spark, d):
+    """cells, grid, checked columns, checked other columns and claims."""
+    cells, grid, columns, others, claims = _declared(spark, d)
     return cells, grid, validation.metadata_issues(columns, grid), validation.non_amount_issues(others, columns, grid), claims
 
 
@@ -162,10 +171,10 @@ def export_formats(spark, d):
  SELECT * FROM i WHERE n > 0""")
 def claim_audit(spark, d):
     """Faults of the claims as such: each customer has one of five, every seventh a column that nothing declares."""
-    cells, grid, columns, others, claims = _given(spark, d)
+    cells, grid, columns, others, claims = _declared(spark, d)
+    others = validation.non_amount_issues(others, columns, grid)
     k = F.col("document_id").cast("long")
-    wrong = claims.groupBy("document_id").agg(F.min_by(F.struct("source_name", "concept", "role", "raw_unit"), "row").alias("c"), F.lit(2).alias("row"))
-    whole = cells.select("document_id").distinct().join(wrong, "document_id", "left").where(k % 5 < 3)
+    whole = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("document_id")).distinct().where(k % 5 < 3)
     value = F.array(F.struct(F.when(k % 5 == 2, 9).otherwise(3).alias("column"), F.lit("1").alias("raw_value")))
     extra = whole.select("document_id", F.when(k % 5 == 0, "z").otherwise("b").alias("block_id"), F.when(k % 5 == 1, 999_999).otherwise(1).alias("row"), F.lit("x").alias("source_name"), F.lit(None).cast("string").alias("concept"), F.lit("header").alias("role"), F.lit(None).cast("string").alias("raw_unit"), value.alias("values"))
     more = columns.unionByName(columns.where((k % 5 == 3) & (F.col("column") == 3))).withColumn("label_column", F.when((k % 5 == 4) & (F.col("column") == 4), 3).otherwise(F.col("label_column")))

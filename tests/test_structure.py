@@ -171,3 +171,24 @@ def test_amounts_of_provider_statements_are_read_once(spark, sf):
 
     plan = entry.queries()["provider_statements"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert sum("Generate explode(array(" in x for x in plan.splitlines()) >= 1
+
+
+def test_an_audit_shuffles_flags_of_cells_once_and_no_texts(spark):
+    from brightledger.operators import audit
+
+    block = "document_id string, block_id string"
+    cell = lambda row, col, text, head=False: ("d", "b", row, col, head, text)
+    given = [cell(1, 1, "项目", True), cell(1, 2, "2024", True), cell(1, 3, "12", True), cell(2, 1, "甲"), cell(2, 2, "5"), cell(2, 3, "x"), cell(3, 1, " "), cell(3, 2, "7"), cell(3, 3, "x"), cell(4, 1, "乙"), cell(4, 2, "8"), cell(4, 4, "9"), cell(5, 1, "丙"), cell(5, 4, "(1)")]
+    cells = spark.createDataFrame(given, f"{block}, row int, col int, is_header boolean, text string")
+    grid = cells.select("document_id", "block_id", F.col("row").alias("at_row"), F.col("col").alias("at_col"), "row", "col", "text")
+    columns = spark.createDataFrame([("d", "b", 2, 1, [1]), ("d", "b", 3, 1, [1]), ("d", "b", 3, 2, [1])], f"{block}, column int, label_column int, header_rows array<int>")
+    others = spark.createDataFrame([("d", "b", 1, True)], f"{block}, column int, valid boolean")
+    claims = spark.createDataFrame([("d", "b", 2, "data", [(2,)]), ("d", "b", 4, "header", [(9,)]), ("d", "b", 9, "data", []), ("d", "z", 1, None, None)], f"{block}, row int, role string, values array<struct<column:int>>")
+    found = audit.claim_audit(cells, grid, columns, others, claims)
+    assert {r["issue"]: r["n"] for r in found.collect()} == {
+        "foreign_model_row": 1, "model_row_out_of_bounds": 1, "model_cell_out_of_bounds": 1, "duplicate_metadata_column": 1, "label_column_is_value_column": 1,
+        "unmapped_numeric_column": 1, "numeric_data_declared_header": 1, "unreadable_numeric_cell": 1, "unextracted_numeric_cells": 5,
+    }
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("translate(") == 1  # each text is read once, before the shuffle
+    assert not [line for line in text.splitlines() if "Join" in line and "row" in line]  # cells aren't paired by their rows
