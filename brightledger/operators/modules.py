@@ -113,8 +113,12 @@ def batch_quality(done: str, failed: str, gaps: str) -> Column:
 MATRIX = "struct<data:struct<head:array<string>,key:array<string>,unit:array<string>,level:array<int>,value:array<array<string>>>>"
 
 
-def provider_matrix(raw: DataFrame, ids: list[str], column: str = "payload") -> DataFrame:
-    """Cells of matrix payloads: ids, row_ordinal, key, name, unit, level, period_ordinal, period, value and state.
+#: A cell of a matrix, and the parts of a payload that its fields come from.
+CELL = {"key": "key", "name": "head", "unit": "unit", "level": "level"}
+
+
+def matrix_columns(raw: DataFrame, ids: list[str], column: str = "payload") -> DataFrame:
+    """Columns of matrix payloads: ids, state, period_ordinal, period and cells (array<struct<row_ordinal,key,name,unit,level,value>>), those of each in its row.
 
     state is ok, structure_changed or empty_module; of the latter two there is one
     row, without cells. Every row of values must be as long as the heads.
@@ -126,14 +130,23 @@ def provider_matrix(raw: DataFrame, ids: list[str], column: str = "payload") ->
         .when((F.size(x["head"]) != F.size(x["key"])) | (F.size(x["head"]) == 0) | ~even, "structure_changed").otherwise("ok")
     )
     read = raw.select(*ids, F.from_json(column, MATRIX).alias("x")).withColumn("state", state)
-    places = F.when(F.col("state") == "ok", F.sequence(F.lit(1), F.size(x["head"]) - 1))
-    rows = read.select(*ids, "state", "x", F.explode_outer(places).alias("at"))
-    cells = rows.select(*ids, "state", "x", "at", F.posexplode_outer(F.when(F.col("state") == "ok", x["value"])).alias("period_ordinal", "r"))
-    part = lambda name: F.get(x[name], F.col("at"))
-    return cells.select(
-        *ids, (F.col("at") - 1).alias("row_ordinal"), part("key").alias("key"), part("head").alias("name"), part("unit").alias("unit"), part("level").alias("level"), "period_ordinal",
-        F.get("r", F.lit(0)).alias("period"), F.get("r", F.col("at")).alias("value"), "state",
-    )
+    fine, width = F.col("state") == "ok", F.size(x["head"]) - 1
+    # the period's own field is cut off; a payload may say nothing of units or levels
+    parts = [F.when(fine, F.coalesce(F.slice(x[part], F.lit(2), width), F.array().cast("array<int>" if part == "level" else "array<string>"))).alias(part) for part in CELL.values()]
+    each = read.select(*ids, "state", *parts, F.posexplode_outer(F.when(fine, x["value"])).alias("period_ordinal", "r"))
+    rest = F.slice("r", F.lit(2), F.size("r") - 1)
+    places = F.when(F.size("r") > 1, F.sequence(F.lit(0), F.size("r") - 2)).otherwise(F.array().cast("array<int>"))
+    cells = F.when(fine, F.arrays_zip(places.alias("row_ordinal"), *[F.col(part).alias(name) for name, part in CELL.items()], rest.alias("value")))
+    return each.select(*ids, "state", "period_ordinal", F.get("r", F.lit(0)).alias("period"), cells.alias("cells"))
+
+
+def provider_matrix(raw: DataFrame, ids: list[str], column: str = "payload") -> DataFrame:
+    """Cells of matrix payloads: ids, row_ordinal, key, name, unit, level, period_ordinal, period, value and state.
+
+    state as in ``matrix_columns``: of payloads that aren't ok there is one row, without cells.
+    """
+    found = matrix_columns(raw, ids, column).select(*ids, "state", "period_ordinal", "period", F.explode_outer("cells").alias("c"))
+    return found.select(*ids, "c.row_ordinal", "c.key", "c.name", "c.unit", "c.level", "period_ordinal", "period", "c.value", "state")
 
 
 def provider_analysis(raw: DataFrame, ids: list[str], column: str = "payload") -> DataFrame:
@@ -258,7 +271,8 @@ def module_table(
 ) -> DataFrame:
     """A module's matrix as it is shown or exported: filters of columns together, blank rows hidden, amounts in another unit.
 
-    ``values`` as in ``provider_statements``. Returns ids, row_ordinal, key, name,
+    ``values``: columns as in ``matrix_columns``, or cells as in ``provider_statements``.
+    Returns ids, row_ordinal, key, name,
     period, period_label, report_order, place (of the column, the latest first) and
     shown. Columns pass every filter: kinds of report (a comma list), years, the last
     years of quarters up to the module's latest, scopes and kinds of data. Rows of
@@ -267,32 +281,38 @@ def module_table(
     wanted = set(report.split(","))
     if wanted - set(REPORTS) or window_years not in WINDOWS or unit not in UNIT_SCALES or not 0 <= decimals <= 6 or (start and end and start > end):
         raise ValueError("invalid_export_options")
-    told = column_facts(values, ids, ["dataType"])
-    closing = _end(F.col("period"))
+    if "cells" not in values.columns:
+        values = values.groupBy(*ids, "period_ordinal", "period").agg(F.collect_list(F.struct("row_ordinal", "key", "name", "unit", "value")).alias("cells"))  # one column's cells
     module = W.partitionBy(*ids)
-    columns = values.select(*ids, "period_ordinal", "period").distinct().join(told, [*ids, "period_ordinal"], "left").withColumn("closing", closing)
-    columns = columns.withColumn("report_order", F.coalesce(report_order(F.col("closing")), F.lit(0))).withColumn("kind", report_kind(F.col("closing"))).withColumn("quarter", quarter_index(F.col("closing")))
-    columns = columns.withColumn("_top", F.max("report_order").over(module)).withColumn("_last", F.max("quarter").over(module))
+    told = F.array_max(F.transform(F.filter("cells", lambda c: c["key"] == "dataType"), lambda c: c["value"]))
+    columns = values.where("period_ordinal IS NOT NULL").select(*ids, "period_ordinal", "period", "cells", told.alias("dataType"), _end(F.col("period")).alias("closing"))
+    columns = columns.withColumn("report_order", F.coalesce(report_order(F.col("closing")), F.lit(0))).withColumn("kind", report_kind(F.col("closing")))
     scope, data_kind = scope_and_kind(F.coalesce("dataType", F.lit("")))
-    keep = F.lit("all" in wanted) | F.coalesce(F.col("kind").isin(sorted(wanted)), F.lit(False)) | (F.lit("latest" in wanted) & (F.col("report_order") == F.col("_top")))
+    keep = F.lit("all" in wanted) | F.coalesce(F.col("kind").isin(sorted(wanted)), F.lit(False))
     keep = keep | (F.lit("quarter" in wanted) & F.coalesce(F.col("kind").isin("q1", "q3"), F.lit(False)))
+    # a module's last report and quarter are sought only where they are asked for, over columns that no filter has left out yet
+    if "latest" in wanted:
+        columns = columns.withColumn("_top", F.max("report_order").over(module))
+        keep = keep | (F.col("report_order") == F.col("_top"))
     year = F.regexp_extract("period", "^[0-9]{4}", 0)
     keep = keep & (year >= str(start or "")) & (year <= str(end) if end else F.lit(True))
     if window_years:
-        keep = keep & F.coalesce(F.col("quarter") > F.col("_last") - 4 * window_years, F.lit(False))
+        quarter = quarter_index(F.col("closing"))
+        columns = columns.withColumn("_last", F.max(quarter).over(module))
+        keep = keep & F.coalesce(quarter > F.col("_last") - 4 * window_years, F.lit(False))
     if scopes != "all":
         keep = keep & scope.isin(scopes.split(","))
     if data_kinds != "all":
         keep = keep & data_kind.isin(data_kinds.split(","))
     label = F.coalesce(F.concat(F.year("closing").cast("string"), F.lit("年"), lookup(F.col("kind"), REPORT_NAMES)), F.col("period"))
-    columns = columns.where(keep).select(*ids, "period_ordinal", "dataType", label.alias("period_label"), "report_order", F.row_number().over(module.orderBy(F.desc("report_order"), "period_ordinal")).alias("place"))
-    cells = values.join(columns, [*ids, "period_ordinal"])
-    if hide_empty:
-        filled = cells.where(~is_blank_export(F.col("value"))).select(*ids, "row_ordinal").distinct()
-        cells = cells.join(filled, [*ids, "row_ordinal"], "left_semi")
     share = F.coalesce(F.col("dataType").rlike("[%％]") | F.col("dataType").isin("同比", "占收入比"), F.lit(False))
+    place = F.row_number().over(module.orderBy(F.desc("report_order"), "period_ordinal"))
+    columns = columns.where(keep).select(*ids, "period", label.alias("period_label"), "report_order", share.alias("_share"), "cells", place.alias("place"))
+    cells = columns.select(*[c for c in columns.columns if c != "cells"], F.explode_outer("cells").alias("c")).where("c IS NOT NULL").select("*", "c.*").drop("c")
+    if hide_empty:
+        cells = cells.withColumn("_filled", F.bool_or(~is_blank_export(F.col("value"))).over(W.partitionBy(*ids, "row_ordinal"))).where("_filled")
     number = F.col("value").try_cast("decimal(28,8)")
-    money = F.col("unit").isin(list(UNIT_SCALES)) & ~share & ~F.col("key").isin(METADATA_ROWS)
+    money = F.col("unit").isin(list(UNIT_SCALES)) & ~F.col("_share") & ~F.col("key").isin(METADATA_ROWS)
     amount = F.when(money, convert_unit(number, F.col("unit"), F.lit(unit))).otherwise(number)
     shown = F.when(~F.col("key").isin(METADATA_ROWS), F.round(amount, decimals).cast(f"decimal(38,{decimals})").cast("string"))
     return cells.select(*ids, "row_ordinal", "key", "name", "period", "period_label", "report_order", "place", F.coalesce(shown, F.col("value")).alias("shown"))

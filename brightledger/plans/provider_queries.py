@@ -69,7 +69,7 @@ def provider_statements(spark, d):
 @query("WITH " + _ORDERS + """, f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY qe DESC, place) AS n FROM q WHERE s = 'F' AND quarter(qe) IN (2, 4))
  SELECT k AS module_key, unnest(['1', '2']) AS key, year(qe) || CASE quarter(qe) WHEN 4 THEN '年年报' ELSE '年中报' END AS label, n AS place, unnest([CAST(CAST(v AS DECIMAL(38,1)) AS VARCHAR), CAST((o_orderkey % 100) * 10000 AS VARCHAR) || '.0']) AS shown FROM f""")
 def module_table(spark, d):
-    found = M.module_table(_cells(spark, d), ["module_key"], report="annual,half", scopes="合并期末", data_kinds="原始报表", hide_empty=True, unit="元", decimals=1)
+    found = M.module_table(M.matrix_columns(_matrices(spark, d), ["module_key"]), ["module_key"], report="annual,half", scopes="合并期末", data_kinds="原始报表", hide_empty=True, unit="元", decimals=1)
     return found.where("key IN ('1', '2', '3')").select("module_key", "key", F.col("period_label").alias("label"), F.col("place").cast("long").alias("place"), "shown")
 
 

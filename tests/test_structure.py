@@ -192,3 +192,20 @@ def test_an_audit_shuffles_flags_of_cells_once_and_no_texts(spark):
     text = found._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("translate(") == 1  # each text is read once, before the shuffle
     assert not [line for line in text.splitlines() if "Join" in line and "row" in line]  # cells aren't paired by their rows
+
+
+def test_a_module_is_parsed_once_and_its_columns_filtered_before_its_cells(spark, sf):
+    import __spark_entry__ as entry
+    from brightledger.operators import modules
+
+    plan = entry.queries()["module_table"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1 and "Join" not in plan
+
+    body = lambda head, value: '{"data":{"head":%s,"key":%s,"value":%s}}' % (head, head, value)
+    given = [("bare", body('["d"]', '[["20241231"]]')), ("two", body('["d","dataType","k"]', '[["20241231","合并期末","1.25"],["20231231","合并期末","--"],["20221231","母公司期末","3"]]')), ("broken", "x"), (None, body('["d","k"]', '[["20241231","7"]]'))]
+    raw = spark.createDataFrame(given, "m string, payload string")
+    cells = modules.provider_matrix(raw, ["m"])
+    assert {(r["m"], r["row_ordinal"], r["period_ordinal"], r["key"], r["value"], r["state"]) for r in cells.where("m <> 'two' OR m IS NULL").collect()} == {("bare", None, 0, None, None, "ok"), ("broken", None, None, None, None, "structure_changed"), (None, 0, 0, "k", "7", "ok")}
+    tables = [modules.module_table(x, ["m"], report="annual,latest", window_years=3, hide_empty=True, decimals=1) for x in (modules.matrix_columns(raw, ["m"]), cells.where("key IS NOT NULL OR state <> 'ok'"))]
+    found = [sorted((str(r["m"]), r["key"], r["place"], r["shown"]) for r in t.collect()) for t in tables]
+    assert found[0] == found[1] == [("None", "k", 1, "7.0"), ("two", "dataType", 1, "合并期末"), ("two", "dataType", 2, "合并期末"), ("two", "dataType", 3, "母公司期末"), ("two", "k", 1, "1.3"), ("two", "k", 2, "--"), ("two", "k", 3, "3.0")]
