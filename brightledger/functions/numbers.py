@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column
@@ -25,14 +26,22 @@ def unit_scale(unit: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for name, scale in UNIT_SCALES.items() for x in (name, scale)]), unit).cast("decimal(10,0)")
 
 
-def loose_number(text: Column) -> Column:
-    """Separators anywhere, parentheses or a minus for negative, an exponent of up to three digits; null if unreadable."""
-    mapped = F.translate(F.trim(text), "，（）", ",()")
-    wrapped = mapped.startswith("(") & mapped.endswith(")")
-    bare = F.regexp_replace(F.when(wrapped, F.regexp_replace(mapped, r"^\(|\)$", "")).otherwise(mapped), r"[\s,]", "")
-    digits = F.regexp_replace(bare, "^-", "")
-    value = F.when(digits.rlike(r"^[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]{1,3})?$"), digits).try_cast(DECIMAL)
-    return F.when(wrapped | bare.startswith("-"), -value).otherwise(value).cast(DECIMAL)
+def loose_number(text: Column, let: Callable[[Column, Callable[[Column], Column]], Column] = lambda value, use: use(value)) -> Column:
+    """Separators anywhere, parentheses or a minus for negative, an exponent of up to three digits; null if unreadable.
+
+    ``let=bound`` works each step out once, for lambdas and filters, in which Spark repeats what is used twice.
+    """
+
+    def read(mapped: Column) -> Column:
+        wrapped = mapped.startswith("(") & mapped.endswith(")")
+        bare = F.regexp_replace(F.when(wrapped, F.regexp_replace(mapped, r"^\(|\)$", "")).otherwise(mapped), r"[\s,]", "")
+        return let(bare, lambda b: let(F.regexp_replace(b, "^-", ""), lambda digits: signed(b, digits, wrapped)))
+
+    def signed(bare: Column, digits: Column, wrapped: Column) -> Column:
+        value = F.when(digits.rlike(r"^[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]{1,3})?$"), digits).try_cast(DECIMAL)
+        return let(value, lambda v: F.when(wrapped | bare.startswith("-"), -v).otherwise(v).cast(DECIMAL))
+
+    return let(F.translate(F.trim(text), "，（）", ",()"), read)
 
 
 def quoted_number(mapped: Column) -> Column:

@@ -209,3 +209,32 @@ def test_a_module_is_parsed_once_and_its_columns_filtered_before_its_cells(spark
     tables = [modules.module_table(x, ["m"], report="annual,latest", window_years=3, hide_empty=True, decimals=1) for x in (modules.matrix_columns(raw, ["m"]), cells.where("key IS NOT NULL OR state <> 'ok'"))]
     found = [sorted((str(r["m"]), r["key"], r["place"], r["shown"]) for r in t.collect()) for t in tables]
     assert found[0] == found[1] == [("None", "k", 1, "7.0"), ("two", "dataType", 1, "合并期末"), ("two", "dataType", 2, "合并期末"), ("two", "dataType", 3, "母公司期末"), ("two", "k", 1, "1.3"), ("two", "k", 2, "--"), ("two", "k", 3, "3.0")]
+
+
+def test_supplements_are_read_in_the_row_of_their_document(spark):
+    """No shuffle; headers, lines and years come out as they would of the tables one by one."""
+    from brightledger.operators import supplements
+
+    cell = lambda *cs: "<tr>" + "".join(f"<td>{c}</td>" for c in cs) + "</tr>"
+    balance = "## 合并资产负债表\n单位：元\n<table>" + cell("项目", "期末余额", "期初余额") + cell("货币资金", "x", "5") + "</table>\n"
+    summary = "<table>" + cell("主要会计数据", "2024 年", "2023年") + "\n" + cell("其他", "1", "2") + "\n" + cell("加权平均净资产收益率", "7%", "6%") + "</table>\n"
+    spent = "## 七、合并财务报表项目注释\n<table>" + cell("补充资料", "本期金额", "上期金额") + cell("无形资产摊销", "(3)", "—") + "</table>"
+    head = "# 甲公司2024年年度报告\n编制单位：甲\n"
+    docs = spark.createDataFrame([("d", head + summary + balance + spent), ("two", head + summary + "".join(balance.replace("单位：元", f"编制单位：{x}\n单位：元") for x in "甲乙") + spent), ("none", summary + balance + spent), ("n", None)], "document_id string, text string")
+    found = supplements.supplements(docs)
+    # only the opening balance is a number, so that 2023 is the one known year
+    assert sorted((r["document_id"], r["concept"], float(r["value"]), str(r["period_start"]), str(r["period_end"]), r["line"]) for r in found.collect()) == [
+        ("d", "intangible_amortization", -3.0, "2024-01-01", "2024-12-31", 10), ("d", "reported_roe", 6.0, "2023-01-01", "2023-12-31", 5),
+    ]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_a_long_line_before_a_statement_takes_no_square_of_its_length(spark):
+    import time
+
+    lead = lambda text: documents.sections(spark.createDataFrame([("d", text)], "document_id string, text string"), documents.PRIMARY).select("lead").collect()
+    assert [r["lead"] for r in lead("a\n 单位：元 b \n\n \n## 合并资产负债表\n\n## 合并利润表\nx")] == [" 单位：元 b", ""]
+    began = time.perf_counter()
+    assert [r["lead"] for r in lead("数" * 150_000 + "\n单位：元\n## 合并资产负债表\nx")] == ["单位：元"]
+    assert time.perf_counter() - began < 20
